@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from muralis.llm.bpe_codec import bpe_round_trip
+from muralis.llm.fingerprints import fingerprint_documents
 from muralis.llm.packing import pack_documents
 from muralis.llm.token_counts import token_counts
 from muralis.llm.token_store import token_file_digest
@@ -27,11 +28,15 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op4_bpe_codec, op5_token_store, op10_best_fit_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op4_bpe_codec, op5_token_store, op6_fingerprints, op10_best_fit_packing)}
 
 #: DuckDB SQL by query name. The operators here work by tokenizers, sketches, trees and trained models, or are too slow
 #: in SQL on whole tables; tests/llm holds them against brute force instead.
