@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from muralis.llm.bpe_codec import bpe_round_trip
 from muralis.llm.fingerprints import fingerprint_documents
 from muralis.llm.packing import pack_documents
+from muralis.llm.suffix_dedup import repeated_byte_digest
 from muralis.llm.token_counts import token_counts
 from muralis.llm.token_store import token_file_digest
 from muralis.storage import table
@@ -16,6 +17,10 @@ from muralis.storage import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_byte_digest(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -36,7 +41,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op4_bpe_codec, op5_token_store, op6_fingerprints, op10_best_fit_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op4_bpe_codec, op5_token_store, op6_fingerprints, op10_best_fit_packing)}
 
 #: DuckDB SQL by query name. The operators here work by tokenizers, sketches, trees and trained models, or are too slow
 #: in SQL on whole tables; tests/llm holds them against brute force instead.
