@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
 
     Alternates two steps until nothing changes: link each node's larger neighbours to its smallest one, then its smaller
     neighbours to their smallest. The number of rounds grows with the logarithm of the size of a component, not with its
-    diameter, edges never multiply, and each round is written to the shared folder, which cuts the lineage. Loops and
+    diameter, edges never multiply, and each round is written to the shared folder, which cuts the lineage and lets
+    Spark split the joins at a node with very many neighbours. Loops and
     null ends are ignored, save that an id whose only edge is a loop is a component of its own.
     """
     clean = edges.select("a", "b").filter("a is not null and b is not null")
@@ -23,10 +24,10 @@ def connected_components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         # Large step: every neighbour above u, to the smallest of u and its neighbours.
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = materialise(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
         # Small step: u and its smaller neighbours, to the smallest of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
         now = materialise(small, "edges")
         state = now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first()
