@@ -10,6 +10,7 @@ from muralis.llm.bpe_codec import bpe_round_trip
 from muralis.llm.fingerprints import fingerprint_documents
 from muralis.llm.near_dup import near_duplicate_classes
 from muralis.llm.packing import pack_documents
+from muralis.llm.quality import fit_quality, score_quality
 from muralis.llm.suffix_dedup import repeated_byte_digest
 from muralis.llm.token_counts import token_counts
 from muralis.llm.token_store import token_file_digest
@@ -38,6 +39,11 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
@@ -46,7 +52,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op4_bpe_codec, op5_token_store, op6_fingerprints, op9_near_duplicates, op10_best_fit_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op4_bpe_codec, op5_token_store, op6_fingerprints, op7_quality_classifier, op9_near_duplicates, op10_best_fit_packing)}
 
 #: DuckDB SQL by query name. The operators here work by tokenizers, sketches, trees and trained models, or are too slow
 #: in SQL on whole tables; tests/llm holds them against brute force instead.
