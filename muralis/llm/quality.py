@@ -25,13 +25,14 @@ ROUNDS = 5
 #: Pseudo-labels per class, view and round, and the confidence that they need.
 PER_ROUND = 60
 CONFIDENCE = 0.97
-#: Learned words: how many at most, in how many rows (and what share of the rows) with the label at least, and how much
+#: Learned words and word beginnings (of so many letters): how many at most, in how many rows (and what share of the rows) with the label at least, and how much
 #: likelier under it (log odds).
 LEXICON = 256
 LEXICON_ROWS = 8
-LEXICON_SHARE = 0.08
+LEXICON_SHARE = 0.02
 LEXICON_ODDS = 3.5
 
+BEGINNINGS = (5, 6, 7, 8)
 #: Scores from, and below, which a document is kept.
 LEAST_QUALITY = 0.5
 MOST_TOXICITY = 0.5
@@ -41,6 +42,10 @@ _SYMBOLS = b"#$%&*|!?.,<>{}=@_~"
 _META_BUCKETS = 24
 
 
+def beginnings(word: str) -> list[str]:
+    return [word[:k] + "*" for k in BEGINNINGS if len(word) > k]
+
+
 def text_features(text: str, lexicon: frozenset[str]) -> tuple[list[float], float]:
     """Shape of the text, and how many of its words are in the lexicon."""
     raw = text.encode()
@@ -54,7 +59,7 @@ def text_features(text: str, lexicon: frozenset[str]) -> tuple[list[float], floa
     shape = [counts[65:91].sum() / letters, counts[48:58].sum() / n, counts[128:].sum() / n, counts[10] / n, counts[32] / n, n / m / 10]
     shape += [float(np.log1p(100 * counts[c] / n)) for c in _SYMBOLS]
     shape += [repeated, len(seen) / m, max(seen.values(), default=0) / m, float(np.log1p(m))]
-    hits = sum(seen[w] for w in lexicon & seen.keys())
+    hits = sum(n for w, n in seen.items() if w in lexicon or (len(w) > BEGINNINGS[0] and not lexicon.isdisjoint(beginnings(w))))
     return shape, float(np.log1p(hits))
 
 
@@ -162,11 +167,12 @@ def _featured(docs: DataFrame, labels: str, lexicon: frozenset[str]) -> DataFram
 
 
 def learned_words(rows: DataFrame) -> frozenset[str]:
-    """Words much likelier in rows with label 1 than with label 0 (text, y): a bounded list, best first."""
+    """Words and beginnings of words much likelier in rows with label 1 than with label 0 (text, y): a bounded list, best first."""
 
     def distinct_words(batches):
         for batch in batches:
-            seen = [sorted(set(_WORD.findall((t or "").lower()))) for t in batch.column(0).to_pylist()]
+            words = [set(_WORD.findall((t or "").lower())) for t in batch.column(0).to_pylist()]
+            seen = [sorted(ws.union(*map(beginnings, ws))) for ws in words]
             y = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), [len(s) for s in seen])
             yield pa.RecordBatch.from_arrays([pa.array([w for s in seen for w in s], pa.string()), pa.array(y.astype(np.int32), pa.int32())], ["word", "y"])
 
