@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from muralis.llm.bpe_codec import bpe_round_trip
 from muralis.llm.fingerprints import fingerprint_documents
+from muralis.llm.html_extract import extract_pages
 from muralis.llm.near_dup import near_duplicate_classes
 from muralis.llm.packing import pack_documents
 from muralis.llm.quality import fit_quality, score_quality
@@ -44,6 +45,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
@@ -52,7 +57,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op4_bpe_codec, op5_token_store, op6_fingerprints, op7_quality_classifier, op9_near_duplicates, op10_best_fit_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op4_bpe_codec, op5_token_store, op6_fingerprints, op7_quality_classifier, op8_html_extraction, op9_near_duplicates, op10_best_fit_packing)}
 
 #: DuckDB SQL by query name. The operators here work by tokenizers, sketches, trees and trained models, or are too slow
 #: in SQL on whole tables; tests/llm holds them against brute force instead.
