@@ -29,7 +29,8 @@ def contains(p: Column, x: Column, y: Column) -> Column:
 
 def centroid(p: Column) -> tuple[Column, Column]:
     """Mean of the vertices."""
-    return tuple(F.aggregate(p, F.lit(0.0), lambda s, v, k=k: s + v[k]) / F.size(p) for k in ("x", "y"))
+    mean = lambda k: F.aggregate(p, F.lit(0.0), lambda s, v: s + v[k]) / F.size(p)
+    return mean("x"), mean("y")
 
 
 def bbox(p: Column) -> Column:
@@ -90,9 +91,7 @@ def iou(p: np.ndarray | None, q: np.ndarray | None) -> float | None:
     return both / (abs(_signed(p)) + abs(_signed(q)) - both)
 
 
-@F.pandas_udf("double")
-def poly_iou(p: pd.Series, q: pd.Series) -> pd.Series:
-    """Intersection over union; null for what is no polygon."""
+def _iou(p: pd.Series, q: pd.Series) -> pd.Series:
     return pd.Series([iou(_points(a), _points(b)) for a, b in zip(p, q, strict=True)], dtype="float64")
 
 
@@ -149,12 +148,11 @@ def skeleton_length(skeleton: np.ndarray) -> float:
     return float(straight + diagonal * np.sqrt(2))
 
 
+PIXELS = "array<struct<y:int,x:int>>"
 MEASURES = "struct<area_px:long,length_px:double,max_width_px:double,mean_width_px:double>"
 
 
-@F.pandas_udf(MEASURES)
-def poly_measure(p: pd.Series) -> pd.DataFrame:
-    """Pixel area, skeleton length, and twice the largest and mean edge distance along the skeleton."""
+def _measure(p: pd.Series) -> pd.DataFrame:
     rows = []
     for value in p:
         points = _points(value)
@@ -168,9 +166,7 @@ def poly_measure(p: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["area_px", "length_px", "max_width_px", "mean_width_px"])
 
 
-@F.pandas_udf("array<struct<y:int,x:int>>")
-def poly_pixels(p: pd.Series) -> pd.Series:
-    """The pixels of a polygon, for joins with raster tables."""
+def _pixels(p: pd.Series) -> pd.Series:
     out = []
     for value in p:
         points = _points(value)
@@ -183,7 +179,25 @@ def poly_pixels(p: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+# Made when used, not when imported: workers import this module too, and have no session to parse types with.
+
+
+def poly_iou(p: Column, q: Column) -> Column:
+    """Intersection over union; null for what is no polygon."""
+    return F.pandas_udf(_iou, "double")(p, q)
+
+
+def poly_measure(p: Column) -> Column:
+    """Pixel area, skeleton length, and twice the largest and mean edge distance along the skeleton."""
+    return F.pandas_udf(_measure, MEASURES)(p)
+
+
+def poly_pixels(p: Column) -> Column:
+    """The pixels of a polygon, for joins with raster tables."""
+    return F.pandas_udf(_pixels, PIXELS)(p)
+
+
 def register(spark: SparkSession) -> None:
     """The polygon functions for SQL."""
-    for name, f in (("poly_iou", poly_iou), ("poly_measure", poly_measure), ("poly_pixels", poly_pixels)):
-        spark.udf.register(name, f)
+    for name, f, kind in (("poly_iou", _iou, "double"), ("poly_measure", _measure, MEASURES), ("poly_pixels", _pixels, PIXELS)):
+        spark.udf.register(name, F.pandas_udf(f, kind))

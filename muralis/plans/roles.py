@@ -74,7 +74,7 @@ SQL = {
     "photos": "photos AS (SELECT vec_id AS image_id, label AS flight, embedding[3]::DOUBLE*1e-3+37.5::DOUBLE AS lat, embedding[4]::DOUBLE*1e-3+127::DOUBLE AS lon, embedding[5]::DOUBLE*20::DOUBLE+60::DOUBLE AS alt, embedding[6]::DOUBLE*1000::DOUBLE AS yaw FROM embeddings)",
     "framed": "framed AS (SELECT p.*, radians(lon-lon0)*6371000::DOUBLE*cos(radians(lat0)) AS x, radians(lat-lat0)*6371000::DOUBLE AS y, alt AS z FROM photos p, (SELECT avg(lat) lat0, avg(lon) lon0 FROM photos))",
     "boxes": "boxes AS (SELECT vec_id AS id, label AS image_id, floor((embedding[1]::DOUBLE+1)*1000*10+0.5::DOUBLE)/10::DOUBLE AS x0, floor((embedding[2]::DOUBLE+1)*1000*10+0.5::DOUBLE)/10::DOUBLE AS y0, 12.1::DOUBLE+4::DOUBLE*(vec_id%7) AS w, 12::DOUBLE+4::DOUBLE*(vec_id%5) AS h, floor((0.25::DOUBLE+0.75::DOUBLE*((vec_id*37)%100)/100::DOUBLE)*10000+0.5::DOUBLE)/10000::DOUBLE AS conf FROM embeddings)",
-    "overlaps": "overlaps AS (SELECT *, inter/(w*h+w2*h2-inter) AS iou FROM (SELECT a.id AS a, b.id AS b, a.image_id AS ia, b.image_id AS ib, a.w, a.h, b.w AS w2, b.h AS h2, sqrt((a.x0+a.w/2-b.x0-b.w/2)**2+(a.y0+a.h/2-b.y0-b.h/2)**2) AS centre, (least(a.x0+a.w,b.x0+b.w)-greatest(a.x0,b.x0))*(least(a.y0+a.h,b.y0+b.h)-greatest(a.y0,b.y0)) AS inter FROM boxes a JOIN boxes b ON a.id<b.id AND least(a.x0+a.w,b.x0+b.w)-greatest(a.x0,b.x0)>0 AND least(a.y0+a.h,b.y0+b.h)-greatest(a.y0,b.y0)>0))",
+    "lapping": "lapping AS (SELECT *, inter/(w*h+w2*h2-inter) AS iou FROM (SELECT a.id AS a, b.id AS b, a.image_id AS ia, b.image_id AS ib, a.w, a.h, b.w AS w2, b.h AS h2, sqrt((a.x0+a.w/2-b.x0-b.w/2)**2+(a.y0+a.h/2-b.y0-b.h/2)**2) AS centre, (least(a.x0+a.w,b.x0+b.w)-greatest(a.x0,b.x0))*(least(a.y0+a.h,b.y0+b.h)-greatest(a.y0,b.y0)) AS inter FROM boxes a JOIN boxes b ON a.id<b.id AND least(a.x0+a.w,b.x0+b.w)-greatest(a.x0,b.x0)>0 AND least(a.y0+a.h,b.y0+b.h)-greatest(a.y0,b.y0)>0))",
     "edges": "edges AS (SELECT *, CASE WHEN matches<50 THEN 'LOW_MATCH' WHEN inliers<30 OR ratio<0.35::DOUBLE THEN 'LOW_INLIER' WHEN err IS NULL OR err>3::DOUBLE THEN 'HIGH_REPROJECTION_ERROR' ELSE 'OK' END AS status FROM (SELECT *, inliers::DOUBLE/nullif(matches,0)::DOUBLE AS ratio FROM (SELECT l_suppkey AS a, l_partkey%100 AS b, floor(l_quantity*4)::BIGINT AS matches, floor(floor(l_quantity*4)*(l_tax*8::DOUBLE+0.2::DOUBLE))::BIGINT AS inliers, l_discount*40::DOUBLE+0.5::DOUBLE AS err, l_orderkey AS k1, l_linenumber AS k2 FROM lineitem)))",
     "stitch": "stitch AS (SELECT u, v, 1::DOUBLE/greatest(ratio,1e-6) AS weight, (v-u)*100::DOUBLE+(n%7)*90::DOUBLE AS tx, (u*v)%13*60::DOUBLE AS ty FROM (SELECT least(a,b) AS u, greatest(a,b) AS v, max(ratio) AS ratio, count(*) AS n FROM edges WHERE status='OK' AND a<100 AND a<>b GROUP BY 1,2) WHERE (u*7+v*3)%4=0)",
     "arcs": "arcs AS (SELECT u, v, weight FROM stitch UNION ALL SELECT v, u, weight FROM stitch)",

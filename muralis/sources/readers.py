@@ -38,7 +38,8 @@ def xmp_attributes(content: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-xmp = F.pandas_udf(xmp_attributes, "map<string,string>")
+def xmp(content: Column) -> Column:
+    return F.pandas_udf(xmp_attributes, "map<string,string>")(content)
 
 
 def location(attributes: Column) -> Column:
