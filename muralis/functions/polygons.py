@@ -65,7 +65,7 @@ def intersection_area(p: np.ndarray, q: np.ndarray) -> float:
     with np.errstate(divide="ignore", invalid="ignore"):
         t, u = (w[..., 0] * s[..., 1] - w[..., 1] * s[..., 0]) / det, (w[..., 0] * r[..., 1] - w[..., 1] * r[..., 0]) / det
         hit = (det != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-    xs.append((a[:, None, 0] + t * r[..., 0])[hit])
+    xs.append((a[:, None, 0] + np.where(hit, t, 0.0) * r[..., 0])[hit])
     cuts = np.unique(np.concatenate(xs))
     if len(cuts) < 2:
         return 0.0

@@ -43,9 +43,10 @@ def covered_cells(rects: DataFrame, cell: float, least: int = 2) -> DataFrame:
 
 
 def tiles(images: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """tile_id, x, y, w, h of the tiles of every image (image_id, width, height): a fixed stride, the last ones clamped."""
+    """tile_id, x, y, w, h of the tiles of every image (image_id, width, height): a fixed stride, as long as more than the
+    overlap is left; the last ones are clamped."""
     stride = cfg.tile_px - cfg.tile_overlap_px
-    starts = lambda side: F.explode(F.sequence(F.lit(0), F.greatest(F.col(side) - 1, F.lit(0)).cast("long"), F.lit(stride)))
+    starts = lambda side: F.explode(F.sequence(F.lit(0), F.greatest(F.col(side) - cfg.tile_overlap_px - 1, F.lit(0)).cast("long"), F.lit(stride)))
     out = images.filter("width > 0 and height > 0").withColumn("x", starts("width")).withColumn("y", starts("height"))
     size = lambda at, side: F.least(F.lit(cfg.tile_px), F.col(side) - F.col(at)).cast("long")
     return out.select("image_id", F.format_string("T%06d_%06d", "y", "x").alias("tile_id"), "x", "y", size("x", "width").alias("w"), size("y", "height").alias("h"))

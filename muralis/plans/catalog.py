@@ -268,7 +268,7 @@ def crack_metrics(spark, d):
     return out.select(*(rounded(c(k)).alias(k) if k.startswith("mean") else c(k) for k in out.columns))
 
 
-@query(with_roles("boxes", "SELECT id, owner, count(*) AS n FROM (SELECT b.id, (CAST(floor((x.x)/40) AS BIGINT)+CAST(floor((y.y)/40) AS BIGINT)*3)%7 AS owner FROM boxes b, range(-5,2100) x(x), range(-5,2100) y(y) WHERE x.x+0.5::DOUBLE>b.x0 AND x.x+0.5::DOUBLE<b.x0+b.w AND y.y+0.5::DOUBLE>b.y0 AND y.y+0.5::DOUBLE<b.y0+b.h) GROUP BY 1,2 HAVING count(*)>=20"))
+@query(with_roles("boxes", "SELECT id, owner, count(*) AS n FROM (SELECT b.id, (CAST(floor((x.x)/40) AS BIGINT)+CAST(floor((y.y)/40) AS BIGINT)*3)%7 AS owner FROM boxes b, range(-5,2100) x(x), range(-5,2100) y(y) WHERE x.x+0.5::DOUBLE>=b.x0 AND x.x+0.5::DOUBLE<b.x0+b.w AND y.y+0.5::DOUBLE>=b.y0 AND y.y+0.5::DOUBLE<b.y0+b.h) GROUP BY 1,2 HAVING count(*)>=20"))
 def owner_counts(spark, d):
     b = roles.boxes(spark, d)
     p = b.select("id", polygons.poly_pixels(polygons.box_polygon(c("x0"), c("y0"), c("x0") + c("w"), c("y0") + c("h"))).alias("pixels"))
@@ -447,7 +447,7 @@ def keypoint_merge(spark, d):
     return dp.merged_keypoints(p, 25.0).select("image_id", "point", rounded(c("x")).alias("x"), rounded(c("y")).alias("y"), "support")
 
 
-@query("SELECT image_id, printf('T%06d_%06d', y, x) AS tile_id, x, y, least(1024, width-x)::BIGINT AS w, least(1024, height-y)::BIGINT AS h FROM (SELECT *, unnest(range(0, height, 896)) AS y FROM (SELECT doc_id AS image_id, n_chars AS width, n_chars//2+1 AS height, unnest(range(0, n_chars, 896)) AS x FROM documents))")
+@query("SELECT image_id, printf('T%06d_%06d', y, x) AS tile_id, x, y, least(1024, width-x)::BIGINT AS w, least(1024, height-y)::BIGINT AS h FROM (SELECT *, unnest(range(0, greatest(height-128,1), 896)) AS y FROM (SELECT doc_id AS image_id, n_chars AS width, n_chars//2+1 AS height, unnest(range(0, greatest(n_chars-128,1), 896)) AS x FROM documents))")
 def tile_grid(spark, d):
     t = table(spark, d, "documents").select(c("doc_id").alias("image_id"), c("n_chars").alias("width"), (F.floor(c("n_chars") / 2) + 1).alias("height"))
     return dp.tiles(t)
