@@ -3,7 +3,8 @@
 1. Every start of a 200-byte window is tied to an anchor: the 80-byte string of least hash within the window. Equal
    windows have equal anchors at equal distances, so a window can repeat only where its anchor does.
 2. Anchors are counted by hash (combined before the shuffle). Where an anchor repeats, the stretch of text that covers the
-   windows tied to it, its *context*, goes to the task of that anchor; equal contexts of a batch travel once, with a count.
+   windows tied to it is its *context*. Equal contexts are counted by hash, and one of each goes to the task of its anchor,
+   unless all contexts of the anchor are equal: then there is nothing to sort, for all of their windows repeat.
 3. Each anchor's distinct contexts form a text whose suffix array is built by linear grouping construction. Windows are
    equal where neighbours among the window starts in that order share 200 bytes.
 4. Anchors with many occurrences are salted by content: equal contexts stay together, and each part reports one row for
@@ -20,18 +21,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from muralis.llm.suffix_sort import suffix_arrays
+from muralis.storage import materialise
 
 #: Bytes of a repeated string.
 WINDOW = 200
 #: Bytes of an anchor; a window holds WINDOW - ANCHOR + 1 of them.
 ANCHOR = 80
 #: Occurrences of an anchor beyond which it is salted, and about how many of them a part then takes.
-SALT_ABOVE = 512
+SALT_ABOVE = 2048
 SALT_ROWS = 256
-#: Bytes hashed at once, and text sorted at once.
+#: Bytes hashed at once, text held by a task for sorting, and text sorted at once.
 BUFFER = 8_000_000
+HELD = 8_000_000
 SORTED = 1_500_000
 
 _U = np.uint64
@@ -207,59 +211,95 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     kind = dict(docs.dtypes)["doc_id"]
     found = docs.mapInArrow(anchors, f"doc_id {kind}, th int, anchor long, run long")
-    counts = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
+    # Written, so that the join's sides are plain shuffles, which Spark splits at an anchor of very many rows.
+    counts = materialise(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "anchors")
     parts = F.when(F.col("n") > SALT_ABOVE, F.ceil(F.col("n") / SALT_ROWS)).otherwise(1).cast("int")
     repeated = found.join(counts, "anchor").select("doc_id", "th", F.struct("anchor", "run", parts.alias("parts")).alias("hit"))
     by_doc = repeated.groupBy(F.col("doc_id").alias("id"), F.col("th").alias("h")).agg(F.collect_list("hit").alias("hits"))
     wide = docs.join(by_doc, docs.doc_id.eqNullSafe(by_doc.id) & (docs.th == by_doc.h)).select("doc_id", "th", "text", "hits")
 
-    def slices(batch: pa.RecordBatch):
-        for doc, th, text, hits in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            raw = text.encode()
-            for hit in hits:
-                first, n = hit["run"] >> 8, hit["run"] & 255
-                yield doc, th, hit["anchor"], hit["parts"], first, raw[first : first + n + WINDOW - 1]
+    def unfolded(hits: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """For each hit of a batch its row, and the hits' fields."""
+        fields = hits.flatten()
+        rows = np.repeat(np.arange(len(hits)), hits.value_lengths().to_numpy())
+        return rows, {fields.type.field(k).name: fields.field(k).to_numpy(zero_copy_only=False) for k in range(fields.type.num_fields)}
+
+    def context_of(raws: list[bytes], rows: np.ndarray, runs: np.ndarray) -> list[bytes]:
+        firsts, ends = (runs >> 8).tolist(), ((runs >> 8) + (runs & 255) + WINDOW - 1).tolist()
+        return [raws[k][a:b] for k, a, b in zip(rows.tolist(), firsts, ends, strict=True)]
+
+    def occurrences(combined: bool):
+        """Rows by anchor and context; if ``combined``, one for each anchor and context of a batch, with their number."""
+
+        def read(batches):
+            for batch in batches:
+                rows, hits = unfolded(batch.column(3))
+                names = np.array([_context_name(x) for x in context_of([t.encode() for t in batch.column(2).to_pylist()], rows, hits["run"])], np.int64)
+                n = np.ones(len(names), np.int64)
+                if combined and len(names):
+                    key = np.rec.fromarrays([hits["anchor"], names])
+                    _, first, n = np.unique(key, return_index=True, return_counts=True)
+                    rows, names, hits = rows[first], names[first], {k: v[first] for k, v in hits.items()}
+                take = pa.array(rows)
+                arrays = [batch.column(0).take(take), batch.column(1).take(take), pa.array(hits["anchor"], pa.int64()), pa.array(names), pa.array(hits["run"], pa.int64())]
+                extra = [pa.array(hits["parts"], pa.int32()), pa.array(names % hits["parts"], pa.int32()), pa.array(n)] if combined else []
+                yield pa.RecordBatch.from_arrays([*arrays, *extra], ["doc_id", "th", "anchor", "context", "run", *(["parts", "salt", "n"] if combined else [])])
+
+        return read
 
     def contexts(batches):
         for batch in batches:
-            seen: dict[tuple[int, bytes], list[int]] = {}
-            for _, _, anchor, parts, _, context in slices(batch):
-                seen.setdefault((anchor, context), [parts, 0])[1] += 1
-            salts = [_context_name(c) % parts for (_, c), (parts, _) in seen.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in seen], pa.int64()), pa.array(salts, pa.int32()), pa.array([p > 1 for p, _ in seen.values()], pa.bool_()), pa.array([n for _, n in seen.values()], pa.int64()), pa.array([c for _, c in seen], pa.binary())], ["anchor", "salt", "salted", "n", "context"])
-
-    def occurrences(batches):
-        for batch in batches:
-            rows = [(doc, th, anchor, _context_name(c), first) for doc, th, anchor, _, first, c in slices(batch)]
-            kinds = (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "th", "anchor", "context", "at"])
+            rows, hits = unfolded(batch.column(1))
+            found = context_of([t.encode() for t in batch.column(0).to_pylist()], rows, hits["run"])
+            yield pa.RecordBatch.from_arrays([pa.array(hits["anchor"], pa.int64()), pa.array(hits["salt"], pa.int32()), pa.array(hits["parts"] > 1), pa.array(hits["n"], pa.int64()), pa.array(found, pa.binary())], ["anchor", "salt", "salted", "n", "context"])
 
     def sort_lanes(batches):
-        rows: list[tuple] = []
-        size, lane, last = 0, 0, None
+        lanes: list[list[tuple]] = []
+        size, last = 0, None
         for batch in batches:
             for anchor, salt, salted, n, context in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if (anchor, salt) != last:
-                    if size > SORTED:
-                        yield from _as_batches(_lane_rows(rows))
-                        rows, size = [], 0
-                    lane, last = lane + 1, (anchor, salt)
-                rows.append((lane, anchor, context, n, salted))
+                    if size > HELD:
+                        yield from _sorted_lanes(lanes)
+                        lanes, size = [], 0
+                    last = (anchor, salt)
+                    lanes.append([])
+                lanes[-1].append((anchor, context, n, salted))
                 size += len(context)
-        if rows:
-            yield from _as_batches(_lane_rows(rows))
-
-    lanes = wide.mapInArrow(contexts, "anchor long, salt int, salted boolean, n long, context binary").repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
+        yield from _sorted_lanes(lanes)
+
+    # Combined in the task before the shuffle; a salted anchor's contexts go to several tasks, equal ones to the same.
+    fields = f"doc_id {kind}, th int, anchor long, context long, run long"
+    dealt = wide.mapInArrow(occurrences(True), f"{fields}, parts int, salt int, n long").repartition("anchor", "salt")
+    one = dealt.groupBy("anchor", "salt", "context").agg(F.sum("n").alias("n"), F.max("parts").alias("parts"), F.min(F.struct("doc_id", "th", "run")).alias("r"))
+    one = one.withColumn("kinds", F.count("*").over(Window.partitionBy("anchor", "salt")))
+    single = (F.col("kinds") == 1) & (F.col("parts") == 1)
+    whole = one.filter(single & (F.col("n") > 1)).select("anchor", "context", F.lit(0).alias("first"), (F.col("r.run").bitwiseAND(255) - 1).cast("int").alias("last"))
+    kept = one.filter(~single).groupBy(F.col("r.doc_id").alias("id"), F.col("r.th").alias("h")).agg(F.collect_list(F.struct("anchor", "salt", "n", "parts", "r.run")).alias("hits"))
+    cut = docs.join(kept, docs.doc_id.eqNullSafe(kept.id) & (docs.th == kept.h)).select("text", "hits")
+    lanes = cut.mapInArrow(contexts, "anchor long, salt int, salted boolean, n long, context binary").repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
     marks = lanes.mapInArrow(sort_lanes, "key binary, anchor long, context long, first int, last int, alone boolean")
     # Rows without a key stand alone; of a key, at most one row per part of a salted anchor comes together.
     group = F.coalesce("key", F.unhex(F.concat_ws("", F.lit("00"), *(F.lpad(F.hex(c), 16, "0") for c in ("anchor", "context", "first")))))
     marks = marks.groupBy(group.alias("g")).agg(F.count("*").alias("n"), F.collect_list(F.struct("anchor", "context", "first", "last", "alone", F.col("key").isNull().alias("known"))).alias("rows"))
     marks = marks.select("n", F.explode("rows").alias("r")).filter("r.known or (r.alone and n > 1)").select("r.anchor", "r.context", "r.first", "r.last")
-    places = wide.mapInArrow(occurrences, f"doc_id {kind}, th int, anchor long, context long, at long").join(marks, ["anchor", "context"])
+    places = wide.mapInArrow(occurrences(False), fields).select("doc_id", "th", "anchor", "context", F.shiftright("run", 8).alias("at")).join(marks.unionByName(whole), ["anchor", "context"])
     span = F.struct((F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last")).alias("last"))
     return places.groupBy("doc_id", "th").agg(F.collect_list(span).alias("spans"))
 
 
+def _sorted_lanes(lanes: list[list[tuple]]):
+    """Lanes of similar size advance together, so that few long ones don't hold up many short ones."""
+    lanes.sort(key=lambda rows: sum(len(r[1]) for r in rows))
+    part, size = [], 0
+    for k, rows in enumerate(lanes):
+        part += [(k, *r) for r in rows]
+        size += sum(len(r[1]) for r in rows)
+        if size > SORTED or k + 1 == len(lanes):
+            yield from _as_batches(_lane_rows(part))
+            part, size = [], 0
+
+
 def _as_batches(rows: list[tuple]):
     for k in range(0, len(rows), 10_000):
         part = rows[k : k + 10_000]
@@ -282,11 +322,13 @@ def kept_bytes(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text), null texts as empty, with th and the spans of repeated windows (null: none)."""
+def with_spans(docs: DataFrame, *carried: str) -> DataFrame:
+    """``docs`` (doc_id, text, and the columns ``carried``) with th and the spans of repeated windows (null: none)."""
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.hash("text")).select("doc_id", "th", "text")
     spans = repeated_spans(keyed).select(F.col("doc_id").alias("id"), F.col("th").alias("h"), "spans")
-    return keyed.join(spans, keyed.doc_id.eqNullSafe(spans.id) & (keyed.th == spans.h), "left").select("doc_id", "th", "text", "spans")
+    if carried:
+        keyed = docs.select("doc_id", *carried, F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.hash("text"))
+    return keyed.join(spans, keyed.doc_id.eqNullSafe(spans.id) & (keyed.th == spans.h), "left").select("doc_id", "th", "text", "spans", *carried)
 
 
 def repeated_byte_digest(docs: DataFrame) -> DataFrame:
@@ -310,13 +352,16 @@ def repeated_byte_digest(docs: DataFrame) -> DataFrame:
     return with_spans(docs).mapInArrow(digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, th and the text without its repeated bytes; characters that a cut splits are dropped."""
+def remove_repeats(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, the text without its repeated bytes, and the columns ``carried``, a row for every row of ``docs``.
+
+    Characters that a cut splits are dropped. Null text counts as empty.
+    """
+    kinds = dict(docs.dtypes)
 
     def cut(batches):
         for batch in batches:
             texts = [kept_bytes(t.encode(), removed_runs(s)).decode("utf-8", "ignore") for t, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "th", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[4:]], ["doc_id", "text", *carried])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return with_spans(docs).mapInArrow(cut, f"doc_id {kind}, th int, kept string")
+    return with_spans(docs, *carried).mapInArrow(cut, ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", "text", *carried)))
