@@ -10,6 +10,7 @@ from muralis.llm.bpe_codec import bpe_round_trip
 from muralis.llm.fingerprints import fingerprint_documents
 from muralis.llm.html_extract import extract_pages
 from muralis.llm.near_dup import near_duplicate_classes
+from muralis.llm.nearest import top_inner_products
 from muralis.llm.packing import pack_documents
 from muralis.llm.quality import fit_quality, score_quality
 from muralis.llm.suffix_dedup import repeated_byte_digest
@@ -28,6 +29,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"))
 
@@ -57,7 +62,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op4_bpe_codec, op5_token_store, op6_fingerprints, op7_quality_classifier, op8_html_extraction, op9_near_duplicates, op10_best_fit_packing)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_top_k_search, op4_bpe_codec, op5_token_store, op6_fingerprints, op7_quality_classifier, op8_html_extraction, op9_near_duplicates, op10_best_fit_packing, pipeline)}
 
 #: DuckDB SQL by query name. The operators here work by tokenizers, sketches, trees and trained models, or are too slow
 #: in SQL on whole tables; tests/llm holds them against brute force instead.
