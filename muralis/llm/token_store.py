@@ -121,17 +121,15 @@ def token_blocks(docs: DataFrame, *, end_id: int = 2, path: str = WORD_BPE) -> D
             return pa.RecordBatch.from_pylist([row], _ARROW)
 
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for k in range(0, len(texts), BLOCK_DOCS):
-                for doc, packed in zip(batch.column(0).slice(k, BLOCK_DOCS).to_pylist(), encoder.encode_all(texts[k : k + BLOCK_DOCS]), strict=True):
-                    ids.append(packed + end)
-                    names.append(doc)
-                    held += len(packed) // 4 + 1
-                    if len(ids) >= BLOCK_DOCS or held >= BLOCK_IDS:
-                        yield closed()
-                        block, held = block + 1, 0
-                        ids.clear()
-                        names.clear()
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids.append(encoder.encode(text) + end)
+                names.append(doc)
+                held += len(ids[-1]) // 4
+                if len(ids) >= BLOCK_DOCS or held >= BLOCK_IDS:
+                    yield closed()
+                    block, held = block + 1, 0
+                    ids.clear()
+                    names.clear()
         if ids:
             yield closed()
 

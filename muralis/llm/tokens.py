@@ -27,7 +27,6 @@ CACHE_CHARS = 48
 #: A single space between two characters that are not white space: no pre-token of the byte-level pattern spans it,
 #: and the space always opens the pre-token that follows.
 _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
-_SEPARATOR = "\x02"
 
 
 class _Uneven(Exception):
@@ -116,9 +115,7 @@ class ByteEncoder:
 
 def _token_bytes(source: str) -> list[bytes]:
     """The bytes that each id stands for under the byte-level alphabet."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(plain)]
-    alphabet = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
+    alphabet = {letter: b for b, letter in _byte_letters().items()}
     model = json.loads(source)
     out = [b""] * (1 + max([*model["model"]["vocab"].values(), *(t["id"] for t in model["added_tokens"])]))
     for token, i in model["model"]["vocab"].items():
@@ -128,45 +125,71 @@ def _token_bytes(source: str) -> list[bytes]:
     return out
 
 
+#: Words that the word-end tokenizer's normaliser and pattern cut in one way only: Latin letters, then plain marks.
+_PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*|]*)")
+
+
+class _Words(dict):
+    """word -> packed ids, filled on demand; emptied when full."""
+
+    def __init__(self, make, limit: int = CACHE_CHUNKS):
+        super().__init__()
+        self.make, self.limit = make, limit
+
+    def __missing__(self, word: str) -> bytes:
+        value = self.make(word)
+        if len(word) <= CACHE_CHARS:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = value
+        return value
+
+
 class WordEncoder:
-    """BPE with word ends of a ``tokenizers`` JSON file that drops white space and so never joins across it."""
+    """BPE with word ends of a ``tokenizers`` JSON file that drops white space and so never joins across it.
+
+    New words are encoded by the library's BPE model alone where its normaliser and pattern have one outcome, so that
+    "Word," and "word" share the work on their letters; all others by the whole tokenizer.
+    """
 
     def __init__(self, path: str = WORD_BPE):
         self.library = _library(path)
-        self.cache: dict[str, bytes] = {}
-        mark = self.library.encode(_SEPARATOR, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
+        self.model = self.library.model
+        self.letters = _byte_letters()
+        self.words, self.stems = _Words(self._word), _Words(self._stem)
 
     def encode_piece(self, text: str) -> bytes:
         return pack(self.library.encode(text, add_special_tokens=False).ids)
 
-    def _learn(self, fresh: list[str]) -> None:
-        """Encode many new chunks in few library calls, told apart by a separator none of them holds."""
-        for k in range(0, len(fresh), 4096):
-            part = fresh[k : k + 4096]
-            ids = np.array(self.library.encode(f" {_SEPARATOR} ".join(part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark)
-            starts, ends = np.r_[0, cuts + 1].tolist(), np.r_[cuts, len(ids)].tolist()
-            raw = ids.tobytes()
-            for chunk, a, b in zip(part, starts, ends, strict=True):
-                self.cache[chunk] = raw[4 * a : 4 * b]
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Packed ids of each whole text."""
-        parts: list[list[str] | None] = []
-        seen: set[str] = set()
-        for text in texts:
-            if text and (self.mark is None or _SEPARATOR in text or re.search("[\x1c-\x1f]", text)):
-                parts.append(None)  # white space to Python, but not to the tokenizer
-                continue
-            words = (text or "").split()
-            parts.append(words)
-            seen.update(words)
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
-        self._learn([w for w in seen - self.cache.keys()])
-        get = self.cache.__getitem__
-        return [self.encode_piece(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts, strict=True)]
+    def _stem(self, stem: str) -> bytes:
+        if not stem.isascii():
+            stem = stem.encode().decode("latin-1").translate(self.letters)
+        return pack([t.id for t in self.model.tokenize(stem)])
+
+    def _word(self, word: str) -> bytes:
+        m = _PLAIN_WORD.fullmatch(word)
+        if not m:
+            return self.encode_piece(word)
+        return self.stems[m[1].lower()] + (self.stems[m[2]] if m[2] else b"")
+
+    def encode(self, text: str | None) -> bytes:
+        """Packed ids of the whole text."""
+        if not text:
+            return b""
+        if _NOT_SPACE.search(text):
+            return self.encode_piece(text)
+        return b"".join(map(self.words.__getitem__, text.split()))
+
+
+#: White space to Python, but not to the tokenizer.
+_NOT_SPACE = re.compile("[\x1c-\x1f]")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in the byte-level alphabet."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
 @lru_cache(maxsize=4)
