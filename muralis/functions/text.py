@@ -31,4 +31,4 @@ def facade_parts(facade_id: Column) -> tuple[Column, Column]:
 
 
 def without_bom(text: Column) -> Column:
-    return F.regexp_replace(text, "^﻿", "")
+    return F.regexp_replace(text, "^\ufeff", "")

@@ -18,7 +18,7 @@ def hash_split(source: Column, cfg: Config = DEFAULT) -> Column:
 
 def parsed_regions(annotations: DataFrame, json: str) -> DataFrame:
     """A row per region of an annotation: its polygon, or its box as one, if that has three corners; unnamed regions are numbered."""
-    regions = annotations.select("*", F.posexplode(F.from_json(F.regexp_replace(F.col(json), "^﻿", ""), REGIONS)).alias("ord", "region"))
+    regions = annotations.select("*", F.posexplode(F.from_json(F.regexp_replace(F.col(json), "^\ufeff", ""), REGIONS)).alias("ord", "region"))
     b = F.col("region.box")
     corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     box = F.when(b.isNotNull(), F.array(corner(b.x, b.y), corner(b.x + b.w, b.y), corner(b.x + b.w, b.y + b.h), corner(b.x, b.y + b.h)))

@@ -51,7 +51,7 @@ def location(attributes: Column) -> Column:
 def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One document per file, path and document; damaged ones and a byte order mark do no harm: the former are null."""
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return whole.select("path", F.from_json(F.regexp_replace("value", "^﻿", ""), schema).alias("document"))
+    return whole.select("path", F.from_json(F.regexp_replace("value", "^\ufeff", ""), schema).alias("document"))
 
 
 def session_columns(spark: SparkSession, path: str) -> dict[str, str]:

@@ -68,7 +68,7 @@ def status_stream(log: DataFrame) -> DataFrame:
 def log_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Rolled JSON-lines files as a stream; lines that are not JSON keep their text in ``broken``."""
     raw = spark.readStream.text(folder)
-    parsed = raw.select(F.col("value"), F.from_json(F.regexp_replace("value", "^﻿", ""), LOG_SCHEMA).alias("r"))
+    parsed = raw.select(F.col("value"), F.from_json(F.regexp_replace("value", "^\ufeff", ""), LOG_SCHEMA).alias("r"))
     return parsed.select("r.*", F.when(F.col("r").isNull() | F.coalesce(F.col("r.timestamp").isNull() & F.col("r.message").isNull(), F.lit(True)), F.col("value")).alias("broken"))
 
 
