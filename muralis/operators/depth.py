@@ -93,3 +93,35 @@ def raised_cosine(x: Column, size: Column, margin: Column) -> Column:
     """Weight of a pixel by its distance from the tile's edge."""
     edge = F.least(x + 0.5, size - x - 0.5)
     return F.when(edge >= margin, F.lit(1.0)).otherwise(0.5 - 0.5 * F.cos(F.pi() * edge / margin))
+
+
+def autocorrelation(df: DataFrame, position: str, value: str, lags: tuple[int, int]) -> DataFrame:
+    """lag, corr, n: covariance of a row profile with itself shifted by each lag, over its variance. The profile joins itself once, on the
+    shifted position."""
+    mean = df.agg(F.avg(value).alias("m"), F.var_pop(value).alias("v"))
+    centred = df.join(F.broadcast(mean)).select(F.col(position).alias("p"), (F.col(value) - F.col("m")).alias("x"), "v")  # one row
+    shifted = centred.select(F.explode(F.sequence(F.lit(lags[0]), F.lit(lags[1]))).alias("lag"), "p", F.col("x").alias("y")).select("lag", (F.col("p") - F.col("lag")).alias("p"), "y")
+    both = centred.join(shifted, "p")
+    return both.groupBy("lag").agg(F.try_divide(F.avg(F.col("x") * F.col("y")), F.max("v")).alias("corr"), F.count("*").alias("n"))
+
+
+def strongest_lag(correlations: DataFrame) -> DataFrame:
+    """The lag of the highest correlation, the smallest of equals, refined by a parabola through its neighbours."""
+    best = correlations.agg(F.max(F.struct("corr", (-F.col("lag")).alias("neg"))).alias("m")).select((-F.col("m.neg")).alias("lag"), F.col("m.corr").alias("corr"))
+    side = lambda k, name: correlations.select((F.col("lag") + k).alias("lag"), F.col("corr").alias(name))
+    joined = best.join(side(1, "left"), "lag", "left").join(side(-1, "right"), "lag", "left")
+    return joined.select("lag", "corr", (F.col("lag") + F.coalesce(parabola_peak(F.col("left"), F.col("corr"), F.col("right")), F.lit(0.0))).alias("refined"))
+
+
+def brightest(pixels: DataFrame, at: list[str], value: str) -> DataFrame:
+    """Greatest value per pixel over all layers."""
+    return pixels.groupBy(*at).agg(F.max(value).alias(value), F.count("*").alias("layers"))
+
+
+def owners_merged(known: DataFrame, cameras: DataFrame) -> DataFrame:
+    """camera, label: known labels stay; unseen cameras follow them in order of their names."""
+    last = known.agg(F.coalesce(F.max("label"), F.lit(0)).alias("last"))
+    fresh = cameras.join(known.select("camera"), "camera", "left_anti").distinct()
+    # One face's cameras.
+    numbered = fresh.join(F.broadcast(last)).select("camera", (F.col("last") + F.row_number().over(Window.orderBy("camera"))).cast("int").alias("label"))
+    return known.select("camera", "label").unionByName(numbered)

@@ -97,3 +97,18 @@ def reconciled_flags(suggested: DataFrame, stored: DataFrame, key: str) -> DataF
     """The suggestion, unless an operator has touched the stored flag."""
     s = stored.select(key, F.col("flag").alias("kept"), "auto_suggested")
     return suggested.join(s, key, "left").select(key, F.when(F.coalesce(F.col("auto_suggested"), F.lit(True)), F.col("flag")).otherwise(F.col("kept")).alias("flag"))
+
+
+def collinear(moments: DataFrame, *, least_spread: float = 3.0, ratio: float = 0.25) -> DataFrame:
+    """Whether positions with covariances cxx, cxy, cyy lie along a line: the larger standard deviation is wide enough and the other
+    one small against it."""
+    half, det = (F.col("cxx") + F.col("cyy")) / 2, F.col("cxx") * F.col("cyy") - F.col("cxy") * F.col("cxy")
+    root = F.sqrt(F.greatest(F.lit(0.0), half * half - det))
+    first, second = F.sqrt(F.greatest(F.lit(0.0), half + root)), F.sqrt(F.greatest(F.lit(0.0), half - root))
+    return moments.withColumn("collinear", (first >= least_spread) & (second < ratio * first))
+
+
+def wall_distance(pairs: DataFrame, group: str, focal: float, least: int = 4) -> DataFrame:
+    """Lower quartile of focal length times baseline over image shift (dx, tx) per group; null of fewer than ``least`` pairs."""
+    d = F.when(F.abs("tx") > 1e-9, focal * F.abs("dx") / F.abs("tx"))
+    return pairs.groupBy(group).agg(F.count(d).alias("n"), F.when(F.count(d) >= least, F.percentile(d, F.lit(0.25))).alias("distance"))

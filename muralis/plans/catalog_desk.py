@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from muralis.functions.geo import rounded
+from muralis.operators import depth as dp
 from muralis.operators import labels as lb
 from muralis.operators import quality as ql
 from muralis.operators import store as st
@@ -136,3 +137,33 @@ def id_sets(spark, d):
 @query("SELECT count(*) AS files, sum(length(html))::BIGINT AS bytes, count(DISTINCT sha256(html)) AS distinct_files FROM pages")
 def folder_size(spark, d):
     return table(spark, d, "pages").agg(F.count("*").alias("files"), F.sum(F.length("html")).cast("long").alias("bytes"), F.countDistinct(F.sha2("html", 256)).alias("distinct_files"))
+
+
+@query(f"WITH p AS (SELECT l_partkey%400 AS p, avg(l_quantity) AS x FROM lineitem GROUP BY 1), m AS (SELECT avg(x) AS m, var_pop(x) AS v FROM p), z AS (SELECT p, x-m AS x, v FROM p, m) SELECT lag, {r6('avg(a.x*b.x)/max(a.v)')} AS corr, count(*) AS n FROM z a, range(5, 40) l(lag), z b WHERE b.p=a.p+lag GROUP BY 1")
+def floor_autocorrelation(spark, d):
+    t = table(spark, d, "lineitem").groupBy((c("l_partkey") % 400).alias("p")).agg(F.avg("l_quantity").alias("x"))
+    return dp.autocorrelation(t, "p", "x", (5, 39)).select("lag", rounded(c("corr")).alias("corr"), "n")
+
+
+@query(with_roles("boxes", "SELECT floor(x0/20)::BIGINT AS px, floor(y0/20)::BIGINT AS py, max(conf) AS conf, count(*) AS layers FROM boxes GROUP BY 1,2"))
+def max_composite(spark, d):
+    t = roles.boxes(spark, d).select(F.floor(c("x0") / 20).alias("px"), F.floor(c("y0") / 20).alias("py"), "conf")
+    return dp.brightest(t, ["px", "py"], "conf")
+
+
+@query("SELECT camera, label FROM (SELECT n_name AS camera, n_nationkey+1 AS label FROM nation WHERE n_nationkey<10 UNION ALL SELECT n_name, 10+row_number() OVER (ORDER BY n_name) FROM nation WHERE n_nationkey>=10)")
+def owner_index(spark, d):
+    n = table(spark, d, "nation")
+    return dp.owners_merged(n.filter("n_nationkey < 10").select(c("n_name").alias("camera"), (c("n_nationkey") + 1).alias("label")), n.select(c("n_name").alias("camera")))
+
+
+@query(with_roles("boxes", "SELECT image_id, sqrt(greatest(0, h+r))>=3 AND sqrt(greatest(0, h-r))<0.9::DOUBLE*sqrt(greatest(0, h+r)) AS collinear FROM (SELECT *, sqrt(greatest(0, h*h-(a*b-k*k))) AS r FROM (SELECT image_id, covar_pop(x0,x0) AS a, covar_pop(y0,y0) AS b, covar_pop(x0,y0) AS k, (covar_pop(x0,x0)+covar_pop(y0,y0))/2 AS h FROM boxes GROUP BY 1))"))
+def capture_collinear(spark, d):
+    m = vw.band_plane(roles.boxes(spark, d).select("image_id", c("x0").alias("x"), c("y0").alias("y"), c("w").alias("z")), "image_id")
+    return ql.collinear(m, ratio=0.9).select("image_id", "collinear")
+
+
+@query(f"SELECT l_suppkey AS g, count(d) AS n, {r6('CASE WHEN count(d)>=4 THEN quantile_cont(d, 0.25) END')} AS distance FROM (SELECT l_suppkey, CASE WHEN abs(l_discount)>1e-9 THEN 24::DOUBLE*abs(l_quantity)/abs(l_discount) END AS d FROM lineitem) GROUP BY 1")
+def wall_distance(spark, d):
+    t = table(spark, d, "lineitem").select(c("l_suppkey").alias("g"), c("l_quantity").alias("dx"), c("l_discount").alias("tx"))
+    return ql.wall_distance(t, "g", 24.0).select("g", "n", rounded(c("distance")).alias("distance"))
