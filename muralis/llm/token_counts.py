@@ -13,7 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from muralis.llm.tokens import BYTE_BPE, BYTE_RANKS, _Chunks, _Uneven, byte_encoder
+from muralis.llm.tokens import BYTE_BPE, BYTE_RANKS, CACHE_CHARS, _Chunks, _Uneven, byte_encoder
+
+
+#: Characters of a text that may feed the table.
+SAMPLE_CHARS = 20_000
 
 
 class FrequentLengths:
@@ -36,21 +40,17 @@ class FrequentLengths:
         return {self.blob[a:b]: n for a, b, n in zip(cuts, cuts[1:], self.counts.tolist(), strict=False)}
 
 
-def frequent_lengths(docs: DataFrame, *, sample_rows: int = 2048, size: int = 32_768, path: str = BYTE_BPE, ranks: str | None = BYTE_RANKS) -> FrequentLengths:
-    """The table's pre-tokens come from at most ``sample_rows`` texts. They decide only which lookups are answered
+def frequent_lengths(docs: DataFrame, *, sample_rows: int = 1024, size: int = 32_768, path: str = BYTE_BPE, ranks: str | None = BYTE_RANKS) -> FrequentLengths:
+    """The table's pre-tokens come from at most ``sample_rows`` texts of at most SAMPLE_CHARS characters. They decide only which lookups are answered
     without encoding; every count is the same whatever the table holds."""
 
-    def tally(batches):
-        seen: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update((text or "").split(" ")[1:])
-        top = [(k, n) for k, n in seen.most_common(2 * size) if k and not k[0].isspace() and not k[-1].isspace() and len(k) <= 48]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["chunk", "n"])
-
-    rows = docs.select("text").limit(sample_rows).mapInArrow(tally, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(size).collect()
+    seen: Counter[str] = Counter()
+    # Taken from the first partitions that have enough rows; a limit inside the plan would gather rows of every task.
+    for row in docs.select("text").filter(F.length("text") <= SAMPLE_CHARS).limit(sample_rows).collect():
+        seen.update(row.text.split(" ")[1:])
+    chunks = [k for k, _ in seen.most_common(2 * size) if k and not k[0].isspace() and not k[-1].isspace() and len(k) <= CACHE_CHARS][:size]
     encoder = byte_encoder(path, ranks)
-    return FrequentLengths({r.chunk: min(65_535, len(encoder.ids_of(" " + r.chunk))) for r in rows})
+    return FrequentLengths({k: len(encoder.ids_of(" " + k)) for k in chunks})
 
 
 def token_counts(docs: DataFrame, *, limit: int = 512, path: str = BYTE_BPE, ranks: str | None = BYTE_RANKS, table: FrequentLengths | None = None) -> DataFrame:
