@@ -33,8 +33,8 @@ ANCHOR = 80
 #: Occurrences of an anchor beyond which it is salted, and about how many of them a part then takes.
 SALT_ABOVE = 2048
 SALT_ROWS = 256
-#: Bytes hashed at once, text held by a task for sorting, and text sorted at once.
-BUFFER = 8_000_000
+#: Bytes hashed at once (few enough for the processor's cache), text held by a task for sorting, and text sorted at once.
+BUFFER = 256_000
 HELD = 8_000_000
 SORTED = 1_500_000
 
@@ -69,7 +69,7 @@ def rolling(buffer: np.ndarray, width: int, seed: int = 7) -> np.ndarray:
     n = len(buffer)
     if n < width:
         return np.zeros(0, np.uint64)
-    up, down = _powers(1 << max(16, (n + 1).bit_length()))
+    up, down = _powers(1 << max(19, (n + 1).bit_length()))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_symbols(seed)[buffer] * down[:n], out=sums[1:])
     return _mixed((sums[width:] - sums[:-width]) * up[: n - width + 1])
