@@ -193,9 +193,9 @@ def test_near_duplicates(spark, docs, rows, empty):
     words = [f"w{k}" for k in range(3000)]
     base = [random.choice(words) for _ in range(220)]
     copies = []
-    for k in range(30):  # near copies of one text, and of a text far from it
+    for k in range(60):  # copies of one text, from equal to half edited, so that many are like few others only
         w = list(base)
-        for _ in range(k % 6):
+        for _ in range(k % 30):
             w[random.randrange(len(w))] = random.choice(words)
         copies.append((20_000 + k, " ".join(w), None, None, None, None, None))
     table = rows + copies
@@ -223,6 +223,22 @@ def test_near_duplicates(spark, docs, rows, empty):
     assert near_dup.near_duplicate_classes(empty).count() == 0
 
 
+def test_least_hashes_keep_alike_pairs():
+    rng = np.random.default_rng(6)
+    for size in (150, 3000):  # whole, and cut to the least hashes
+        base = rng.integers(1, 2**63, size).astype(np.uint64)
+        sets = []
+        for edits in (0, 0.05, 0.1, 0.2, 0.4, 0.9):
+            own = base.copy()
+            own[: int(size * edits)] = rng.integers(1, 2**63, int(size * edits)).astype(np.uint64)
+            sets.append((np.sort(own), np.ones(size, np.int64)))
+        kept = [near_dup.least_hashes(*s) for s in sets]
+        i, j = np.triu_indices(len(sets), 1)
+        got = near_dup.seem_alike(kept, kept, i, j, 0.8)
+        true = np.array([near_dup.likeness(*sets[a], *sets[b]) for a, b in zip(i, j, strict=True)])
+        assert got[true >= 0.8].all() and not got[true < 0.65].any()
+
+
 def test_dart_signatures_meet_as_often_as_sets_are_alike():
     rng = np.random.default_rng(5)
     pool = rng.integers(1, 2**63, 400).astype(np.uint64)
