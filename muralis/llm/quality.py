@@ -25,14 +25,14 @@ ROUNDS = 5
 #: Pseudo-labels per class, view and round, and the confidence that they need.
 PER_ROUND = 60
 CONFIDENCE = 0.97
-#: Learned words and word beginnings (of so many letters): how many at most, in how many rows (and what share of the rows) with the label at least, and how much
-#: likelier under it (log odds).
-LEXICON = 256
-LEXICON_ROWS = 8
-LEXICON_SHARE = 0.02
-LEXICON_ODDS = 3.5
-
-BEGINNINGS = (5, 6, 7, 8)
+#: Learned words and word beginnings (of so many letters): the likelihood ratio statistic from which the labelled rows of a
+#: language, or of all, tie one to the label (15: once in 10,000 words by chance), how much likelier it is under the label
+#: (log odds), and the rows with the label that it takes (one row says nothing: all its rare words are only there).
+LEXICON_EVIDENCE = 15.0
+LEXICON_ODDS = 2.5
+LEXICON_ROWS = 2
+
+BEGINNINGS = (4, 5, 6, 7, 8)
 #: Scores from, and below, which a document is kept.
 LEAST_QUALITY = 0.5
 MOST_TOXICITY = 0.5
@@ -167,22 +167,35 @@ def _featured(docs: DataFrame, labels: str, lexicon: frozenset[str]) -> DataFram
 
 
 def learned_words(rows: DataFrame) -> frozenset[str]:
-    """Words and beginnings of words much likelier in rows with label 1 than with label 0 (text, y): a bounded list, best first."""
+    """Words and beginnings of words that the rows (text, lang, y) of a language, or all rows, tie to label 1.
+
+    Every one with the evidence is taken, however rare. Rows of one text count once, and what a shorter beginning covers is
+    left out. The rows are bounded, and so are their words.
+    """
 
     def distinct_words(batches):
         for batch in batches:
             words = [set(_WORD.findall((t or "").lower())) for t in batch.column(0).to_pylist()]
             seen = [sorted(ws.union(*map(beginnings, ws))) for ws in words]
-            y = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), [len(s) for s in seen])
-            yield pa.RecordBatch.from_arrays([pa.array([w for s in seen for w in s], pa.string()), pa.array(y.astype(np.int32), pa.int32())], ["word", "y"])
-
-    totals = rows.agg(F.sum("y").alias("ones"), F.count("*").alias("n")).first()
-    if not totals.ones or totals.ones == totals.n:
-        return frozenset()
-    counts = rows.select("text", F.col("y").cast("int")).mapInArrow(distinct_words, "word string, y int").groupBy("word").agg(F.sum("y").alias("a"), F.count("*").alias("n"))
-    odds = F.log((F.col("a") + 0.5) / (totals.ones + 1.0)) - F.log((F.col("n") - F.col("a") + 0.5) / (totals.n - totals.ones + 1.0))
-    best = counts.filter(F.col("a") >= max(LEXICON_ROWS, LEXICON_SHARE * totals.ones)).withColumn("odds", odds).filter(F.col("odds") >= LEXICON_ODDS).orderBy(F.desc("odds"), "word").limit(LEXICON)
-    return frozenset(r.word for r in best.collect())
+            at = pa.array(np.repeat(np.arange(len(seen)), [len(s) for s in seen]))
+            yield pa.RecordBatch.from_arrays([pa.array([w for s in seen for w in s], pa.string()), batch.column(1).take(at), batch.column(2).take(at)], ["word", "lang", "y"])
+
+    def pooled(df: DataFrame, *keys: str) -> DataFrame:
+        """``df`` and, with "*" as their language, its sums over all languages."""
+        every = df.groupBy(*keys).agg(F.sum("a").alias("a"), F.sum("n").alias("n")).withColumn("lang", F.lit("*"))
+        return df.unionByName(every)
+
+    rows = rows.select("text", F.concat(F.lit("="), F.coalesce("lang", F.lit(""))).alias("lang"), F.col("y").cast("int").alias("y")).dropDuplicates()
+    sums = F.sum("y").alias("a"), F.count("*").alias("n")
+    totals = pooled(rows.groupBy("lang").agg(*sums)).toDF("lang", "ones", "total").filter("ones > 0 and ones < total")
+    counts = pooled(rows.mapInArrow(distinct_words, "word string, lang string, y int").groupBy("lang", "word").agg(*sums), "word")
+    c = F.col
+    cells = counts.join(F.broadcast(totals), "lang").filter(c("a") >= LEXICON_ROWS)  # totals: a row per language
+    parts = [(c("a"), c("n") * c("ones")), (c("n") - c("a"), c("n") * (c("total") - c("ones"))), (c("ones") - c("a"), (c("total") - c("n")) * c("ones")), (c("total") - c("ones") - c("n") + c("a"), (c("total") - c("n")) * (c("total") - c("ones")))]
+    evidence = 2 * sum((F.when(x > 0, x * F.log(x * c("total") / e)).otherwise(0.0) for x, e in parts), F.lit(0.0))
+    odds = F.log((c("a") + 0.5) / (c("ones") + 1.0)) - F.log((c("n") - c("a") + 0.5) / (c("total") - c("ones") + 1.0))
+    found = {r.word for r in cells.filter((evidence >= LEXICON_EVIDENCE) & (odds >= LEXICON_ODDS)).select("word").distinct().collect()}
+    return frozenset(w for w in found if found.isdisjoint(x for x in beginnings(w.rstrip("*")) if x != w))
 
 
 @dataclass
@@ -203,7 +216,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, labelled_rows: int = LABE
     docs = docs.select("doc_id", "text", "lang", "source")
     marks = _share(labels.select("doc_id", "quality", "toxic").filter("doc_id is not null and quality is not null and toxic is not null"), labelled_rows, 1)
     known = docs.join(F.broadcast(marks), "doc_id").filter("text is not null")  # bounded by labelled_rows
-    words = learned_words(known.select("text", F.col("toxic").alias("y")))
+    words = learned_words(known.select("text", "lang", F.col("toxic").alias("y")))
     rows = sorted(_featured(known, "doc_id, quality, toxic", words).collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
     pool = _featured(_share(docs.filter("text is not null"), pool_rows, 2), "doc_id", words).collect()
     if not rows:

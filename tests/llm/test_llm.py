@@ -160,6 +160,27 @@ def test_quality_held_out(spark, empty):
     assert quality.score_quality(empty, quality.fit_quality(empty, labels.limit(0))).count() == 0
 
 
+def test_toxic_recall_by_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(3)) == 0
+    model = quality.fit_quality(docs, labels.filter(~fold))
+    held = quality.score_quality(docs, model, "lang").join(labels.filter(fold).select("doc_id", "toxic"), "doc_id").collect()
+    for lang in ("en", "de", "fr", "es"):
+        caught = [r.toxicity >= 0.5 for r in held if r.lang == lang and r.toxic == 1]
+        blamed = [r.toxicity >= 0.5 for r in held if r.lang == lang and r.toxic == 0]
+        assert sum(caught) / len(caught) > 0.85 and sum(blamed) / len(blamed) < 0.05, lang
+
+
+def test_words_of_a_rare_language_are_learned(spark):
+    """Four rows of a language among hundreds of toxic ones of another."""
+    rows = [(f"plain words {k} and more", "en", 0) for k in range(400)] + [(f"awful words {k} and more", "en", 1) for k in range(300)]
+    rows += [(f"texto normal {k}", "es", 0) for k in range(60)] + [(f"texto malvado{k} normal", "es", 1) for k in range(4)]
+    words = quality.learned_words(spark.createDataFrame(rows, "text string, lang string, y int"))
+    assert "awf*" in words or "awful" in words or "awfu*" in words
+    assert any("malvado".startswith(w.rstrip("*")) for w in words)
+
+
 def test_html(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     html = {r.page_id: r.html for r in pages.collect()}
