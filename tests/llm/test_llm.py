@@ -244,6 +244,18 @@ def test_near_duplicates(spark, docs, rows, empty):
     assert near_dup.near_duplicate_classes(empty).count() == 0
 
 
+def test_pairs_skip_only_bands_that_they_share(spark):
+    """Sketches whose bytes agree in every coordinate, though the texts share band 5 (or bands 2 and 5) only."""
+    own = lambda k, **shared: [shared.get(f"b{band}", 1000 * k + band) for band in range(near_dup.BANDS)]
+    alike, other = bytes(near_dup.BANDS * near_dup.ROWS), bytes([9]) * (near_dup.BANDS * near_dup.ROWS)
+    least = np.arange(50, dtype=np.uint32).tobytes()
+    texts = [(1, alike, least, own(1, b5=7)), (2, alike, least, own(2, b5=7)), (3, other, least, own(3, b5=7)), (4, alike, least, own(4, b2=6, b5=8)), (5, alike, least, own(5, b2=6, b5=8)), (6, other, least, own(6, b5=8))]
+    sketches = spark.createDataFrame(texts, "id long, sketch binary, least binary, bands array<long>")
+    members = [(bucket, 5, k, 3, k % 3 == 0, k, k % 3 == 0) for bucket, ids in ((7, (1, 2, 3)), (8, (4, 5, 6))) for k in ids]
+    members = spark.createDataFrame(members, "bucket long, band int, id long, n long, centre boolean, component long, main boolean")
+    assert [tuple(r) for r in near_dup.likely_pairs(members, sketches, 0.8).collect()] == [(1, 2)]
+
+
 def test_least_hashes_keep_alike_pairs():
     rng = np.random.default_rng(6)
     for size in (150, 3000):  # whole, and cut to the least hashes
