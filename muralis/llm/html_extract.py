@@ -1,9 +1,10 @@
 """Main text of web pages by template deduction from equivalence classes.
 
-The tokens of a page are its elements, each named by its path. Across the pages of a host, tokens with the same occurrence
+The tokens of a page are its elements, each named by its path, and its blocks of text, each named by path and hash. Across the pages of a host, tokens with the same occurrence
 vector, how often each page holds them, form an equivalence class: they come from the same part of the host's template.
 Valid classes nest; what lies between their tokens are the template's slots. A page's main text is what remains in the
-slots of the article once the template's own regions (menus, notices, adverts ...) are set aside.
+slots of the article once the template's own text and regions (menus, notices, adverts ...) are set aside. Text is the
+template's own where a valid class holds it; regions are known by lists of element and class names.
 
 Occurrence vectors are never built: each token keeps the sum of its counts times a random number per page, which is equal
 for equal vectors, adds up over tasks, and needs a few bytes per host and token.
@@ -25,6 +26,9 @@ from muralis.storage import materialise
 
 #: Share of a host's pages that a token must be on to belong to the template.
 SUPPORT = 0.2
+#: The same for a block of text, and the pages that it must be on at least: on fewer, chance and copies of a page repeat text.
+TEXT_SUPPORT = 0.5
+TEXT_PAGES = 3
 
 # Element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -91,30 +95,61 @@ def walk(page: str):
         yield (stack[-1] if stack else None), page[at:]
 
 
-def blocks(page: str, main: frozenset[str]) -> list[str]:
+def _plain(parts: list[str]) -> str:
+    return " ".join(html.unescape("".join(parts)).split())
+
+
+def text_token(path: str, text: str) -> str:
+    """The name of a block of text in an element."""
+    return f"{path}>#{xxhash.xxh3_64_hexdigest(text)}"
+
+
+def text_tokens(page: str):
+    """The names of the page's blocks of text outside dropped elements, in page order."""
+    path, parts = "", []
+    for element, text in walk(page):
+        if element is None and text is None:
+            if parts and (plain := _plain(parts)):
+                yield text_token(path, plain)
+            path, parts = "", []
+        elif text is not None and not (element and element.dropped):
+            if not path and text.strip():
+                path = element.path if element else ""
+            parts.append(text)
+    if parts and (plain := _plain(parts)):
+        yield text_token(path, plain)
+
+
+def blocks(page: str, main: frozenset[str], texts: frozenset[str] = frozenset()) -> list[str]:
     """The page's main text, block by block. ``main``: paths of the template's article slots; without one on the page, all
-    slots that are not the template's own regions count."""
-    found: list[tuple[bool, str]] = []
+    slots that are not the template's own regions count. ``texts``: the template's own blocks of text, which are left out
+    unless nothing else is on the page."""
+    found: list[tuple[bool, str, bool]] = []
     held: dict[bool, list[str]] = {True: [], False: []}
+    path = ""
     any_article = False
 
     def close() -> None:
         for inside, parts in held.items():
-            if parts and (text := " ".join(html.unescape("".join(parts)).split())):
-                found.append((inside, text))
+            if parts and (text := _plain(parts)):
+                found.append((inside, text, bool(texts) and text_token(path, text) in texts))
             parts.clear()
 
     for element, text in walk(page):
         if element is None and text is None:
             close()
+            path = ""
         elif text is None:
             any_article |= element.article and not element.dropped
         elif element is None or not element.dropped:
+            if not path and text.strip():
+                path = element.path if element else ""
             inside = element is not None and (element.article or any(element.path == p or element.path.startswith(p + ">") for p in main))
             held[inside].append(text)
     close()
-    chosen = any_article or any(inside for inside, _ in found)
-    return [t for inside, t in found if inside or not chosen]
+    chosen = any_article or any(inside for inside, _, _ in found)
+    left = [(t, own) for inside, t, own in found if inside or not chosen]
+    return [t for t, own in left if not own] or [t for t, _ in left]
 
 
 def host_of(url: str | None) -> str:
@@ -140,7 +175,8 @@ def deduce(tokens: list[tuple[str, int, int, int, int, bool, bool]], pages: int)
         if nested:
             valid.append({"pages": key[2], "total": key[1], "tokens": sorted(r[0] for r in nested)})
             paths.update(r[0] for r in nested)
-    open_rows = [r for r in tokens if r[0] in paths and not r[5]]
+    texts = sorted(p for p in paths if ">#" in p)
+    open_rows = [r for r in tokens if r[0] in paths and not r[5] and ">#" not in r[0]]
     article = sorted(r[0] for r in open_rows if r[6])
     outermost = [p for p in article if not any(p.startswith(o + ">") for o in article)]
     if not outermost and open_rows:
@@ -153,7 +189,7 @@ def deduce(tokens: list[tuple[str, int, int, int, int, bool, bool]], pages: int)
         # The innermost path that still holds most of the open text.
         holders = [p for p, n in totals.items() if n >= 0.6 * whole and p.rpartition(">")[2].partition(".")[0] not in INLINE | {"p"}]
         outermost = [max(holders, key=lambda p: (p.count(">"), p))] if holders else []
-    return {"main": outermost, "classes": valid}
+    return {"main": outermost, "texts": texts, "classes": valid}
 
 
 def host_templates(pages: DataFrame) -> DataFrame:
@@ -174,10 +210,12 @@ def host_templates(pages: DataFrame) -> DataFrame:
                         row[0] += 1
                     else:
                         row[1] += len(text.strip())
+                for name in text_tokens(page):
+                    counts.setdefault(name, [0, 0, None])[0] += 1
                 lot = xxhash.xxh3_64_intdigest((url or "") + "\0" + page) >> 24
                 sums.setdefault((host, ""), [0, 0, 0, 0, False, False])[2] += 1
                 for path, (n, chars, element) in counts.items():
-                    s = sums.setdefault((host, path), [0, 0, 0, 0, element.dropped, element.article])
+                    s = sums.setdefault((host, path), [0, 0, 0, 0, bool(element and element.dropped), bool(element and element.article)])
                     s[0] = (s[0] + n * lot) & 0x7FFFFFFFFFFF
                     s[1] += n
                     s[2] += 1
@@ -191,7 +229,9 @@ def host_templates(pages: DataFrame) -> DataFrame:
     sums = materialise(sums, "page-tokens")
     sizes = sums.filter("path = ''").select("host", F.col("pages").alias("size"))
     # Only tokens on a share of the host's pages remain: a host's group is as large as its template, not as its pages.
-    kept = sums.filter("path <> ''").join(sizes, "host").filter(F.col("pages") >= F.greatest(F.lit(1.0), SUPPORT * F.col("size")))
+    # Text on too few pages goes before the join, which may deal rows by host.
+    repeated = sums.filter(~F.col("path").contains(">#") | (F.col("pages") >= TEXT_PAGES))
+    kept = repeated.filter("path <> ''").join(sizes, "host").filter(F.col("pages") >= F.when(F.col("path").contains(">#"), F.greatest(F.lit(float(TEXT_PAGES)), TEXT_SUPPORT * F.col("size"))).otherwise(F.greatest(F.lit(1.0), SUPPORT * F.col("size"))))
 
     def template(table: pa.Table) -> pa.Table:
         rows = sorted(zip(*(table.column(c).to_pylist() for c in ("path", "vector", "total", "pages", "chars", "dropped", "article")), strict=True))
@@ -215,16 +255,17 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         return host_of(url)
 
     def extract(batches):
-        known: dict[str, frozenset[str]] = {}
+        known: dict[str, tuple[frozenset[str], frozenset[str]]] = {}
         for batch in batches:
             texts = []
             for page, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                main = known.get(template) if template else frozenset()
+                main = known.get(template) if template else (frozenset(), frozenset())
                 if main is None:
                     if len(known) > 10_000:
                         known.clear()
-                    main = known[template] = frozenset(json.loads(template)["main"])
-                texts.append(" ".join(blocks(page or "", main)))
+                    found = json.loads(template)
+                    main = known[template] = frozenset(found["main"]), frozenset(found["texts"])
+                texts.append(" ".join(blocks(page or "", *main)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     # Spark broadcasts the templates only if their files are small enough, and else splits a hot host's pages.

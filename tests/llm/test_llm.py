@@ -203,6 +203,23 @@ def test_html(spark):
     assert html_extract.extract_pages(table.limit(0)).count() == 0
 
 
+def test_html_leaves_out_what_the_template_repeats(spark):
+    """Hosts with and without article elements; the repeated blocks are in containers that no list names."""
+    pages, wanted = [], {}
+    for k in range(12):
+        body = f"<p>Story {k} begins <b>here</b> &amp; now</p><p>and ends with {k * 7} words of its own kind</p>"
+        own = f"Story {k} begins here & now and ends with {k * 7} words of its own kind"
+        boxed = f"<div class=xq><p>Our <i>desk</i> is open</p></div>{body}<div class=zz>Read it on paper</div>"
+        for host, page in (("a", f"<html><body><article>{boxed}</article></body></html>"), ("b", f"<html><body><div class=c1>{boxed}</div></body></html>")):
+            wanted[len(pages)] = own
+            pages.append((len(pages), f"http://{host}.example/{k}", page))
+    for k in range(4):  # copies of one page keep their text
+        wanted[len(pages)] = "The only text"
+        pages.append((len(pages), f"http://c.example/{k}", "<html><body><article><p>The only text</p></article></body></html>"))
+    table = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    assert {r.page_id: r.text for r in html_extract.extract_pages(table).collect()} == wanted
+
+
 def shingle_counts(text):
     words = (text or "").lower().split()
     k = min(5, len(words))
