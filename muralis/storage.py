@@ -5,13 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a local folder only where it is unset (tests, one machine)."""
+    """The session's ``spark.checkpoint.dir``; a local folder where it is unset, on a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="muralis-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -30,6 +32,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_with(df: DataFrame, name: str, **facts: Column) -> tuple[DataFrame, dict]:
+    """``materialise``, and aggregates of the rows that were gathered as they were written (0 where there are none)."""
+    seen = Observation()
+    written = materialise(df.observe(seen, *(c.alias(k) for k, c in facts.items())), name)
+    return written, {k: v or 0 for k, v in seen.get.items()}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
