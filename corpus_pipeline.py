@@ -27,13 +27,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates and exact copies: the one with the smallest doc_id.
 
-    Rows without a doc_id stay. Of rows that repeat the kept doc_id, the first in order stays.
+    Rows without a doc_id stay. Different texts that share a doc_id are told apart; of rows that repeat the kept doc_id and
+    text, the first in order stays.
     """
-    classes = near_duplicate_classes(docs).select("doc_id", "class_id").distinct()
-    kept = classes.filter("doc_id = class_id").select("doc_id")
-    # At most one row per class, so no group is large: repeats of one doc_id only.
-    first = docs.join(kept, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*(c for c in COLUMNS if c != "doc_id"))).alias("r"))
-    return first.select("doc_id", "r.*").select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
+    heads = near_duplicate_classes(docs).filter("first and doc_id is not null").select("doc_id", "text_md5").distinct()
+    rest = F.struct(*(c for c in COLUMNS if c != "doc_id"))
+    # At most one text per class, so no group is large: repeats of one row only.
+    kept = docs.withColumn("text_md5", F.md5(F.coalesce("text", F.lit("")))).join(heads, ["doc_id", "text_md5"])
+    kept = kept.groupBy("doc_id", "text_md5").agg(F.min(rest).alias("r")).select("doc_id", "r.*").select(*COLUMNS)
+    return kept.unionByName(docs.filter("doc_id is null").select(*COLUMNS))
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +62,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows, after all stages have been applied to ``documents`` in turn."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{k}")
