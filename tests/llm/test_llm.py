@@ -261,16 +261,63 @@ def test_near_duplicates(spark, docs, rows, empty):
     assert near_dup.near_duplicate_classes(empty).count() == 0
 
 
-def test_pairs_skip_only_bands_that_they_share(spark):
-    """Sketches whose bytes agree in every coordinate, though the texts share band 5 (or bands 2 and 5) only."""
-    own = lambda k, **shared: [shared.get(f"b{band}", 1000 * k + band) for band in range(near_dup.BANDS)]
+def test_pairs_are_told_apart_by_sketches(spark):
+    """Sketches whose bytes agree in every coordinate, in a bucket of one text of another kind."""
     alike, other = bytes(near_dup.BANDS * near_dup.ROWS), bytes([9]) * (near_dup.BANDS * near_dup.ROWS)
-    least = np.arange(50, dtype=np.uint32).tobytes()
-    texts = [(1, alike, least, own(1, b5=7)), (2, alike, least, own(2, b5=7)), (3, other, least, own(3, b5=7)), (4, alike, least, own(4, b2=6, b5=8)), (5, alike, least, own(5, b2=6, b5=8)), (6, other, least, own(6, b5=8))]
-    sketches = spark.createDataFrame(texts, "id long, sketch binary, least binary, bands array<long>")
-    members = [(bucket, 5, k, 3, k % 3 == 0, k, k % 3 == 0) for bucket, ids in ((7, (1, 2, 3)), (8, (4, 5, 6))) for k in ids]
-    members = spark.createDataFrame(members, "bucket long, band int, id long, n long, centre boolean, component long, main boolean")
-    assert [tuple(r) for r in near_dup.likely_pairs(members, sketches, 0.8).collect()] == [(1, 2)]
+    least, apart = np.arange(50, dtype=np.uint32).tobytes(), np.arange(1000, 1050, dtype=np.uint32).tobytes()
+    sketches = spark.createDataFrame([(1, alike, least), (2, alike, least), (3, other, least), (4, alike, least), (5, alike, apart)], "key long, sketch binary, least binary")
+    members = spark.createDataFrame([(7, k, k, 5, k == 3) for k in (1, 2, 3, 4, 5)], "bucket long, key long, component long, n long, main boolean")
+    assert sorted(tuple(r) for r in near_dup.likely_pairs(members, sketches, 0.8).collect()) == [(1, 2), (1, 4), (2, 4)]
+
+
+def test_mixed_buckets_are_divided(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "HOT", 3)
+    rows = [(1, k, k) for k in range(6)] + [(2, k, k) for k in range(4)] + [(3, 0, 0), (3, 1, 0)] + [(4, k, 9) for k in range(6)]
+    members = spark.createDataFrame(rows, "bucket long, key long, component long")
+    mixed, state = near_dup.mixed_members(members)
+    assert state == {"buckets": 2, "hot": 2} and {r.bucket for r in mixed.collect()} == {1, 2}
+    parts = near_dup.divided(mixed.filter("hot"))
+    assert sorted(r.key for r in parts.collect()) == [0, 1, 2, 3] and parts.select("bucket").distinct().count() == 1
+
+
+def test_near_duplicates_of_crowded_buckets(spark, monkeypatch):
+    """Many texts that share a passage, some of them near copies of each other; texts that share an id; and texts without spaces."""
+    monkeypatch.setattr(near_dup, "HOT", 8)
+    random.seed(14)
+    words = [f"w{k}" for k in range(5000)]
+    passage = [random.choice(words) for _ in range(100)]
+    rows, pairs = [], 0
+    for k in range(0, 120, 2):
+        own = [random.choice(words) for _ in range(40)]
+        rows.append((k, " ".join(passage + own)))
+        near = list(own)
+        near[random.randrange(40)] = "changed"
+        rows.append((k + 1, " ".join(passage + near)))
+    letters = [chr(0x4E00 + random.randrange(2000)) for _ in range(300)]
+    rows += [(500, "".join(letters)), (501, "".join([*letters[:150], "x", *letters[151:]])), (600, "one text of this id " * 20), (600, "another text of the very same id " * 20)]
+    got = near_dup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {r.doc_id: r.class_id for r in got.collect()}
+    assert sum(found[k + 1] == found[k] for k in range(0, 120, 2)) == 60
+    assert found[501] == 500 and got.filter("doc_id = 600 and first").count() == 2
+
+
+def test_recall_on_all_pairs(spark):
+    """All pairs of sf0.01 that share a run of five words, compared exactly."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    sets = [shingle_counts(r.text) for r in rows]
+    holders, shared = defaultdict(list), Counter()
+    for i, x in enumerate(sets):
+        for run in x:
+            holders[run].append(i)
+    for run, at in holders.items():
+        for n, i in enumerate(at):
+            for j in at[:n]:
+                shared[i, j] += min(sets[i][run], sets[j][run])
+    total = [sum(x.values()) for x in sets]
+    links = [(i, j) for (i, j), both in shared.items() if both >= 0.8 * (total[i] + total[j] - both)]
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicate_classes(spark.createDataFrame(rows)).collect()}
+    caught = sum(got[rows[i].doc_id] == got[rows[j].doc_id] for i, j in links)
+    assert len(links) > 100 and caught == len(links)
 
 
 def test_least_hashes_keep_alike_pairs():
