@@ -199,24 +199,26 @@ def _context_name(context: bytes) -> int:
 _MARKS = pa.schema([("key", pa.binary()), ("anchor", pa.int64()), ("context", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("alone", pa.bool_())])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, th, spans for ``docs`` (doc_id, th, text): ``spans`` lists the [first, last] starts of repeated windows."""
+def repeated_spans(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """key, th, spans for ``docs`` (key, th, text) and its distinct ``texts`` (key, th, text, copies): ``spans`` lists the [first, last]
+    starts of repeated windows. Equal texts have one key and th, so copies give one row, and however many they are, the
+    places of one text."""
 
     def anchors(batches):
         for batch in batches:
             raws = [(t or "").encode() for t in batch.column(2).to_pylist()]
             of, h, first, count = runs_of(raws)
             take = pa.array(of)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(h.view(np.int64)), pa.array((first << 8 | count).astype(np.int64))], ["doc_id", "th", "anchor", "run"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(h.view(np.int64)), pa.array((first << 8 | count).astype(np.int64))], ["key", "th", "anchor", "run"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    found = docs.mapInArrow(anchors, f"doc_id {kind}, th int, anchor long, run long")
+    found = docs.mapInArrow(anchors, "key long, th int, anchor long, run long")
     # Written, so that the join's sides are plain shuffles, which Spark splits at an anchor of very many rows.
     counts = materialise(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "anchors")
     parts = F.when(F.col("n") > SALT_ABOVE, F.ceil(F.col("n") / SALT_ROWS)).otherwise(1).cast("int")
-    repeated = found.join(counts, "anchor").select("doc_id", "th", F.struct("anchor", "run", parts.alias("parts")).alias("hit"))
-    by_doc = repeated.groupBy(F.col("doc_id").alias("id"), F.col("th").alias("h")).agg(F.collect_list("hit").alias("hits"))
-    wide = docs.join(by_doc, docs.doc_id.eqNullSafe(by_doc.id) & (docs.th == by_doc.h)).select("doc_id", "th", "text", "hits")
+    repeated = found.join(counts, "anchor").select("key", "th", F.struct("anchor", "run", parts.alias("parts")).alias("hit"))
+    # A set: copies of a text have the same hits, and those of an anchor meet in the partial step already.
+    hits = repeated.groupBy("key", "th").agg(F.collect_set("hit").alias("hits"))
+    wide = texts.join(hits, ["key", "th"]).select("key", "th", "text", "hits", "copies")
 
     def unfolded(hits: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """For each hit of a batch its row, and the hits' fields."""
@@ -235,15 +237,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             for batch in batches:
                 rows, hits = unfolded(batch.column(3))
                 names = np.array([_context_name(x) for x in context_of([t.encode() for t in batch.column(2).to_pylist()], rows, hits["run"])], np.int64)
-                n = np.ones(len(names), np.int64)
+                n = batch.column(4).to_numpy()[rows]
                 if combined and len(names):
                     key = np.rec.fromarrays([hits["anchor"], names])
-                    _, first, n = np.unique(key, return_index=True, return_counts=True)
-                    rows, names, hits = rows[first], names[first], {k: v[first] for k, v in hits.items()}
+                    _, first, kind = np.unique(key, return_index=True, return_inverse=True)
+                    sums = np.zeros(len(first), np.int64)
+                    np.add.at(sums, kind, n)
+                    rows, names, n, hits = rows[first], names[first], sums, {k: v[first] for k, v in hits.items()}
                 take = pa.array(rows)
                 arrays = [batch.column(0).take(take), batch.column(1).take(take), pa.array(hits["anchor"], pa.int64()), pa.array(names), pa.array(hits["run"], pa.int64())]
                 extra = [pa.array(hits["parts"], pa.int32()), pa.array(names % hits["parts"], pa.int32()), pa.array(n)] if combined else []
-                yield pa.RecordBatch.from_arrays([*arrays, *extra], ["doc_id", "th", "anchor", "context", "run", *(["parts", "salt", "n"] if combined else [])])
+                yield pa.RecordBatch.from_arrays([*arrays, *extra], ["key", "th", "anchor", "context", "run", *(["parts", "salt", "n"] if combined else [])])
 
         return read
 
@@ -269,23 +273,23 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         yield from _sorted_lanes(lanes)
 
     # Combined in the task before the shuffle; a salted anchor's contexts go to several tasks, equal ones to the same.
-    fields = f"doc_id {kind}, th int, anchor long, context long, run long"
+    fields = "key long, th int, anchor long, context long, run long"
     dealt = wide.mapInArrow(occurrences(True), f"{fields}, parts int, salt int, n long").repartition("anchor", "salt")
-    one = dealt.groupBy("anchor", "salt", "context").agg(F.sum("n").alias("n"), F.max("parts").alias("parts"), F.min(F.struct("doc_id", "th", "run")).alias("r"))
+    one = dealt.groupBy("anchor", "salt", "context").agg(F.sum("n").alias("n"), F.max("parts").alias("parts"), F.min(F.struct("key", "th", "run")).alias("r"))
     one = one.withColumn("kinds", F.count("*").over(Window.partitionBy("anchor", "salt")))
     single = (F.col("kinds") == 1) & (F.col("parts") == 1)
     whole = one.filter(single & (F.col("n") > 1)).select("anchor", "context", F.lit(0).alias("first"), (F.col("r.run").bitwiseAND(255) - 1).cast("int").alias("last"))
-    kept = one.filter(~single).groupBy(F.col("r.doc_id").alias("id"), F.col("r.th").alias("h")).agg(F.collect_list(F.struct("anchor", "salt", "n", "parts", "r.run")).alias("hits"))
-    cut = docs.join(kept, docs.doc_id.eqNullSafe(kept.id) & (docs.th == kept.h)).select("text", "hits")
+    kept = one.filter(~single).groupBy("r.key", "r.th").agg(F.collect_list(F.struct("anchor", "salt", "n", "parts", "r.run")).alias("hits"))
+    cut = texts.join(kept, ["key", "th"]).select("text", "hits", "copies")  # copies: as in wide, so that Spark reuses the shuffle
     lanes = cut.mapInArrow(contexts, "anchor long, salt int, salted boolean, n long, context binary").repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
     marks = lanes.mapInArrow(sort_lanes, "key binary, anchor long, context long, first int, last int, alone boolean")
     # Rows without a key stand alone; of a key, at most one row per part of a salted anchor comes together.
     group = F.coalesce("key", F.unhex(F.concat_ws("", F.lit("00"), *(F.lpad(F.hex(c), 16, "0") for c in ("anchor", "context", "first")))))
     marks = marks.groupBy(group.alias("g")).agg(F.count("*").alias("n"), F.collect_list(F.struct("anchor", "context", "first", "last", "alone", F.col("key").isNull().alias("known"))).alias("rows"))
     marks = marks.select("n", F.explode("rows").alias("r")).filter("r.known or (r.alone and n > 1)").select("r.anchor", "r.context", "r.first", "r.last")
-    places = wide.mapInArrow(occurrences(False), fields).select("doc_id", "th", "anchor", "context", F.shiftright("run", 8).alias("at")).join(marks.unionByName(whole), ["anchor", "context"])
+    places = wide.mapInArrow(occurrences(False), fields).select("key", "th", "anchor", "context", F.shiftright("run", 8).alias("at")).join(marks.unionByName(whole), ["anchor", "context"])
     span = F.struct((F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last")).alias("last"))
-    return places.groupBy("doc_id", "th").agg(F.collect_list(span).alias("spans"))
+    return places.groupBy("key", "th").agg(F.collect_list(span).alias("spans"))
 
 
 def _sorted_lanes(lanes: list[list[tuple]]):
@@ -322,13 +326,23 @@ def kept_bytes(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
 
 
-def with_spans(docs: DataFrame, *carried: str) -> DataFrame:
-    """``docs`` (doc_id, text, and the columns ``carried``) with th and the spans of repeated windows (null: none)."""
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.hash("text")).select("doc_id", "th", "text")
-    spans = repeated_spans(keyed).select(F.col("doc_id").alias("id"), F.col("th").alias("h"), "spans")
-    if carried:
-        keyed = docs.select("doc_id", *carried, F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.hash("text"))
-    return keyed.join(spans, keyed.doc_id.eqNullSafe(spans.id) & (keyed.th == spans.h), "left").select("doc_id", "th", "text", "spans", *carried)
+def _keyed(docs: DataFrame, *carried: str) -> DataFrame:
+    """``docs`` (text, and the columns ``carried``) with key and th: 96 bits that name the text. Null counts as empty."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(carried)), F.xxhash64(text).alias("key"), F.hash(text).alias("th"), text.alias("text"))
+
+
+def texts_with_spans(docs: DataFrame) -> DataFrame:
+    """text, spans, key, th: a row for each distinct text of ``docs`` (text), with the spans of its repeated windows (null: none)."""
+    keyed = _keyed(docs).select("key", "th", "text")
+    texts = keyed.groupBy("key", "th").agg(F.min("text").alias("text"), F.count("*").alias("copies"))
+    return texts.join(repeated_spans(keyed, texts), ["key", "th"], "left").select("text", "spans", "key", "th", "copies")
+
+
+def _to_rows(docs: DataFrame, found: DataFrame, *carried: str) -> DataFrame:
+    """The columns ``carried`` of every row of ``docs``, and what was ``found`` (key, th, ...) of its text."""
+    rows = _keyed(docs, *carried).drop("text").join(found, ["key", "th"])
+    return rows.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(carried)), *(c for c in found.columns if c not in ("key", "th")))
 
 
 def repeated_byte_digest(docs: DataFrame) -> DataFrame:
@@ -336,20 +350,21 @@ def repeated_byte_digest(docs: DataFrame) -> DataFrame:
 
     A byte goes if a 200-byte string that covers it starts anywhere else too, in this document or another; all
     occurrences go. Null or empty text: nothing to remove. Repeated rows count as documents of their own, so texts of
-    200 bytes or more that occur twice go whole. Null ids are kept; an empty table gives no rows.
+    200 bytes or more that occur twice go whole; each is worked on once, however many rows repeat it. Ids, null or shared by
+    different texts, are only carried. An empty table gives no rows.
     """
 
     def digest(batches):
         for batch in batches:
             rows = []
-            for text, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw, runs = text.encode(), removed_runs(spans)
                 rows.append((len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept_bytes(raw, runs)).hexdigest()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], ["key", "th", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return with_spans(docs).mapInArrow(digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = texts_with_spans(docs).mapInArrow(digest, "key long, th int, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _to_rows(docs, found, "doc_id")
 
 
 def remove_repeats(docs: DataFrame, *carried: str) -> DataFrame:
@@ -357,11 +372,11 @@ def remove_repeats(docs: DataFrame, *carried: str) -> DataFrame:
 
     Characters that a cut splits are dropped. Null text counts as empty.
     """
-    kinds = dict(docs.dtypes)
 
     def cut(batches):
         for batch in batches:
-            texts = [kept_bytes(t.encode(), removed_runs(s)).decode("utf-8", "ignore") for t, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[4:]], ["doc_id", "text", *carried])
+            texts = [kept_bytes(t.encode(), removed_runs(s)).decode("utf-8", "ignore") for t, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(texts, pa.string())], ["key", "th", "text"])
 
-    return with_spans(docs, *carried).mapInArrow(cut, ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", "text", *carried)))
+    found = texts_with_spans(docs).mapInArrow(cut, "key long, th int, text string")
+    return _to_rows(docs, found, "doc_id", *carried).select("doc_id", "text", *carried)

@@ -78,6 +78,16 @@ def test_suffix_dedup(docs, rows, empty, monkeypatch, salt):
     assert suffix_dedup.repeated_byte_digest(empty).count() == 0
 
 
+def test_suffix_dedup_of_many_equal_rows(spark):
+    """Ten thousand rows of one text with one id, and with none; different texts of one id and of none."""
+    random.seed(15)
+    text = "".join(random.choice("abcdefghij") for _ in range(1000))
+    rows = [(None, text)] * 5000 + [(7, text)] * 5000 + [(7, "x" + text[:150]), (None, text[::-1]), (None, None), (7, text[400:700] + "!" * 30)]
+    got = suffix_dedup.repeated_byte_digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    counts = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in got.collect())
+    assert counts == {(None, 1000, 1000, 1): 5000, (7, 1000, 1000, 1): 5000, (7, 151, 0, 0): 1, (None, 1000, 0, 0): 1, (None, 0, 0, 0): 1, (7, 330, 300, 1): 1}
+
+
 def test_token_counts_and_codec(docs, rows, empty):
     library = Tokenizer.from_file(tokens.BYTE_BPE)
     ids = [library.encode(r[1] or "", add_special_tokens=False).ids for r in rows]
