@@ -2,9 +2,11 @@
 
 The tokens of a page are its elements, each named by its path, and its blocks of text, each named by path and hash. Across the pages of a host, tokens with the same occurrence
 vector, how often each page holds them, form an equivalence class: they come from the same part of the host's template.
-Valid classes nest; what lies between their tokens are the template's slots. A page's main text is what remains in the
-slots of the article once the template's own text and regions (menus, notices, adverts ...) are set aside. Text is the
-template's own where a valid class holds it; regions are known by lists of element and class names.
+Valid classes nest; what lies between their tokens are the template's slots. The article's slot is the path of the template
+under which most of the host's running text stands: text that is neither the template's own nor a link. Names such as
+``article`` only decide how far out it reaches. A page's main text is what remains in that slot. Elements that mean something
+else (nav, aside, form ...) and containers whose class names say nothing but that (sidebar, cookie-notice ...) are no part
+of any slot.
 
 Occurrence vectors are never built: each token keeps the sum of its counts times a random number per page, which is equal
 for equal vectors, adds up over tasks, and needs a few bytes per host and token.
@@ -19,45 +21,63 @@ from collections import defaultdict
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muralis.storage import materialise
 
 #: Share of a host's pages that a token must be on to belong to the template.
-SUPPORT = 0.2
+SUPPORT = 0.01
+#: Share of a host's running text that the article's slot must hold, and pages from which a host's template decides on it.
+HOLDS = 0.6
+LEAST_PAGES = 3
 #: The same for a block of text, and the pages that it must be on at least: on fewer, chance and copies of a page repeat text.
 TEXT_SUPPORT = 0.5
 TEXT_PAGES = 3
+#: Elements nested deeper share their parent's path, as browsers nest no deeper either.
+DEPTH = 512
 
 # Element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big button cite code data del dfn em font i input ins kbd label mark meter output progress q rp rt ruby s samp select small span strike strong sub sup textarea time tt u var wbr img".split())
 ENDS_PARAGRAPH = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 ENDS_ITSELF = frozenset("li dt dd tr td th option".split())
 DROPPED = frozenset("head nav footer header aside form script style noscript template iframe object svg math button select textarea dialog menu canvas audio video".split())
-# Words of class, id and role names that mark what is not the article.
+# Words of class, id and role names that mark what is not the article, and words that say nothing.
 DROPPED_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget cookie cookies consent notice notices alert banner comment comments reply replies respond disqus share sharing social newsletter subscribe popup modal related recommended pagination search complementary contentinfo".split())
-ARTICLE_WORDS = frozenset("article main".split())
+PLAIN_WORDS = frozenset("area articles bar block body bottom box container content header inner items left link links list outer panel posts right row section slot text title top unit wrap wrapper".split())
+ARTICLE_WORDS = frozenset("article entry main post story".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S | re.I)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
 
+def named(tokens: list[str], words: frozenset[str]) -> bool:
+    """Whether the names say that an element is one of ``words``, and nothing else: "cookie-notice box", but not "has-sidebar"."""
+    parts = [w for t in tokens for w in _WORDS.findall(t)]
+    return any(w in words for w in parts) and all(w in words or w in PLAIN_WORDS for w in parts)
+
+
 class Element:
     """An open element: its path, and whether it or one around it is dropped or an article."""
 
-    __slots__ = ("article", "dropped", "name", "path")
+    __slots__ = ("article", "dropped", "form", "name", "path")
 
-    def __init__(self, name: str, attrs: str, parent: Element | None):
-        words = frozenset(w for _, value in _NAMED.findall(attrs) for w in _WORDS.findall(value.lower())) if attrs else frozenset()
+    def __init__(self, name: str, attrs: str, parent: Element | None, depth: int):
+        tokens = {kind.lower(): value.strip("\"'").lower().split() for kind, value in _NAMED.findall(attrs)} if attrs else {}
         self.name = name
-        label = name + "".join(f".{w}" for w in sorted(words)[:4])
-        self.path = f"{parent.path}>{label}" if parent else label
-        own = name in DROPPED or not words.isdisjoint(DROPPED_WORDS) and name not in ("html", "body")
-        self.dropped = own or bool(parent and parent.dropped)
-        self.article = name in ("article", "main") or not words.isdisjoint(ARTICLE_WORDS) or bool(parent and parent.article)
+        label = name + "".join(f".{t}" for t in sorted({re.sub(r"[>#\d]+", "", t) for ts in tokens.values() for t in ts}) if t)
+        self.path = label if parent is None else f"{parent.path}>{label}" if depth < DEPTH else parent.path
+        within = bool(parent and parent.article)
+        region = name in DROPPED and not (name == "header" and within)  # an article's own header holds its title
+        if name not in ("html", "body", "main") and not region:
+            region = any(named(ts, DROPPED_WORDS) for ts in tokens.values())
+        begins = name in ("article", "main")
+        # Some sites wrap the whole page in a form: an article within it is none of its fields.
+        self.form = not region and not begins and bool(parent and parent.form) or name == "form"
+        self.dropped = region or bool(parent and parent.dropped and not (parent.form and begins))
+        self.article = begins or within or any(named(ts, ARTICLE_WORDS) for ts in tokens.values())
 
 
 def walk(page: str):
@@ -89,7 +109,7 @@ def walk(page: str):
                 if stack[k].name not in INLINE and stack[k].name != "p":
                     break
         if name not in VOID:
-            stack.append(Element(name, m["attrs"], stack[-1] if stack else None))
+            stack.append(Element(name, m["attrs"], stack[-1] if stack else None, len(stack)))
             yield stack[-1], None
     if at < len(page):
         yield (stack[-1] if stack else None), page[at:]
@@ -120,76 +140,98 @@ def text_tokens(page: str):
         yield text_token(path, plain)
 
 
+def _above(path: str):
+    """The paths of the elements around ``path``, from the outermost."""
+    at = path.find(">")
+    while at >= 0:
+        yield path[:at]
+        at = path.find(">", at + 1)
+
+
 def blocks(page: str, main: frozenset[str], texts: frozenset[str] = frozenset()) -> list[str]:
-    """The page's main text, block by block. ``main``: paths of the template's article slots; without one on the page, all
-    slots that are not the template's own regions count. ``texts``: the template's own blocks of text, which are left out
+    """The page's main text, block by block. ``main``: paths of the template's article slots. On a page without text there, article
+    elements count, and without these, all that is not dropped. ``texts``: the template's own blocks of text, which are left out
     unless nothing else is on the page."""
-    found: list[tuple[bool, str, bool]] = []
-    held: dict[bool, list[str]] = {True: [], False: []}
+    found: list[tuple[bool, bool, str, bool]] = []
+    held: dict[tuple[bool, bool], list[str]] = {}
     path = ""
-    any_article = False
+    inside_of: dict[str, bool] = {}
+
+    def inside(p: str) -> bool:
+        if p not in inside_of:
+            inside_of[p] = bool(main) and (p in main or any(q in main for q in _above(p)))
+        return inside_of[p]
 
     def close() -> None:
-        for inside, parts in held.items():
-            if parts and (text := _plain(parts)):
-                found.append((inside, text, bool(texts) and text_token(path, text) in texts))
-            parts.clear()
+        for (slot, article), parts in held.items():
+            if text := _plain(parts):
+                found.append((slot, article, text, bool(texts) and text_token(path, text) in texts))
+        held.clear()
 
     for element, text in walk(page):
         if element is None and text is None:
             close()
             path = ""
-        elif text is None:
-            any_article |= element.article and not element.dropped
-        elif element is None or not element.dropped:
+        elif text is not None and (element is None or not element.dropped):
             if not path and text.strip():
                 path = element.path if element else ""
-            inside = element is not None and (element.article or any(element.path == p or element.path.startswith(p + ">") for p in main))
-            held[inside].append(text)
+            held.setdefault((element is not None and inside(element.path), bool(element and element.article)), []).append(text)
     close()
-    chosen = any_article or any(inside for inside, _, _ in found)
-    left = [(t, own) for inside, t, own in found if inside or not chosen]
+    which = 0 if any(slot for slot, *_ in found) else 1 if any(article for _, article, *_ in found) else None
+    left = [(f[2], f[3]) for f in found if which is None or f[which]]
     return [t for t, own in left if not own] or [t for t, _ in left]
 
 
-def host_of(url: str | None) -> str:
-    m = re.match(r"\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
-    return m[1].lower() if m else ""
+#: The host of a url, as a pattern of Spark's and of Python's.
+_HOST = r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
+
+
+def host(url: str) -> Column:
+    """The host of the column ``url``; empty if it has none."""
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), _HOST, 1))
 
 
 def deduce(tokens: list[tuple[str, int, int, int, int, bool, bool]], pages: int) -> dict:
     """The template from (path, vector, total, pages, chars, dropped, article) of a host's tokens.
 
-    Classes are the tokens of one vector. A class is valid if its tokens lie on one chain of nested or neighbouring
-    paths under a common valid parent; the root class is on every page once. Article slots are the outermost article
-    elements of valid classes or, where the host has none, the path with the most text that the template leaves open.
+    Classes are the tokens of one vector. A class is valid if its tokens lie under a token of a valid class or of their own; the
+    root class is on every page once. The article's slot is the innermost path of valid classes that holds most of the running
+    text. If article elements hold as much, the outermost one around or within it is the slot; else it reaches out
+    to the elements that add running text and few links.
     """
     classes: dict[tuple[int, int, int], list[tuple]] = defaultdict(list)
     for row in tokens:
         if row[3] >= max(1, SUPPORT * pages):
             classes[row[1], row[2], row[3]].append(row)
-    valid = []
-    paths: set[str] = set()
+    valid, paths = [], set()
     for key, rows in sorted(classes.items(), key=lambda kv: (-kv[0][2], kv[0][1], min(r[0].count(">") for r in kv[1]))):
-        nested = [r for r in rows if ">" not in r[0] or r[0].rpartition(">")[0] in paths or any(r[0].startswith(o[0] + ">") for o in rows if o is not r)]
+        own = {r[0] for r in rows}
+        nested = [r[0] for r in rows if ">" not in r[0] or any(p in paths or p in own for p in _above(r[0]))]
         if nested:
-            valid.append({"pages": key[2], "total": key[1], "tokens": sorted(r[0] for r in nested)})
-            paths.update(r[0] for r in nested)
-    texts = sorted(p for p in paths if ">#" in p)
-    open_rows = [r for r in tokens if r[0] in paths and not r[5] and ">#" not in r[0]]
-    article = sorted(r[0] for r in open_rows if r[6])
-    outermost = [p for p in article if not any(p.startswith(o + ">") for o in article)]
-    if not outermost and open_rows:
-        totals: dict[str, int] = defaultdict(int)
-        for r in open_rows:
-            parts = r[0].split(">")
-            for k in range(2, len(parts) + 1):
-                totals[">".join(parts[:k])] += r[4]
-        whole = sum(r[4] for r in open_rows)
-        # The innermost path that still holds most of the open text.
-        holders = [p for p, n in totals.items() if n >= 0.6 * whole and p.rpartition(">")[2].partition(".")[0] not in INLINE | {"p"}]
-        outermost = [max(holders, key=lambda p: (p.count(">"), p))] if holders else []
-    return {"main": outermost, "texts": texts, "classes": valid}
+            valid.append({"pages": key[2], "total": key[1], "tokens": sorted(nested)})
+            paths.update(nested)
+    texts = sorted(p for p in paths if ">#" in p and not p.endswith(">#"))
+    rows = [r for r in tokens if r[0] in paths and not r[5] and ">#" not in r[0]]
+    running, links = defaultdict(int), defaultdict(int)
+    for r in rows:
+        linked = any(part == "a" or part.startswith("a.") for part in r[0].split(">"))
+        for p in (*_above(r[0]), r[0]):
+            (links if linked else running)[p] += r[4]
+    top = max(running.values(), default=0)
+    holders = [p for p, n in running.items() if n >= HOLDS * top > 0 and p.rpartition(">")[2].partition(".")[0] not in INLINE | {"p", "html", "body"}]
+    if not holders or pages < LEAST_PAGES:
+        return {"main": [], "texts": texts, "classes": valid}
+    slot = max(holders, key=lambda p: (p.count(">"), p))
+    articles = {r[0] for r in rows if r[6]}
+    named_slots = [p for p in articles if not any(q in articles for q in _above(p))]
+    near = [p for p in named_slots if p == slot or slot.startswith(p + ">") or p.startswith(slot + ">")]
+    if sum(running[p] for p in near) >= HOLDS * top:
+        return {"main": sorted(near), "texts": texts, "classes": valid}
+    while (outer := slot.rpartition(">")[0]) in running and outer.rpartition(">")[2].partition(".")[0] not in ("html", "body"):
+        if links[outer] - links[slot] > 0.3 * (running[outer] - running[slot] + links[outer] - links[slot]):
+            break
+        slot = outer
+    return {"main": [slot], "texts": texts, "classes": valid}
 
 
 def host_templates(pages: DataFrame) -> DataFrame:
@@ -199,8 +241,8 @@ def host_templates(pages: DataFrame) -> DataFrame:
     def tokens(batches):
         for batch in batches:
             sums: dict[tuple[str, str], list] = {}
-            for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                host, page = host_of(url), page or ""
+            for url, page, url_host in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                host, page = url_host or "", page or ""
                 counts: dict[str, list] = {}
                 for element, text in walk(page):
                     if element is None:
@@ -225,7 +267,9 @@ def host_templates(pages: DataFrame) -> DataFrame:
             arrays += [pa.array([sums[k][j] for k in keys], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays(arrays, ["host", "path", "vector", "total", "pages", "chars", "dropped", "article"])
 
-    sums = pages.select("url", "html").mapInArrow(tokens, fields).groupBy("host", "path").agg(F.pmod(F.sum("vector"), F.lit(1 << 47)).alias("vector"), *(F.sum(c).alias(c) for c in ("total", "pages", "chars")), *(F.max(c).alias(c) for c in ("dropped", "article")))
+    # Sums as decimals: those of very many tasks don't overflow.
+    whole = F.pmod(F.sum(F.col("vector").cast("decimal(20,0)")), F.lit(1 << 47).cast("decimal(20,0)")).cast("long")
+    sums = pages.select("url", "html", host("url").alias("host")).mapInArrow(tokens, fields).groupBy("host", "path").agg(whole.alias("vector"), *(F.sum(c).alias(c) for c in ("total", "pages", "chars")), *(F.max(c).alias(c) for c in ("dropped", "article")))
     sums = materialise(sums, "page-tokens")
     sizes = sums.filter("path = ''").select("host", F.col("pages").alias("size"))
     # Only tokens on a share of the host's pages remain: a host's group is as large as its template, not as its pages.
@@ -250,10 +294,6 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     kind = dict(pages.dtypes)["page_id"]
     templates = materialise(host_templates(pages), "templates")
 
-    @F.udf("string", useArrow=True)
-    def host(url):
-        return host_of(url)
-
     def extract(batches):
         known: dict[str, tuple[frozenset[str], frozenset[str]]] = {}
         for batch in batches:
