@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from html import unescape
@@ -230,6 +231,38 @@ def test_html_leaves_out_what_the_template_repeats(spark):
     assert {r.page_id: r.text for r in html_extract.extract_pages(table).collect()} == wanted
 
 
+def test_html_by_deduced_slots(spark):
+    """Misleading class names, hosts without article elements, and names that only a template can overrule."""
+    pages, wanted = [], {}
+
+    def add(url, page, text):
+        wanted[len(pages)] = text
+        pages.append((len(pages), url, page))
+
+    add("http://a.example/", '<main class="page with-sidebar"><p>Body text.</p></main>', "Body text.")
+    add("http://b.example/", '<div class="has-sidebar"><article><p>Body text.</p></article></div>', "Body text.")
+    add("http://c.example/", '<article class="comments-open"><header><h1>Title</h1></header><p>Body<button>Like</button>.</p></article>', "Title Body.")
+    add("http://d.example/", '<article><p>Sales</p><div class="share-of-market-table">half of all</div><div class="related work">Others did so</div><div class="related">More</div></article>', "Sales half of all Others did so")
+    add("http://e.example/", '<form id="page"><input><p>field</p><article><p>Body text.</p></article></form>', "Body text.")
+    for k in range(9):  # no article element: the slot is found by the running text; links and short notes lie outside
+        story = f"Story {k} runs on and on with number {k * 13} in it and a few more words of its own kind"
+        add(f"http://f.example/{k}", f'<body><div class=q1><a href=/>Go {k}</a> <a href=/>Then {k + 1}</a></div><div class=q2><div class=q3><h2>Head {k}</h2></div><div class=q4><p>{story}</p><p>{story} again</p></div></div><div class=q5><p>{k} views</p></div></body>', f"Head {k} {story} {story} again")
+        # teasers in article elements hold little of the running text
+        add(f"http://g.example/{k}", f"<body><div class=z><p>{story}</p><p>{story} again</p></div><article><a href=/>Next {k}</a></article></body>", f"{story} {story} again")
+    deep = "<div>" * 3000 + "deep" + "</div>" * 3000
+    add("http://h.example/", deep + "<p>" + "word " * 100_000, "deep " + " ".join(["word"] * 100_000))
+    table = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_extract.extract_pages(table).collect()}
+    assert {k: got[k][:200] for k in got if got[k] != wanted[k]} == {}
+
+
+def test_deduction_is_linear_in_the_paths():
+    tokens = [("html", 1, 9, 9, 0, False, False)] + [(f"html>body>div.n{k}", 1, 9, 9, 5, False, False) for k in range(30_000)]
+    began = time.perf_counter()
+    assert len(html_extract.deduce(tokens, 9)["classes"][0]["tokens"]) == 30_001
+    assert time.perf_counter() - began < 5
+
+
 def shingle_counts(text):
     words = (text or "").lower().split()
     k = min(5, len(words))
@@ -277,7 +310,7 @@ def test_pairs_are_told_apart_by_sketches(spark):
     least, apart = np.arange(50, dtype=np.uint32).tobytes(), np.arange(1000, 1050, dtype=np.uint32).tobytes()
     sketches = spark.createDataFrame([(1, alike, least), (2, alike, least), (3, other, least), (4, alike, least), (5, alike, apart)], "key long, sketch binary, least binary")
     members = spark.createDataFrame([(7, k, k, 5, k == 3) for k in (1, 2, 3, 4, 5)], "bucket long, key long, component long, n long, main boolean")
-    assert sorted(tuple(r) for r in near_dup.likely_pairs(members, sketches, 0.8).collect()) == [(1, 2), (1, 4), (2, 4)]
+    assert sorted(tuple(r) for r in near_dup.likely_pairs(members, sketches, 0.8).collect()) == [(1, 2), (1, 4)]  # (2, 4) joins no more
 
 
 def test_mixed_buckets_are_divided(spark, monkeypatch):
@@ -341,9 +374,24 @@ def test_least_hashes_keep_alike_pairs():
             sets.append((np.sort(own), np.ones(size, np.int64)))
         kept = [near_dup.least_hashes(*s) for s in sets]
         i, j = np.triu_indices(len(sets), 1)
-        got = near_dup.seem_alike(kept, kept, i, j, 0.8)
+        got, sure = near_dup.seem_alike(kept, kept, i, j, 0.8)
         true = np.array([near_dup.likeness(*sets[a], *sets[b]) for a, b in zip(i, j, strict=True)])
-        assert got[true >= 0.8].all() and not got[true < 0.65].any()
+        assert got[true >= 0.8].all() and not got[true < 0.65].any() and not sure[true < 0.8].any() and sure[true > 0.95].all()
+
+
+def test_spanning_links_join_all():
+    rng = np.random.default_rng(9)
+    for _ in range(50):
+        a, b = rng.integers(0, 12, 40), rng.integers(0, 12, 40)
+        kept = near_dup.spanning(a, b)
+        reach = {x: {x} for x in range(12)}
+        for rows in (range(40), kept.tolist()):
+            label = list(range(12))
+            for _ in range(12):
+                for k in rows:
+                    label[a[k]] = label[b[k]] = min(label[a[k]], label[b[k]])
+            reach[len(reach)] = label
+        assert reach[12] == reach[13] and len(kept) == 12 - len(set(reach[12]))
 
 
 def test_dart_signatures_meet_as_often_as_sets_are_alike():
