@@ -1,78 +1,95 @@
 """Document fingerprints by consistent weighted sampling.
 
-A document is the multiset of its words. Each of the fingerprint's coordinates draws one (word, level) sample with gamma
-variables that depend on the word alone, so two documents agree in a coordinate with a probability equal to their
-generalised Jaccard similarity: the sum of the words' smaller counts over the sum of their larger ones.
+A document is the multiset of its terms: words, and the pieces of long ones. Each of the fingerprint's coordinates draws one
+(term, level) sample with gamma variables that depend on the term alone, so two documents agree in a coordinate with a
+probability equal to their generalised Jaccard similarity: the sum of the terms' smaller counts over that of their larger ones.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Coordinates of a fingerprint, each kept as 16 bits.
 COORDINATES = 128
-#: (word, count) pairs that a worker remembers; a kilobyte each.
-CACHE_ROWS = 80_000
-#: Longer words are replaced by their overlapping pieces of GRAM characters: scripts without spaces, encoded data.
-WORD_CHARS = 48
-GRAM = 8
+#: (term, count) pairs that a worker remembers; half a kilobyte each.
+CACHE_ROWS = 120_000
+#: A word is one term; of a longer one, each of its overlapping pieces of so many characters is.
+GRAM = 12
+#: Terms sampled at once: few enough for the processor's cache.
+TERMS = 256
+#: Quantiles of a table of the gamma distribution, and steps of ln(a) within a key.
+_QUANTILES = 1 << 16
+_STEPS = 1 << 14
 
 
 def words_of(text: str | None) -> Counter[str]:
+    """The text's terms and their counts."""
     out = Counter((text or "").lower().split())
-    for word in [w for w in out if len(w) > WORD_CHARS]:
+    for word in [w for w in out if len(w) > GRAM]:
         n = out.pop(word)
         for k in range(len(word) - GRAM + 1):
             out[word[k : k + GRAM]] += n
     return out
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _uniforms(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two floats in (0, 1) from the halves of each 64-bit value."""
-    return ((x >> np.uint64(32)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-32), ((x & np.uint64(0xFFFFFFFF)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-32)
+@lru_cache(maxsize=1)
+def _gamma_quantiles() -> tuple[np.ndarray, np.ndarray]:
+    """Quantiles of Gamma(2, 1), whose distribution function is 1 - (1 + x) exp(-x), and their logarithms."""
+    p = (np.arange(_QUANTILES) + 0.5) / _QUANTILES
+    low, high = np.zeros(_QUANTILES), np.full(_QUANTILES, 40.0)
+    for _ in range(60):
+        middle = (low + high) / 2
+        below = -np.expm1(-middle) - middle * np.exp(-middle) < p
+        low, high = np.where(below, middle, low), np.where(below, high, middle)
+    return low.astype(np.float32), np.log(low).astype(np.float32)
 
 
 def samples(hashes: np.ndarray, weights: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
-    """A row of keys per weighted word; the smallest key of a coordinate over all rows is the document's sample.
+    """A row of 32-bit keys per weighted term; the smallest key of a coordinate over all rows is the document's sample.
 
-    With r, c ~ Gamma(2, 1) and b ~ Uniform(0, 1) by word and coordinate: t = floor(ln(weight) / r + b) and
-    ln(a) = ln(c) - r (t - b) - r. The upper 32 bits of a key order by ln(a), the lower 32 identify (word, t).
+    With r, c ~ Gamma(2, 1) and b ~ Uniform(0, 1) by term and coordinate: t = floor(ln(weight) / r + b) and
+    ln(a) = ln(c) - r (t - b) - r. The upper 20 bits of a key order by ln(a), the lower 12 help to identify (term, t).
     """
-    base = hashes[:, None] + np.arange(1, coordinates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = _mixed(base)
-    y = _mixed(x + np.uint64(0xD1B54A32D192ED03))
-    b = _uniforms(_mixed(y + np.uint64(0x8CB92BA72F3D8DD7)))[0]
-    u, v = _uniforms(x)
-    r = -np.log(np.maximum(u * v, np.float32(1e-37)))
-    u, v = _uniforms(y)
-    log_c = np.log(np.maximum(-np.log(np.maximum(np.minimum(u * v, np.float32(1 - 1e-7)), np.float32(1e-37))), np.float32(1e-30)))
-    t = np.floor(np.log(weights.astype(np.float32))[:, None] / np.maximum(r, np.float32(1e-7)) + b)
-    log_a = (log_c - r * (t - b) - r).astype(np.float32)
-    bits = log_a.view(np.uint32)
-    order = np.where(bits >> 31, ~bits, bits | np.uint32(0x80000000)).astype(np.uint64)
-    element = _mixed(hashes[:, None] ^ (t.astype(np.int64).view(np.uint64) * np.uint64(0xA24BAED4963EE407))) >> np.uint64(32)
-    return (order << np.uint64(32)) | element
+    gamma, log_gamma = _gamma_quantiles()
+    x = (hashes[:, None] ^ (np.arange(1, coordinates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    parts = x.view(np.uint16).reshape(len(hashes), coordinates, 4)  # r, c, b and the element draw on 16 bits each
+    r = gamma[parts[..., 0]]
+    b = (parts[..., 2].astype(np.float32) + np.float32(0.5)) * np.float32(2**-16)
+    element = parts[..., 3].astype(np.uint32)
+    level = 1 - b  # t - b + 1, where t is 0: always for a term that occurs once
+    more = np.flatnonzero(weights > 1)
+    if len(more):
+        t = np.floor(np.log(weights[more].astype(np.float32))[:, None] / r[more] + b[more])
+        level[more] += t
+        element[more] += t.astype(np.uint32) * np.uint32(2654435761)
+    log_a = log_gamma[parts[..., 1]] - r * level
+    order = np.clip((log_a + np.float32(48)) * np.float32(_STEPS), 0, 64 * _STEPS - 1).astype(np.uint32)
+    return order << np.uint32(12) | (element ^ element >> np.uint32(12)) & np.uint32(0xFFF)
+
+
+def _folded(keys: np.ndarray) -> np.ndarray:
+    """16 bits of each key."""
+    x = (keys ^ keys >> np.uint32(16)) * np.uint32(0x7FEB352D)
+    return ((x ^ x >> np.uint32(15)) * np.uint32(0x846CA68B) >> np.uint32(16)).astype(np.uint16)
 
 
 class Sampler:
     """Fingerprints of word counts, with a bounded memory of the rows of words met before."""
 
     def __init__(self, coordinates: int = COORDINATES, rows: int = CACHE_ROWS):
-        self.coordinates, self.keys = coordinates, np.empty((rows, coordinates), np.uint64)
+        self.coordinates, self.keys = coordinates, np.empty((rows, coordinates), np.uint32)
         self.index: dict[tuple[str, int], int] = {}
 
     def _learn(self, items: set[tuple[str, int]]) -> None:
@@ -80,8 +97,8 @@ class Sampler:
         if len(self.index) + len(fresh) > len(self.keys):
             self.index.clear()
             fresh = list(items)
-        for k in range(0, len(fresh), 2048):
-            part = fresh[k : k + 2048]
+        for k in range(0, len(fresh), TERMS):
+            part = fresh[k : k + TERMS]
             at = len(self.index)
             hashes = np.array([xxhash.xxh3_64_intdigest(w) for w, _ in part], np.uint64)
             self.keys[at : at + len(part)] = samples(hashes, np.array([n for _, n in part]), self.coordinates)
@@ -89,7 +106,7 @@ class Sampler:
 
     def fingerprints(self, counts: list[Counter[str]]) -> np.ndarray:
         """16-bit coordinates, a row per document; 0 throughout for one without words."""
-        out = np.full((len(counts), self.coordinates), np.uint64(2**64 - 1))
+        out = np.full((len(counts), self.coordinates), np.uint32(2**32 - 1))
         step = len(self.keys) // 2
         pending: list[tuple[int, list[tuple[str, int]]]] = []
         held: set[tuple[str, int]] = set()
@@ -97,7 +114,9 @@ class Sampler:
         def flush() -> None:
             self._learn(held)
             for row, items in pending:
-                np.minimum(out[row], self.keys[list(map(self.index.__getitem__, items))].min(axis=0), out=out[row])
+                for k in range(0, len(items), 1024):
+                    found = np.take(self.keys, list(map(self.index.__getitem__, items[k : k + 1024])), axis=0)
+                    np.minimum(out[row], found.min(axis=0), out=out[row])
             pending.clear()
             held.clear()
 
@@ -110,7 +129,7 @@ class Sampler:
                 pending.append((row, part))
                 held.update(part)
         flush()
-        elements = (out & np.uint64(0xFFFF)).astype(np.uint16)
+        elements = _folded(out)
         elements[[not c for c in counts]] = 0
         return elements
 
@@ -146,7 +165,17 @@ def in_descending_runs(docs: DataFrame, runs: int) -> DataFrame:
         return pd.Series([[a, receiver[key]] if (key := None if n else i) in receiver else [a] for a, i, n in zip(own, ids.tolist(), null.tolist(), strict=True)])
 
     placed = docs.select("doc_id", "text", F.posexplode(targets("doc_id")).alias("copy", "run"))
-    return placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "run").sortWithinPartitions("run", "copy", F.desc_nulls_last("doc_id"), "text")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lanes = F.array(*map(F.lit, _one_key_a_partition(spark, n)))
+    dealt = placed.withColumn("lane", F.get(lanes, F.col("run") % n)).repartition(n, "lane").sortWithinPartitions("run", "copy", F.desc_nulls_last("doc_id"), "text")
+    return dealt.select("doc_id", "text", "copy", "run")
+
+
+def _one_key_a_partition(spark: SparkSession, n: int) -> list[int]:
+    """n integers that Spark's hash partitioning into n parts deals to different parts, so that ranges spread evenly."""
+    tried = spark.range(max(64, 16 * n * n.bit_length())).select(F.col("id").cast("int").alias("key")).groupBy(F.pmod(F.hash("key"), F.lit(n)).alias("part")).agg(F.min("key").alias("key"))
+    keys = [r.key for r in tried.collect()]
+    return keys + list(range(n - len(keys)))
 
 
 def edited(text: str, following: str) -> str:

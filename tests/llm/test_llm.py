@@ -307,7 +307,7 @@ def test_near_duplicates(spark, docs, rows, empty):
 def test_pairs_are_told_apart_by_sketches(spark):
     """Sketches whose bytes agree in every coordinate, in a bucket of one text of another kind."""
     alike, other = bytes(near_dup.BANDS * near_dup.ROWS), bytes([9]) * (near_dup.BANDS * near_dup.ROWS)
-    least, apart = np.arange(50, dtype=np.uint32).tobytes(), np.arange(1000, 1050, dtype=np.uint32).tobytes()
+    least, apart = np.arange(50, dtype=np.uint64).tobytes(), np.arange(1000, 1050, dtype=np.uint64).tobytes()
     sketches = spark.createDataFrame([(1, alike, least), (2, alike, least), (3, other, least), (4, alike, least), (5, alike, apart)], "key long, sketch binary, least binary")
     members = spark.createDataFrame([(7, k, k, 5, k == 3) for k in (1, 2, 3, 4, 5)], "bucket long, key long, component long, n long, main boolean")
     assert sorted(tuple(r) for r in near_dup.likely_pairs(members, sketches, 0.8).collect()) == [(1, 2), (1, 4)]  # (2, 4) joins no more
