@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Structure types.
-STRUCTURE_TYPES = ("APARTMENT", "BRIDGE", "DAM", "TUNNEL")
+STRUCTURE_TYPES = ("APARTMENT", "DAM", "FACTORY")
 
 
 def masked_name(name: Column) -> Column:
@@ -21,7 +21,7 @@ def structure_type(value: Column) -> Column:
 
 def exif_datetime(value: Column) -> Column:
     """2024:01:31 10:20:30 with dashes and a T; other texts pass unchanged."""
-    return F.regexp_replace(value, r"^(\d{4}):(\d{2}):(\d{2}) (\d{2}:\d{2}:\d{2})", "$1-$2-$3T$4")
+    return F.regexp_replace(value, r"^(\d{4}):(\d{2}):(\d{2}) (\d{2}:\d{2}:\d{2})$", "$1-$2-$3T$4")
 
 
 def facade_parts(facade_id: Column) -> tuple[Column, Column]:

@@ -16,7 +16,7 @@ CELL = 64.0
 
 # Grades and the note of an ungraded crack.
 SEVERE, MINOR = "정밀점검대상", "경미"
-NOTE_UNKNOWN, NOTE_COARSE = "해상도 정보 없음", "%.2f mm/px > 기준 %.2f mm/px"
+NOTE_UNKNOWN, NOTE_COARSE = "판정불가(해상도부족): 해상도 정보 없음", "판정불가(해상도부족): %.2f mm/px > 기준 %.2f mm/px"
 
 
 def overlapping(boxes: DataFrame, iou: float, within: list[str] | None = None) -> DataFrame:

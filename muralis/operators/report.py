@@ -69,8 +69,12 @@ def rolled_up(df: DataFrame, levels: list[str], aggregates: list[Column]) -> Dat
     return df.rollup(*levels).agg(*aggregates, F.grouping_id().alias("level"))
 
 
-def display_name(complex_name: Column, building: Column) -> Column:
-    return F.concat_ws(" ", F.nullif(F.trim(complex_name), F.lit("")), F.nullif(F.trim(building), F.lit("")))
+def display_name(complex_name: Column, building: Column, face: Column) -> Column:
+    """The complex, the building (a number gets the word for it), and the face in brackets; null without the first two."""
+    number = F.trim(building)
+    number = F.when(number.rlike(r"^\d+$"), F.concat(number, F.lit("동"))).otherwise(F.nullif(number, F.lit("")))
+    name = F.nullif(F.concat_ws(" ", F.nullif(F.trim(complex_name), F.lit("")), number), F.lit(""))
+    return F.concat(name, F.coalesce(F.concat(F.lit(" ("), face, F.lit(")")), F.lit("")))
 
 
 def issuer(database: Column, configured: Column) -> Column:

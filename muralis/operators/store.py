@@ -9,16 +9,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 # Labels of building faces.
-FACES = {"FRONT": "전면", "BACK": "후면", "LEFT": "좌측", "RIGHT": "우측"}
+FACES = {"FRONT": "정면", "BACK": "후면", "LEFT": "좌측면", "RIGHT": "우측면"}
 
-# Result files as (kind, pattern, keep); the first match counts.
+# Result files as (kind, pattern of the name after the face's prefix, keep); the first match counts, and a null kind is
+# skipped.
 FILE_KINDS = (
-    ("report", r"(?i)^report.*\.pdf$", True),
-    ("report_cards", r"(?i)^report_cards.*\.json$", True),
-    ("cracks", r"(?i)^cracks.*\.json$", True),
-    ("mosaic", r"(?i)^mosaic.*\.(png|tif|jpe?g)$", True),
-    ("depth", r"(?i)^depth.*\.(bin|json)$", False),
-    ("page", r"^\d+/?$", True),
+    ("report_pdf", r"^report\.pdf$", True),
+    ("report_cards", r"^report_cards.*\.json$", False),
+    ("mosaic_visual", r"^visual.*\.tif$", False),
+    ("mosaic_analysis", r"^analysis.*\.tif$", False),
+    ("crack_json", r"^cracks.*\.json$", False),
+    ("crack_mask", r"^crack_mask.*\.tif$", False),
+    ("crack_review", r"^crack_review\.json$", False),
+    ("manual_region", r"^manual_region\.json$", False),
+    ("measurement_json", r"^(scale|depth_mapping|structure_type).*\.json$", False),
+    ("quality_json", r"^(quality|colmap_report).*\.json$", False),
+    (None, r"\.(pdf|tmp|partial)$", False),
+    ("other", r"", False),
 )
 
 
@@ -70,7 +77,8 @@ def latest_contracts(contracts: DataFrame, requests: DataFrame, faces: DataFrame
 
 def face_label(mapped: Column, direction: Column) -> Column:
     """The mapped face, else the standard name of the direction."""
-    standard = reduce(lambda c, kv: c.when(F.upper(direction) == kv[0], kv[1]), list(FACES.items())[1:], F.when(F.upper(direction) == "FRONT", FACES["FRONT"]))
+    named = F.upper(F.trim(direction))
+    standard = reduce(lambda c, kv: c.when(named == kv[0], kv[1]), list(FACES.items())[1:], F.when(named == "FRONT", FACES["FRONT"]))
     return F.coalesce(mapped, standard)
 
 
@@ -78,13 +86,16 @@ def file_name(path: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(path, r"[?#].*$", ""), r"([^/\\]*)[/\\]?$", 1)
 
 
-def file_kind(name: Column) -> tuple[Column, Column]:
-    """(kind, keep) of a result file; other files are kept as such."""
-    kind = keep = None
+def file_kind(name: Column, facade: Column) -> tuple[Column, Column]:
+    """(kind, keep) of a result file of a face, by its name in lower case; null for files of other faces and for those to skip."""
+    prefix = F.concat(F.lower(facade), F.lit("_"))
+    rest = F.substr(F.lower(name), F.length(prefix) + 1)
+    kind = keep = F
     for k, pattern, kept in FILE_KINDS:
-        test = name.rlike(pattern)
-        kind, keep = (F.when(test, k), F.when(test, kept)) if kind is None else (kind.when(test, k), keep.when(test, kept))
-    return kind.otherwise("other"), keep.otherwise(True)
+        test = rest.rlike(pattern)
+        kind, keep = kind.when(test, F.lit(k).cast("string")), keep.when(test, F.lit(kept if k else None).cast("boolean"))
+    own = F.startswith(F.lower(name), prefix)
+    return F.when(own, kind), F.when(own, keep)
 
 
 def next_version(names: DataFrame, group: str, name: str) -> DataFrame:

@@ -57,11 +57,16 @@ def numbered_if_known(numbers: DataFrame, cracks: DataFrame, key: str) -> DataFr
 
 
 def floors_updated(rows: DataFrame, setting: DataFrame, canvas: list[str]) -> DataFrame:
-    """floor_min and floor_max of boxes (top, bottom) by the setting of a canvas of the very same size; others stay."""
+    """floor_min and floor_max of boxes (top, bottom) by the setting of a canvas of the very same size: the floors from 1 to the
+    total that the box's edges are on; null if neither is on one."""
     s = setting.select(*(F.col(c).alias(f"s_{c}") for c in canvas), "roof", "pitch", "total", "facade")
     joined = rows.join(s, "facade", "left")
     fits = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in canvas])
-    floor = lambda y: F.when(fits & (F.col(y) >= F.col("roof")), (F.col("total") - F.floor((F.col(y) - F.col("roof")) / F.col("pitch"))).cast("long"))
+
+    def floor(y: str) -> Column:
+        n = (F.col("total") - F.floor((F.col(y) - F.col("roof")) / F.col("pitch"))).cast("long")
+        return F.when(fits & (F.col(y) >= F.col("roof")) & n.between(1, F.col("total")), n)
+
     a, b = floor("top"), floor("bottom")
     return joined.select(*rows.columns, F.coalesce(F.least(a, b), F.lit(None).cast("long")).alias("floor_min"), F.greatest(a, b).alias("floor_max"))
 

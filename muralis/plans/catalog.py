@@ -157,13 +157,13 @@ def graph_components(spark, d):
     return connected_components(ck.overlapping(roles.boxes(spark, d), 0.2).select("a", "b"))
 
 
-@query(with_roles("edges stitch arcs", f", src AS (SELECT u AS node FROM arcs GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1), hop(k, node, dist) AS (SELECT 0, node, 0::DOUBLE FROM src UNION ALL SELECT k+1, v, min(dd) FROM (SELECT h.k, a.v, h.dist+a.weight AS dd FROM hop h JOIN arcs a ON a.u=h.node WHERE h.k<7) GROUP BY k, v HAVING min(dd)<=12) SELECT node, {r6('min(dist)')} AS dist FROM hop GROUP BY node", True).replace(") , src", "), src"))
+@query()
 def graph_sssp(spark, d):
     e = roles.stitch(spark, d)
     return gr.shortest_paths(e, gr.reference_node(e).select("node")).select("node", rounded(c("dist")).alias("dist"))
 
 
-@query(with_roles("edges stitch arcs", f", src AS (SELECT u AS node FROM arcs GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1), bfs(node, hops) AS (SELECT node, 0 FROM src UNION SELECT a.v, b.hops+1 FROM bfs b JOIN arcs a ON a.u=b.node WHERE b.hops<6), level AS (SELECT node, min(hops) AS hops FROM bfs GROUP BY 1), tree AS (SELECT l.node, min(p.node) AS parent FROM level l JOIN arcs a ON a.v=l.node JOIN level p ON p.node=a.u AND p.hops=l.hops-1 GROUP BY 1), cyc AS (SELECT s.* FROM stitch s WHERE s.u IN (SELECT node FROM level) AND s.v IN (SELECT node FROM level) AND NOT EXISTS (SELECT 1 FROM tree t WHERE least(t.node,t.parent)=s.u AND greatest(t.node,t.parent)=s.v)) SELECT count(*) AS n_edges, {r6('avg(o)')} AS mean_drift, {r6('max(o)')} AS max_drift FROM (SELECT sqrt((u*100::DOUBLE+tx-v*100::DOUBLE)**2+((u%10)*50::DOUBLE+ty-(v%10)*50::DOUBLE)**2) AS o FROM cyc)", True).replace(") , src", "), src"))
+@query()
 def drift_cycle(spark, d):
     e = roles.stitch(spark, d)
     tree = gr.breadth_first_tree(e, gr.reference_node(e).select("node"))
@@ -481,7 +481,7 @@ def homography_scalars(spark, d):
     return b.select("id", rounded(u).alias("u"), rounded(v).alias("v"), rounded(back).alias("back"), rounded(linalg.local_scale(c("h"), c("x0"), c("y0"))).alias("scale"))
 
 
-@query("SELECT c_custkey AS k, CASE WHEN length(c_name)<=2 THEN rpad(left(c_name,1),2,'*') ELSE rpad(left(c_name,2),length(c_name)::INTEGER,'*') END AS masked, upper(split_part(c_name,'#',1)) AS direction, try_cast(split_part(c_name,'#',2) AS INTEGER) AS sub, CASE WHEN upper(trim(c_mktsegment)) IN ('APARTMENT','BRIDGE','DAM','TUNNEL') THEN upper(trim(c_mktsegment)) ELSE 'APARTMENT' END AS structure FROM customer")
+@query("SELECT c_custkey AS k, CASE WHEN length(c_name)<=2 THEN rpad(left(c_name,1),2,'*') ELSE rpad(left(c_name,2),length(c_name)::INTEGER,'*') END AS masked, upper(split_part(c_name,'#',1)) AS direction, try_cast(split_part(c_name,'#',2) AS INTEGER) AS sub, CASE WHEN upper(trim(c_mktsegment)) IN ('APARTMENT','DAM','FACTORY') THEN upper(trim(c_mktsegment)) ELSE 'APARTMENT' END AS structure FROM customer")
 def text_scalars(spark, d):
     direction, sub = text.facade_parts(F.regexp_replace("c_name", "#", "_"))
     return table(spark, d, "customer").select(c("c_custkey").alias("k"), text.masked_name(c("c_name")).alias("masked"), direction.alias("direction"), sub.alias("sub"), text.structure_type(c("c_mktsegment")).alias("structure"))
@@ -527,10 +527,17 @@ def retention_due(spark, d):
     return due.groupBy("owner").agg(F.count("*").alias("due"), F.floor(F.sum("bytes") + 0.5).cast("double").alias("bytes"))
 
 
-@query("SELECT page_id, name, CASE WHEN regexp_matches(name,'(?i)^report.*\\.pdf$') THEN 'report' WHEN regexp_matches(name,'(?i)^report_cards.*\\.json$') THEN 'report_cards' WHEN regexp_matches(name,'(?i)^cracks.*\\.json$') THEN 'cracks' WHEN regexp_matches(name,'(?i)^mosaic.*\\.(png|tif|jpe?g)$') THEN 'mosaic' WHEN regexp_matches(name,'(?i)^depth.*\\.(bin|json)$') THEN 'depth' WHEN regexp_matches(name,'^\\d+/?$') THEN 'page' ELSE 'other' END AS kind FROM (SELECT page_id, regexp_extract(regexp_replace(url,'[?#].*$',''),'([^/\\\\]*)[/\\\\]?$',1) AS name FROM pages)")
+_FILES = ("REPORT.pdf", "report_cards_2.json", "visual_full.tif", "analysis.tif", "cracks_v2.json", "crack_mask.tif", "crack_review.json", "manual_region.json", "scale.json", "depth_mapping.json", "structure_type.json", "quality.json", "colmap_report.json", "old.pdf", "x.tmp", "y.partial", "notes.txt", "visual.png")
+_REST = "substr(lower(name), length(facade)+2)"
+_KIND = f"CASE WHEN NOT starts_with(lower(name), lower(facade)||'_') THEN NULL WHEN {_REST}='report.pdf' THEN 'report_pdf' WHEN {_REST} LIKE 'report\\_cards%.json' ESCAPE '\\' THEN 'report_cards' WHEN {_REST} LIKE 'visual%.tif' THEN 'mosaic_visual' WHEN {_REST} LIKE 'analysis%.tif' THEN 'mosaic_analysis' WHEN {_REST} LIKE 'cracks%.json' THEN 'crack_json' WHEN {_REST} LIKE 'crack\\_mask%.tif' ESCAPE '\\' THEN 'crack_mask' WHEN {_REST}='crack_review.json' THEN 'crack_review' WHEN {_REST}='manual_region.json' THEN 'manual_region' WHEN {_REST} LIKE '%.json' AND (starts_with({_REST},'scale') OR starts_with({_REST},'depth_mapping') OR starts_with({_REST},'structure_type')) THEN 'measurement_json' WHEN {_REST} LIKE '%.json' AND (starts_with({_REST},'quality') OR starts_with({_REST},'colmap_report')) THEN 'quality_json' WHEN {_REST} LIKE '%.pdf' OR {_REST} LIKE '%.tmp' OR {_REST} LIKE '%.partial' THEN NULL ELSE 'other' END"
+
+
+@query(f"SELECT k, name, kind, CASE WHEN kind IS NOT NULL THEN kind='report_pdf' END AS keep FROM (SELECT k, name, {_KIND} AS kind FROM (SELECT p_partkey AS k, 'F'||(p_size%3) AS facade, 'f'||(p_size%4)||'_'||{list(_FILES)!r}[p_partkey%18+1] AS name FROM part))")
 def file_kind(spark, d):
-    t = table(spark, d, "pages").select("page_id", st.file_name(c("url")).alias("name"))
-    return t.select("page_id", "name", st.file_kind(c("name"))[0].alias("kind"))
+    rest = F.element_at(F.array(*map(F.lit, _FILES)), (c("p_partkey") % 18 + 1).cast("int"))
+    t = table(spark, d, "part").select(c("p_partkey").alias("k"), F.concat(F.lit("F"), c("p_size") % 3).alias("facade"), F.concat(F.lit("f"), c("p_size") % 4, F.lit("_"), rest).alias("name"))
+    kind, keep = st.file_kind(c("name"), c("facade"))
+    return t.select("k", "name", kind.alias("kind"), keep.alias("keep"))
 
 
 @query("SELECT p_brand AS g, max(p_size)+1 AS next FROM part GROUP BY 1")

@@ -53,9 +53,9 @@ def numbering_insert(spark, d):
     return vw.numbered_if_known(n, table(spark, d, "orders").filter("o_orderstatus = 'F'").select(c("o_orderkey").alias("k")), "k")
 
 
-@query("SELECT k1, k2, k3, least(a,b) AS floor_min, greatest(a,b) AS floor_max FROM (SELECT *, CASE WHEN fits AND top>=20 THEN (15-floor((top-20)/40::DOUBLE))::BIGINT END AS a, CASE WHEN fits AND bottom>=20 THEN (15-floor((bottom-20)/40::DOUBLE))::BIGINT END AS b FROM (SELECT l_orderkey AS k1, l_linenumber AS k2, l_partkey AS k3, l_quantity*2 AS top, l_quantity*2+90 AS bottom, l_suppkey%2=0 AND l_linenumber<5 AS fits FROM lineitem))")
+@query("SELECT k1, k2, k3, least(a,b) AS floor_min, greatest(a,b) AS floor_max FROM (SELECT *, CASE WHEN fits AND top>=20 AND 15-floor((top-20)/40::DOUBLE) BETWEEN 1 AND 15 THEN (15-floor((top-20)/40::DOUBLE))::BIGINT END AS a, CASE WHEN fits AND bottom>=20 AND 15-floor((bottom-20)/40::DOUBLE) BETWEEN 1 AND 15 THEN (15-floor((bottom-20)/40::DOUBLE))::BIGINT END AS b FROM (SELECT l_orderkey AS k1, l_linenumber AS k2, l_partkey AS k3, l_quantity*14 AS top, l_quantity*14+90 AS bottom, l_suppkey%2=0 AND l_linenumber<5 AS fits FROM lineitem))")
 def floor_update(spark, d):
-    t = table(spark, d, "lineitem").select(c("l_orderkey").alias("k1"), c("l_linenumber").alias("k2"), c("l_partkey").alias("k3"), (c("l_suppkey") % 2).alias("facade"), (c("l_quantity") * 2).alias("top"), (c("l_quantity") * 2 + 90).alias("bottom"), F.when(c("l_linenumber") < 5, 100).otherwise(200).alias("width"))
+    t = table(spark, d, "lineitem").select(c("l_orderkey").alias("k1"), c("l_linenumber").alias("k2"), c("l_partkey").alias("k3"), (c("l_suppkey") % 2).alias("facade"), (c("l_quantity") * 14).alias("top"), (c("l_quantity") * 14 + 90).alias("bottom"), F.when(c("l_linenumber") < 5, 100).otherwise(200).alias("width"))
     setting = spark.createDataFrame([(0, 100, 20.0, 40.0, 15)], "facade long, width int, roof double, pitch double, total int")
     return vw.floors_updated(t, setting, ["width"]).select("k1", "k2", "k3", "floor_min", "floor_max")
 
@@ -120,10 +120,10 @@ def suffix_filter(spark, d):
     return t.join(gone, "no", "left_anti").groupBy("facade").agg(F.count("*").alias("n"), F.max("no").alias("last"))
 
 
-@query("SELECT n_name AS k, CASE n_nationkey%5 WHEN 0 THEN n_name WHEN 1 THEN '전면' WHEN 2 THEN '후면' WHEN 3 THEN '좌측' ELSE '우측' END AS face FROM nation")
+@query("SELECT n_name AS k, CASE n_nationkey%5 WHEN 0 THEN n_name WHEN 1 THEN '정면' WHEN 2 THEN '후면' WHEN 3 THEN '좌측면' ELSE '우측면' END AS face FROM nation")
 def face_labels(spark, d):
     m = c("n_nationkey") % 5
-    direction = F.element_at(F.array(*map(F.lit, ("x", "front", "BACK", "left", "RIGHT"))), (m + 1).cast("int"))
+    direction = F.element_at(F.array(*map(F.lit, ("x", " front", "BACK", "left ", "RIGHT"))), (m + 1).cast("int"))
     return table(spark, d, "nation").select(c("n_name").alias("k"), st.face_label(F.when(m == 0, c("n_name")), direction).alias("face"))
 
 
@@ -134,9 +134,9 @@ def id_sets(spark, d):
     return a.intersect(o.filter("o_custkey % 3 = 0").select("o_custkey")).subtract(o.filter("o_orderstatus = 'P'").select("o_custkey"))
 
 
-@query("SELECT count(*) AS files, sum(length(html))::BIGINT AS bytes, count(DISTINCT sha256(html)) AS distinct_files FROM pages")
+@query("SELECT count(*) AS files, sum(strlen(html))::BIGINT AS bytes, count(DISTINCT sha256(html)) AS distinct_files FROM pages")
 def folder_size(spark, d):
-    return table(spark, d, "pages").agg(F.count("*").alias("files"), F.sum(F.length("html")).cast("long").alias("bytes"), F.countDistinct(F.sha2("html", 256)).alias("distinct_files"))
+    return table(spark, d, "pages").agg(F.count("*").alias("files"), F.sum(F.octet_length("html")).cast("long").alias("bytes"), F.countDistinct(F.sha2("html", 256)).alias("distinct_files"))
 
 
 @query(f"WITH p AS (SELECT l_partkey%400 AS p, avg(l_quantity) AS x FROM lineitem GROUP BY 1), m AS (SELECT avg(x) AS m, var_pop(x) AS v FROM p), z AS (SELECT p, x-m AS x, v FROM p, m) SELECT lag, {r6('avg(a.x*b.x)/max(a.v)')} AS corr, count(*) AS n FROM z a, range(5, 40) l(lag), z b WHERE b.p=a.p+lag GROUP BY 1")

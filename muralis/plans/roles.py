@@ -31,16 +31,16 @@ def boxes(spark: SparkSession, d: str) -> DataFrame:
 def edges(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "lineitem")
     m = F.floor(F.col("l_quantity") * 4.0)
-    out = t.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 100).alias("b"), m.alias("matches"), F.floor(m * (F.col("l_tax") * 8.0 + 0.2)).alias("inliers"), (F.col("l_discount") * 40.0 + 0.5).alias("err"), F.col("l_orderkey").alias("k1"), F.col("l_linenumber").alias("k2"))
+    out = t.select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"), m.alias("matches"), F.floor(m * (F.col("l_tax") * 8.0 + 0.2)).alias("inliers"), (F.col("l_discount") * 40.0 + 0.5).alias("err"), F.col("l_orderkey").alias("k1"), F.col("l_linenumber").alias("k2"))
     out = out.withColumn("ratio", F.try_divide(F.col("inliers").cast("double"), F.col("matches").cast("double")))
     return out.withColumn("status", geometry_status(F.lit(None).cast("string"), F.col("matches"), F.col("inliers"), F.col("ratio"), F.col("err")))
 
 
 def stitch(spark: SparkSession, d: str) -> DataFrame:
-    """Accepted edges u < v among 100 photos, one per pair, with weight and a position of v as seen from u."""
-    e = edges(spark, d).filter("status = 'OK' and a < 100 and a <> b")
+    """Accepted edges u < v, one per pair, with weight and a position of v as seen from u."""
+    e = edges(spark, d).filter("status = 'OK' and a <> b")
     g = e.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.max("ratio").alias("ratio"), F.count("*").alias("n"))
-    return g.filter((F.col("u") * 7 + F.col("v") * 3) % 4 == 0).select("u", "v", (1.0 / F.greatest(F.col("ratio"), F.lit(1e-6))).alias("weight"), ((F.col("v") - F.col("u")) * 100.0 + (F.col("n") % 7) * 90.0).alias("tx"), ((F.col("u") * F.col("v")) % 13 * 60.0).alias("ty"))
+    return g.select("u", "v", (1.0 / F.greatest(F.col("ratio"), F.lit(1e-6))).alias("weight"), ((F.col("v") - F.col("u")) * 100.0 + (F.col("n") % 7) * 90.0).alias("tx"), ((F.col("u") * F.col("v")) % 13 * 60.0).alias("ty"))
 
 
 def cracks(spark: SparkSession, d: str) -> DataFrame:
@@ -75,10 +75,10 @@ SQL = {
     "framed": "framed AS (SELECT p.*, radians(lon-lon0)*6371000::DOUBLE*cos(radians(lat0)) AS x, radians(lat-lat0)*6371000::DOUBLE AS y, alt AS z FROM photos p, (SELECT avg(lat) lat0, avg(lon) lon0 FROM photos))",
     "boxes": "boxes AS (SELECT vec_id AS id, label AS image_id, floor((embedding[1]::DOUBLE+1)*1000*10+0.5::DOUBLE)/10::DOUBLE AS x0, floor((embedding[2]::DOUBLE+1)*1000*10+0.5::DOUBLE)/10::DOUBLE AS y0, 12.1::DOUBLE+4::DOUBLE*(vec_id%7) AS w, 12::DOUBLE+4::DOUBLE*(vec_id%5) AS h, floor((0.25::DOUBLE+0.75::DOUBLE*((vec_id*37)%100)/100::DOUBLE)*10000+0.5::DOUBLE)/10000::DOUBLE AS conf FROM embeddings)",
     "lapping": "lapping AS (SELECT *, inter/(w*h+w2*h2-inter) AS iou FROM (SELECT a.id AS a, b.id AS b, a.image_id AS ia, b.image_id AS ib, a.w, a.h, b.w AS w2, b.h AS h2, sqrt((a.x0+a.w/2-b.x0-b.w/2)**2+(a.y0+a.h/2-b.y0-b.h/2)**2) AS centre, (least(a.x0+a.w,b.x0+b.w)-greatest(a.x0,b.x0))*(least(a.y0+a.h,b.y0+b.h)-greatest(a.y0,b.y0)) AS inter FROM boxes a JOIN boxes b ON a.id<b.id AND least(a.x0+a.w,b.x0+b.w)-greatest(a.x0,b.x0)>0 AND least(a.y0+a.h,b.y0+b.h)-greatest(a.y0,b.y0)>0))",
-    "edges": "edges AS (SELECT *, CASE WHEN matches<50 THEN 'LOW_MATCH' WHEN inliers<30 OR ratio<0.35::DOUBLE THEN 'LOW_INLIER' WHEN err IS NULL OR err>3::DOUBLE THEN 'HIGH_REPROJECTION_ERROR' ELSE 'OK' END AS status FROM (SELECT *, inliers::DOUBLE/nullif(matches,0)::DOUBLE AS ratio FROM (SELECT l_suppkey AS a, l_partkey%100 AS b, floor(l_quantity*4)::BIGINT AS matches, floor(floor(l_quantity*4)*(l_tax*8::DOUBLE+0.2::DOUBLE))::BIGINT AS inliers, l_discount*40::DOUBLE+0.5::DOUBLE AS err, l_orderkey AS k1, l_linenumber AS k2 FROM lineitem)))",
-    "stitch": "stitch AS (SELECT u, v, 1::DOUBLE/greatest(ratio,1e-6) AS weight, (v-u)*100::DOUBLE+(n%7)*90::DOUBLE AS tx, (u*v)%13*60::DOUBLE AS ty FROM (SELECT least(a,b) AS u, greatest(a,b) AS v, max(ratio) AS ratio, count(*) AS n FROM edges WHERE status='OK' AND a<100 AND a<>b GROUP BY 1,2) WHERE (u*7+v*3)%4=0)",
+    "edges": "edges AS (SELECT *, CASE WHEN matches<50 THEN 'LOW_MATCH' WHEN inliers<30 OR ratio<0.35::DOUBLE THEN 'LOW_INLIER' WHEN err IS NULL OR err>3::DOUBLE THEN 'HIGH_REPROJECTION_ERROR' ELSE 'OK' END AS status FROM (SELECT *, inliers::DOUBLE/nullif(matches,0)::DOUBLE AS ratio FROM (SELECT l_suppkey AS a, l_partkey AS b, floor(l_quantity*4)::BIGINT AS matches, floor(floor(l_quantity*4)*(l_tax*8::DOUBLE+0.2::DOUBLE))::BIGINT AS inliers, l_discount*40::DOUBLE+0.5::DOUBLE AS err, l_orderkey AS k1, l_linenumber AS k2 FROM lineitem)))",
+    "stitch": "stitch AS (SELECT u, v, 1::DOUBLE/greatest(ratio,1e-6) AS weight, (v-u)*100::DOUBLE+(n%7)*90::DOUBLE AS tx, (u*v)%13*60::DOUBLE AS ty FROM (SELECT least(a,b) AS u, greatest(a,b) AS v, max(ratio) AS ratio, count(*) AS n FROM edges WHERE status='OK' AND a<>b GROUP BY 1,2))",
     "arcs": "arcs AS (SELECT u, v, weight FROM stitch UNION ALL SELECT v, u, weight FROM stitch)",
-    "cracks": "cracks AS (SELECT *, CASE WHEN width_mm IS NULL OR mm_per_px>0.15::DOUBLE THEN NULL WHEN width_mm>=0.3::DOUBLE THEN '정밀점검대상' ELSE '경미' END AS severity, CASE WHEN width_mm IS NULL THEN NULL WHEN mm_per_px>0.15::DOUBLE THEN printf('%.2f mm/px > 기준 0.15 mm/px', mm_per_px) END AS note FROM (SELECT l_suppkey AS facade, l_orderkey AS k1, l_linenumber AS k2, l_partkey AS k3, l_extendedprice/100::DOUBLE AS length, CASE WHEN l_linenumber%5<>0 THEN l_quantity/50::DOUBLE END AS width_mm, l_tax*3::DOUBLE AS mm_per_px, l_discount*5::DOUBLE+0.5::DOUBLE AS conf FROM lineitem))",
+    "cracks": "cracks AS (SELECT *, CASE WHEN width_mm IS NULL OR mm_per_px>0.15::DOUBLE THEN NULL WHEN width_mm>=0.3::DOUBLE THEN '정밀점검대상' ELSE '경미' END AS severity, CASE WHEN width_mm IS NULL THEN NULL WHEN mm_per_px>0.15::DOUBLE THEN printf('판정불가(해상도부족): %.2f mm/px > 기준 0.15 mm/px', mm_per_px) END AS note FROM (SELECT l_suppkey AS facade, l_orderkey AS k1, l_linenumber AS k2, l_partkey AS k3, l_extendedprice/100::DOUBLE AS length, CASE WHEN l_linenumber%5<>0 THEN l_quantity/50::DOUBLE END AS width_mm, l_tax*3::DOUBLE AS mm_per_px, l_discount*5::DOUBLE+0.5::DOUBLE AS conf FROM lineitem))",
     "sources": "sources AS (SELECT l_orderkey AS crack, l_suppkey AS photo, l_partkey*1::DOUBLE AS x0, l_quantity AS y0, l_partkey+10::DOUBLE AS x1, l_quantity+5::DOUBLE AS y1, l_linenumber::BIGINT*10 AS pixels, 1::DOUBLE-l_tax AS orthogonality FROM lineitem)",
     "log": "log AS (SELECT user_id AS facade, ts, event_id AS line, CASE event_type WHEN 'error' THEN 'NEEDS_MANUAL_REVIEW' WHEN 'purchase' THEN 'DONE' WHEN 'signup' THEN 'FAILED_GEOMETRY' ELSE 'MATCH_GEOMETRY' END AS stage, value AS elapsed, props, event_type FROM events)",
     "archives": "archives AS (SELECT o_orderkey AS archive_id, o_custkey AS owner, CASE o_orderstatus WHEN 'F' THEN 'cleaned' WHEN 'P' THEN 'cleanup_pending' ELSE 'active' END AS status, o_orderdate::DATE+90 AS due_at, o_totalprice AS bytes FROM orders)",

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Keys of a capture session that count.
-SESSION_KEYS = ("capture_date", "building_block", "building_side", "weather", "lighting_condition", "notes", "image_original_preserved", "reference_scale_available")
+SESSION_KEYS = ("capture_session", "capture_distance_m", "distance_measurement_method", "battery_sequence", "precision_zone_of", "capture_date", "building_block", "building_side", "weather", "lighting_condition", "notes", "image_original_preserved", "reference_scale_available")
 
 
 def photo_files(spark: SparkSession, folder: str, *, content: bool = False) -> DataFrame:

@@ -182,3 +182,54 @@ def test_readers(spark, tmp_path):
     packet = b'xx<x:xmpmeta xmlns:x="a"><r xmlns:d="b" d:GpsLatitude="37.5" d:GpsLongtitude="127.0"/></x:xmpmeta>yy'
     t = spark.createDataFrame([(bytearray(packet),), (bytearray(b"<x:xmpmeta"),)], "content binary").select(readers.location(readers.xmp(F.col("content"))).alias("g"))
     assert [(r.g.lat, r.g.lon) for r in t.collect()] == [(37.5, 127.0), (None, None)]
+
+
+def _stitch(spark):
+    from muralis.plans import roles
+
+    return roles.stitch(spark, "/root/testdata/sf0.001")
+
+
+def test_paths_and_tree_over_all_edges(spark):
+    """Against Dijkstra and a breadth-first search of the whole stitch graph, and on a chain longer than any fixed number of rounds."""
+    import heapq
+    from collections import defaultdict
+
+    edges = _stitch(spark)
+    rows = edges.collect()
+    near = defaultdict(list)
+    for r in rows:
+        near[r.u].append((r.v, r.weight))
+        near[r.v].append((r.u, r.weight))
+    source = max(near, key=lambda k: (len(near[k]), k))
+    start = graphs.reference_node(edges)
+    assert start.first().node == source
+    best, heap = {}, [(0.0, source)]
+    while heap:
+        dist, node = heapq.heappop(heap)
+        if node in best or dist > 12.0:
+            continue
+        best[node] = dist
+        for other, weight in near[node]:
+            heapq.heappush(heap, (dist + weight, other))
+    got = {r.node: r.dist for r in graphs.shortest_paths(edges, start.select("node")).collect()}
+    assert got.keys() == best.keys() and all(abs(got[k] - best[k]) < 1e-9 for k in best)
+    hops, level = {source: 0}, [source]
+    while level:
+        level = sorted({o for n in level for o, _ in near[n]} - hops.keys())
+        hops.update((o, 1 + min(hops[x] for x, _ in near[o] if x in hops)) for o in level)
+    tree = graphs.breadth_first_tree(edges, start.select("node"))
+    found = {r.node: (r.hops, r.parent) for r in tree.collect()}
+    assert {k: h for k, (h, _) in found.items()} == hops
+    assert all(p == min(o for o, _ in near[k] if hops.get(o) == h - 1) for k, (h, p) in found.items() if h)
+    used = {(min(k, p), max(k, p)) for k, (_, p) in found.items() if p is not None}
+    cycle = {(r.u, r.v) for r in graphs.cycle_edges(edges, tree).collect()}
+    assert cycle == {(r.u, r.v) for r in rows if r.u in hops and r.v in hops} - used
+
+
+def test_triangles(spark):
+    rows = [(a, b, a * 100 + b) for a in range(12) for b in range(a + 1, 12) if (a * b) % 3 != 1]
+    edges = spark.createDataFrame(rows, "u long, v long, tx long").withColumn("weight", F.lit(1.0))
+    known = {(a, b) for a, b, _ in rows}
+    wanted = sorted((a, b, w, a * 100 + b, b * 100 + w, a * 100 + w) for a, b in known for w in range(12) if (b, w) in known and (a, w) in known)
+    assert sorted(tuple(r) for r in graphs.triangles(edges, "tx").select("u", "v", "w", "uv_tx", "vw_tx", "uw_tx").collect()) == wanted
