@@ -373,13 +373,13 @@ def capture_facts(spark, d):
     return out.select("facade", *(rounded(c(k)).alias(k) for k in ("median", "p5", "p95", "spread")), "n")
 
 
-_GAP = "r AS (SELECT l_suppkey%10 AS g, l_suppkey AS k, count(*)*(1+l_suppkey%4*l_suppkey%3*9) AS n FROM lineitem GROUP BY 2), w AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n,k) AS i, count(*) OVER (PARTITION BY g) AS m, lead(n) OVER (PARTITION BY g ORDER BY n,k) AS nx FROM r), gp AS (SELECT g, i, (nx+1.0::DOUBLE)/(n+1.0::DOUBLE) AS q FROM w WHERE i<=floor(m/2) AND nx IS NOT NULL), cut AS (SELECT g, i, q FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY q DESC, i) AS x FROM gp) WHERE x=1 AND q>=2.5::DOUBLE)"
+_GAP = "r AS (SELECT l_suppkey%10 AS g, l_suppkey AS k, count(*)*(CASE WHEN l_suppkey%40<10 THEN 1 ELSE 9 END) AS n FROM lineitem GROUP BY 2), w AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n,k) AS i, count(*) OVER (PARTITION BY g) AS m, lead(n) OVER (PARTITION BY g ORDER BY n,k) AS nx FROM r), gp AS (SELECT g, i, (nx+1.0::DOUBLE)/(n+1.0::DOUBLE) AS q FROM w WHERE i<=floor(m/2) AND nx IS NOT NULL), cut AS (SELECT g, i, q FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY q DESC, i) AS x FROM gp) WHERE x=1 AND q>=2.5::DOUBLE)"
 
 
 @query(f"WITH {_GAP} SELECT w.g, w.k, w.n, {r6('cut.q')} AS gap_ratio FROM w JOIN cut ON w.g=cut.g WHERE w.i<=cut.i")
 def largest_gap(spark, d):
     t = table(spark, d, "lineitem").groupBy(c("l_suppkey").alias("k")).agg(F.count("*").alias("cnt"))
-    t = t.select((c("k") % 10).alias("g"), "k", (c("cnt") * (1 + c("k") % 4 * c("k") % 3 * 9)).alias("n"))
+    t = t.select((c("k") % 10).alias("g"), "k", (c("cnt") * F.when(c("k") % 40 < 10, 1).otherwise(9)).alias("n"))
     return ql.largest_gap(t, "g", "k", "n").select("g", "k", "n", rounded(c("gap_ratio")).alias("gap_ratio"))
 
 
@@ -617,7 +617,7 @@ def log_ring_buffer(spark, d):
     return ss.ring_buffer(roles.log(spark, d), "facade", ["line"], 20).select("facade", "line")
 
 
-@query(with_roles("log", "SELECT line, l.facade AS facade, job FROM log l JOIN (SELECT c_nationkey AS facade, min(c_custkey) AS job FROM customer WHERE c_acctbal>9000 GROUP BY 1 HAVING count(*)=1) USING(facade)"))
+@query(with_roles("log", "SELECT line, l.facade AS facade, job FROM log l JOIN (SELECT c_custkey//2 AS facade, min(c_custkey) AS job FROM customer WHERE c_acctbal>4000 GROUP BY 1 HAVING count(*)=1) USING(facade)"))
 def log_attribution(spark, d):
-    running = table(spark, d, "customer").filter("c_acctbal > 9000").select(c("c_nationkey").alias("facade"), c("c_custkey").alias("job"))
+    running = table(spark, d, "customer").filter("c_acctbal > 4000").select(F.floor(c("c_custkey") / 2).alias("facade"), c("c_custkey").alias("job"))
     return ss.unambiguous(roles.log(spark, d).select("line", "facade"), running, "facade")

@@ -233,3 +233,20 @@ def test_triangles(spark):
     known = {(a, b) for a, b, _ in rows}
     wanted = sorted((a, b, w, a * 100 + b, b * 100 + w, a * 100 + w) for a, b in known for w in range(12) if (b, w) in known and (a, w) in known)
     assert sorted(tuple(r) for r in graphs.triangles(edges, "tx").select("u", "v", "w", "uv_tx", "vw_tx", "uw_tx").collect()) == wanted
+
+
+def test_transforms_along_the_tree(spark):
+    from muralis.operators import canvas
+
+    rng = random.Random(3)
+    h = {k: np.eye(3) + np.array([[rng.uniform(-0.2, 0.2) for _ in range(3)] for _ in range(3)]) for k in range(4)}
+    edges = [(0, 1), (2, 1), (2, 3), (1, 4)]  # the second one goes against the tree
+    wanted = {0: np.eye(3)}
+    wanted[1] = wanted[0] @ np.linalg.inv(h[0])
+    wanted[2] = wanted[1] @ h[1]
+    wanted[3] = wanted[2] @ np.linalg.inv(h[2])
+    wanted[4] = wanted[1] @ np.linalg.inv(h[3])
+    table = spark.createDataFrame([(a, b, h[k].ravel().tolist()) for k, (a, b) in enumerate(edges)], "a long, b long, h array<double>")
+    tree = spark.createDataFrame([(0, None, 0), (1, 0, 1), (2, 1, 2), (3, 2, 3), (4, 1, 2)], "node long, parent long, hops int")
+    got = {r.node: np.array(r.h).reshape(3, 3) for r in canvas.composed_transforms(table, tree).collect()}
+    assert got.keys() == wanted.keys() and all(np.allclose(got[k], wanted[k]) for k in got)
