@@ -459,6 +459,22 @@ def test_top_k(spark):
     assert nearest.top_inner_products(table.limit(0)).count() == 0
 
 
+def test_top_k_over_many_blocks(spark, monkeypatch):
+    """Blocks of 100 rows, so that bounds are carried from the first rows into the other blocks."""
+    monkeypatch.setattr(nearest, "DATA_ROWS", 100)
+    monkeypatch.setattr(nearest, "QUERY_ROWS", 10)
+    monkeypatch.setattr(nearest, "FIRST_ROWS", 60)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 6))
+    got = nearest.top_inner_products(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    y = np.floor(64 * x)
+    expected = []
+    for q in range(0, 700, 20):
+        best = sorted((-int(y[q] @ y[j]), j) for j in range(700) if j != q)[:20]
+        expected += [(q, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    same(got.select("query_id", "rank", "vec_id", "score").collect(), expected)
+
+
 def test_cover_tree_covers_and_prunes():
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(12, 16)) * 300
@@ -468,8 +484,13 @@ def test_cover_tree_covers_and_prunes():
         below = tree.rows[tree.first[node] : tree.end[node]]
         assert np.sqrt(((below - tree.rows[tree.centre[node]]) ** 2).sum(axis=1)).max() <= tree.radius[node] + 1e-9
     assert len(tree.centre) > 12
-    queries = nearest.CoverTree(rows[::20], np.arange(960)[::20])
+    queries = nearest.CoverTree(rows[::4], np.arange(960)[::4], nearest.QUERY_LEAF)
     best = nearest.dual_search(queries, tree, 5)
+    assert best.scored < 0.5 * 240 * 960
+    carried = nearest.dual_search(queries, tree, 5, best.score[:, -1])
+    assert carried.scored <= best.scored and (carried.score == best.score).all()
+    for node, below in enumerate(tree.children):
+        assert all(tree.level[x] > tree.level[node] for x in below)
     for q in range(len(queries.rows)):
         scores = tree.rows @ queries.rows[q]
         scores[tree.ids == queries.ids[q]] = -np.inf
