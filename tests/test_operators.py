@@ -32,7 +32,7 @@ def test_evaluation_golden(spark):
 def test_severity_golden(spark):
     t = spark.createDataFrame([(None, 0.1), (0.5, None), (0.5, 2.6), (0.3, 0.1), (0.29, 0.1)], "w double, r double")
     s, n = cracks.graded(F.col("w"), F.col("r"))
-    assert [tuple(x) for x in t.select(s, n).collect()] == [(None, None), (None, "해상도 정보 없음"), (None, "2.60 mm/px > 기준 0.15 mm/px"), ("정밀점검대상", None), ("경미", None)]
+    assert [tuple(x) for x in t.select(s, n).collect()] == [(None, None), (None, "판정불가(해상도부족): 해상도 정보 없음"), (None, "판정불가(해상도부족): 2.60 mm/px > 기준 0.15 mm/px"), ("정밀점검대상", None), ("경미", None)]
 
 
 def test_floors_and_angles(spark):
