@@ -50,10 +50,10 @@ def largest_gap(df: DataFrame, group: str, key: str, count: str, ratio: float =
     """Members below the largest relative gap of their group's sorted counts, sought in the lower half only."""
     w = Window.partitionBy(group).orderBy(count, key)
     size = F.count("*").over(Window.partitionBy(group))
-    ranked = df.select(group, key, count).withColumn("i", F.row_number().over(w)).withColumn("n", size).withColumn("next", F.lead(count).over(w))
-    gaps = ranked.filter((F.col("i") <= F.floor(F.col("n") / 2)) & F.col("next").isNotNull()).withColumn("r", (F.col("next") + 1.0) / (F.col(count) + 1.0))
-    cut = gaps.groupBy(group).agg(F.max(F.struct("r", (-F.col("i")).alias("neg"))).alias("m")).filter(F.col("m.r") >= ratio).select(group, (-F.col("m.neg")).alias("cut"), F.col("m.r").alias("gap_ratio"))
-    return ranked.join(cut, group).filter(F.col("i") <= F.col("cut")).select(group, key, count, "gap_ratio")
+    ranked = df.select(group, key, count).select("*", F.row_number().over(w).alias("gap_i"), size.alias("gap_size"), F.lead(count).over(w).alias("gap_next"))
+    gaps = ranked.filter((F.col("gap_i") <= F.floor(F.col("gap_size") / 2)) & F.col("gap_next").isNotNull()).withColumn("r", (F.col("gap_next") + 1.0) / (F.col(count) + 1.0))
+    cut = gaps.groupBy(group).agg(F.max(F.struct("r", (-F.col("gap_i")).alias("neg"))).alias("m")).filter(F.col("m.r") >= ratio).select(group, (-F.col("m.neg")).alias("cut"), F.col("m.r").alias("gap_ratio"))
+    return ranked.join(cut, group).filter(F.col("gap_i") <= F.col("cut")).select(group, key, count, "gap_ratio")
 
 
 def densest_slab(df: DataFrame, group: str, value: str, width: float) -> DataFrame:
