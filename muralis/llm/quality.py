@@ -1,8 +1,9 @@
 """Quality and toxicity of documents by co-training.
 
-Two views of a document, its text content and its page metadata, each get a logistic model. Over some rounds each model
-labels the unlabelled documents that it is surest of, for the other one to learn from. Held-out labelled rows calibrate
-both views and weigh them into one score. The models are fitted on bounded samples and score every document in its task.
+Two views of a document, its text content and its page metadata (language, source and size as the table gives them), each
+get a logistic model. In each round both models score all unlabelled documents, and those that one of them is surest of go
+to the other one to learn from. Held-out labelled rows calibrate both views and weigh them into one score. Only the labelled
+rows are a bounded sample; every document is scored in its task.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that the models are fitted on, about: labelled ones, and unlabelled ones for pseudo-labels.
+from muralis.storage import materialise
+
+#: Labelled rows that the models are fitted on, about.
 LABELLED_ROWS = 8_000
-POOL_ROWS = 4_000
 ROUNDS = 5
 #: Pseudo-labels per class, view and round, and the confidence that they need.
 PER_ROUND = 60
@@ -39,38 +41,59 @@ MOST_TOXICITY = 0.5
 
 _WORD = re.compile(r"\w+")
 _SYMBOLS = b"#$%&*|!?.,<>{}=@_~"
-_META_BUCKETS = 24
+_META_BUCKETS = 64
+#: Hashed words, and hashed runs of three bytes, of the text view: so many of each.
+_GRAM_BUCKETS = 128
+_BLOCK = 1 << 20
+#: Ridge penalties of a feature, and of a hashed one: these are many and weak (cross-validated on labelled rows of sf0.01).
+RIDGE = 1.0
+GRAM_RIDGE = 30.0
+#: Parts of a pick, so that no task ranks more than PER_ROUND rows of each.
+_PARTS = 512
 
 
 def beginnings(word: str) -> list[str]:
     return [word[:k] + "*" for k in BEGINNINGS if len(word) > k]
 
 
-def text_features(text: str, lexicon: frozenset[str]) -> tuple[list[float], float]:
-    """Shape of the text, and how many of its words are in the lexicon."""
-    raw = text.encode()
-    counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+def gram_features(raw: np.ndarray, seen: Counter) -> bytes:
+    """Roots of the shares of hashed words and of hashed byte runs, a byte each."""
+    words = np.zeros(_GRAM_BUCKETS)
+    for word, n in seen.items():
+        words[zlib.crc32(word.encode()) % _GRAM_BUCKETS] += n
+    runs = np.zeros(_GRAM_BUCKETS)
+    for at in range(0, len(raw) - 2, _BLOCK):
+        piece = raw[at : at + _BLOCK + 2].astype(np.uint32)
+        code = (piece[:-2] << np.uint32(16) | piece[1:-1] << np.uint32(8) | piece[2:]) * np.uint32(2654435761)
+        runs += np.bincount(code >> np.uint32(25), minlength=_GRAM_BUCKETS)
+    return np.concatenate([np.rint(255 * np.sqrt(c / max(1.0, c.sum()))) for c in (words, runs)]).astype(np.uint8).tobytes()
+
+
+def text_features(text: str, lexicon: frozenset[str]) -> tuple[list[float], float, bytes]:
+    """Shape of the text, how many of its words are in the lexicon, and its hashed words and byte runs."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    counts = np.bincount(raw, minlength=256)
     n = max(1, len(raw))
     words = _WORD.findall(text.lower())
     seen = Counter(words)
     m = max(1, len(words))
     repeated = sum(map(eq, words, words[1:])) / m
+    lines = text.count("\n") + 1
     letters = max(1, int(counts[65:91].sum() + counts[97:123].sum()))
     shape = [counts[65:91].sum() / letters, counts[48:58].sum() / n, counts[128:].sum() / n, counts[10] / n, counts[32] / n, n / m / 10]
     shape += [float(np.log1p(100 * counts[c] / n)) for c in _SYMBOLS]
-    shape += [repeated, len(seen) / m, max(seen.values(), default=0) / m, float(np.log1p(m))]
+    shape += [float(np.log1p(lines)), float(np.log1p(n / lines)), repeated, len(seen) / m, max(seen.values(), default=0) / m, float(np.log1p(m))]
     hits = sum(n for w, n in seen.items() if w in lexicon or (len(w) > BEGINNINGS[0] and not lexicon.isdisjoint(beginnings(w))))
-    return shape, float(np.log1p(hits))
+    return shape, float(np.log1p(hits)), gram_features(raw, seen)
 
 
-def meta_features(text: str, lang: str | None, source: str | None) -> list[float]:
-    """Size and layout of the page, its language and its source."""
-    lines = text.count("\n") + 1
+def meta_features(lang: str | None, source: str | None, size: int | None) -> list[float]:
+    """The document's language, source and size, as its columns give them."""
     out = [0.0] * _META_BUCKETS
     for name, value in (("lang", lang), ("source", source)):
         if value is not None:
             out[zlib.crc32(f"{name}={value}".encode()) % _META_BUCKETS] += 1.0
-    return [float(np.log1p(len(text))), float(np.log1p(lines)), float(np.log1p(len(text) / lines)), *out]
+    return [float(size is None), float(np.log1p(max(0, size or 0))), *out]
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -85,11 +108,10 @@ class Logistic:
     scale: np.ndarray = field(default_factory=lambda: np.ones(0))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(1))
 
-    def fit(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> Logistic:
+    def fit(self, x: np.ndarray, y: np.ndarray, ridge: float | np.ndarray = RIDGE, steps: int = 25) -> Logistic:
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
         z = self._with_one(x)
-        penalty = np.full(z.shape[1], ridge)
-        penalty[-1] = 1e-6
+        penalty = np.append(np.broadcast_to(ridge, x.shape[1]), 1e-6)
         w = np.zeros(z.shape[1])
         for _ in range(steps):
             p = _sigmoid(z @ w)
@@ -118,33 +140,31 @@ class CoTrained:
         return _sigmoid(self.combined.score(np.column_stack([self.text.score(text), self.meta.score(meta)])))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, *, rounds: int = ROUNDS, held_out: np.ndarray | None = None) -> CoTrained | None:
-    """Models of both views and their combination; None if the labels hold one class only."""
-    held = np.arange(len(y)) % 4 == 3 if held_out is None else held_out
-    if len(set(y[~held])) < 2:
-        return None
-    views = [[text[~held], y[~held]], [meta[~held], y[~held]]]
-    pools, open_rows = (pool_text, pool_meta), np.ones(len(pool_text), bool)
-    for turn in range(rounds + 1):
-        models = [Logistic().fit(x, target) for x, target in views]
-        if turn == rounds:
-            break
-        gifts = []
-        for k, model in enumerate(models):
-            rows = np.flatnonzero(open_rows)
-            p = _sigmoid(model.score(pools[k][rows])) if len(rows) else np.zeros(0)
-            sure = np.argsort(p, kind="stable")
-            low, high = sure[:PER_ROUND], sure[::-1][:PER_ROUND]
-            gifts.append((rows[low[p[low] <= 1 - CONFIDENCE]], rows[high[p[high] >= CONFIDENCE]]))
-        for k, (low, high) in enumerate(gifts):  # each view's labels go to the other
-            both = np.concatenate([low, high])
-            if len(both):
-                views[1 - k][0] = np.vstack([views[1 - k][0], pools[1 - k][both]])
-                views[1 - k][1] = np.concatenate([views[1 - k][1], np.zeros(len(low)), np.ones(len(high))])
-                open_rows[both] = False
-    check = held if len(set(y[held])) == 2 else ~held
-    combined = Logistic().fit(np.column_stack([models[0].score(text[check]), models[1].score(meta[check])]), y[check], ridge=0.1)
-    return CoTrained(models[0], models[1], combined)
+class CoTraining:
+    """What both views of one target have learned from so far."""
+
+    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, ridge: float | np.ndarray = RIDGE) -> None:
+        """``ridge``: penalties of the text view's features."""
+        self.ridges = ridge, RIDGE
+        held = np.arange(len(y)) % 4 == 3
+        self.views = [[text[~held], y[~held]], [meta[~held], y[~held]]]
+        self.able = len(set(y[~held])) == 2
+        check = held if len(set(y[held])) == 2 else ~held
+        self.checks = text[check], meta[check], y[check]
+
+    def models(self) -> list[Logistic]:
+        return [Logistic().fit(x, target, ridge) for (x, target), ridge in zip(self.views, self.ridges, strict=True)]
+
+    def learn(self, view: int, x: np.ndarray, y: np.ndarray) -> None:
+        """Add pseudo-labels that the other view gives to ``view``."""
+        if len(y):
+            self.views[view] = [np.vstack([self.views[view][0], x]), np.concatenate([self.views[view][1], y])]
+
+    def finish(self) -> CoTrained:
+        """Both views, calibrated and weighed together on the held-out rows."""
+        text, meta = self.models()
+        x, z, y = self.checks
+        return CoTrained(text, meta, Logistic().fit(np.column_stack([text.score(x), meta.score(z)]), y, 0.1))
 
 
 def _share(df: DataFrame, rows: int, seed: int) -> DataFrame:
@@ -153,17 +173,74 @@ def _share(df: DataFrame, rows: int, seed: int) -> DataFrame:
     return df if total <= rows else df.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < int(rows / total * (1 << 30)))
 
 
-def _featured(docs: DataFrame, labels: str, lexicon: frozenset[str]) -> DataFrame:
-    """``docs`` (text, lang, source, and the columns named in ``labels``) as feature arrays."""
-    names = labels.split(", ")
+def _with_size(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns``, text, lang, source and n_chars (null where the table has none)."""
+    size = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
+    return docs.select(*columns, "text", "lang", "source", size.alias("n_chars"))
+
+
+#: Columns of a document's features.
+FEATURES = "shape array<float>, hits float, grams binary, meta array<float>"
+_FEATURE_TYPES = (pa.list_(pa.float32()), pa.float32(), pa.binary(), pa.list_(pa.float32()))
+
+
+def _features(batch: pa.RecordBatch, lexicon: frozenset[str]) -> list[list]:
+    """The columns FEATURES of a batch with text, lang, source and n_chars."""
+    columns = [batch.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars")]
+    return list(map(list, zip(*((*text_features(t or "", lexicon), meta_features(lang, source, size)) for t, lang, source, size in zip(*columns, strict=True)), strict=True))) or [[], [], [], []]
+
+
+def _featured(docs: DataFrame, names: list[str], lexicon: frozenset[str]) -> DataFrame:
+    """The columns ``names`` of ``docs`` and the features of its text, lang, source and n_chars."""
 
     def featured(batches):
         for batch in batches:
-            rows = [(*text_features(t or "", lexicon), meta_features(t or "", lang, source)) for t, lang, source in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "source")), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([s for s, _, _ in rows], pa.list_(pa.float64())), pa.array([h for _, h, _ in rows], pa.float64()), pa.array([m for _, _, m in rows], pa.list_(pa.float64()))], [*names, "shape", "hits", "meta"])
+            found = [pa.array(x, t) for x, t in zip(_features(batch, lexicon), _FEATURE_TYPES, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *found], [*names, "shape", "hits", "grams", "meta"])
 
     kinds = dict(docs.dtypes)
-    return docs.mapInArrow(featured, ", ".join(f"{c} {kinds[c]}" for c in names) + ", shape array<double>, hits double, meta array<double>")
+    return docs.mapInArrow(featured, "".join(f"{c} {kinds[c]}, " for c in names) + FEATURES)
+
+
+def surest(pool: DataFrame, models: dict[str, list[Logistic]], taken: dict[str, set[int]], most: int = PER_ROUND) -> DataFrame:
+    """target, view, label, sure, key and the features of the rows of ``pool`` (key, FEATURES) that each model is surest of.
+
+    ``models`` has a text and a metadata model by target. At most ``most`` rows per target, view and label, with a confidence
+    of CONFIDENCE or more, the surest first, ties to the smaller key, equal keys once, and none of the keys ``taken``.
+    Each task hands on its own surest rows only, so that what is ranked does not grow with the rows of a task.
+    """
+    slots = [(target, view, label) for target in models for view in (0, 1) for label in (0, 1)]
+
+    def best(batches):
+        kept = {slot: {} for slot in slots}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            views = QualityModel.views(*(batch.column(c).to_pylist() for c in ("shape", "hits", "grams", "meta")))
+            for target, pair in models.items():
+                free = np.unique(keys, return_index=True)[1]  # equal keys once
+                free = free[~np.isin(keys[free], list(taken[target]))]
+                for view, model in enumerate(pair):
+                    odds = model.score(views["meta" if view else target][free])
+                    for label in (0, 1):
+                        sure = _sigmoid(odds if label else -odds)
+                        order = np.lexsort((keys[free], -sure))[:most]
+                        order = order[sure[order] >= CONFIDENCE]
+                        pick = kept[target, view, label]
+                        for p, row in zip(sure[order], batch.take(pa.array(free[order])).to_pylist(), strict=True):
+                            pick.setdefault(row["key"], (float(p), row))
+                        kept[target, view, label] = dict(sorted(pick.items(), key=lambda kv: (-kv[1][0], kv[0]))[:most])
+        out = [{"target": t, "view": v, "label": y, "sure": s, **row} for (t, v, y), pick in kept.items() for s, row in pick.values()]
+        yield pa.RecordBatch.from_pylist(out, schema)
+
+    schema = pa.schema([("target", pa.string()), ("view", pa.int32()), ("label", pa.int32()), ("sure", pa.float64()), ("key", pa.int64()), *zip(("shape", "hits", "grams", "meta"), _FEATURE_TYPES, strict=True)])
+    slot = ["target", "view", "label"]
+    found = pool.mapInArrow(best, "target string, view int, label int, sure double, key long, " + FEATURES).dropDuplicates([*slot, "key"])
+    order = [F.desc("sure"), F.asc("key")]
+    part = Window.partitionBy(*slot, F.pmod("key", F.lit(_PARTS))).orderBy(*order)
+    found = found.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= most)
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy(*slot).orderBy(*order))).filter(F.col("rank") <= most)
 
 
 def learned_words(rows: DataFrame) -> frozenset[str]:
@@ -205,39 +282,61 @@ class QualityModel:
     words: frozenset[str]
 
     @staticmethod
-    def views(shape: list[list[float]], hits: list[float], meta: list[list[float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text view for quality, text view for toxicity, metadata view."""
+    def views(shape: list[list[float]], hits: list[float], grams: list[bytes], meta: list[list[float]]) -> dict[str, np.ndarray]:
+        """The text views for quality and for toxicity, and the metadata view."""
         s, h = np.array(shape, float), np.array(hits, float)
-        return s, np.column_stack([h, h > 0, s[:, -1]]), np.array(meta, float)
+        g = np.frombuffer(b"".join(grams), np.uint8).reshape(len(grams), -1) / 255
+        return {"quality": np.column_stack([s, g]), "toxicity": np.column_stack([h, h > 0, s[:, -1]]), "meta": np.array(meta, float)}
+
 
+def fit_quality(docs: DataFrame, labels: DataFrame, *, labelled_rows: int = LABELLED_ROWS, rounds: int = ROUNDS) -> QualityModel:
+    """Fit on about ``labelled_rows`` rows of ``labels`` (doc_id, quality, toxic; the bound on labels) and on all other ``docs``.
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS) -> QualityModel:
-    """Fit on about ``labelled_rows`` rows of ``labels`` (doc_id, quality, toxic; the bound on labels) and ``pool_rows`` unlabelled documents."""
-    docs = docs.select("doc_id", "text", "lang", "source")
+    The features of all documents without a sampled label are written once; each round reads them and takes pseudo-labels.
+    """
     marks = _share(labels.select("doc_id", "quality", "toxic").filter("doc_id is not null and quality is not null and toxic is not null"), labelled_rows, 1)
-    known = docs.join(F.broadcast(marks), "doc_id").filter("text is not null")  # bounded by labelled_rows
+    docs = _with_size(docs, "doc_id").filter("text is not null")
+    known = materialise(docs.join(F.broadcast(marks), "doc_id"), "labelled")  # bounded by labelled_rows
     words = learned_words(known.select("text", "lang", F.col("toxic").alias("y")))
-    rows = sorted(_featured(known, "doc_id, quality, toxic", words).collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
-    pool = _featured(_share(docs.filter("text is not null"), pool_rows, 2), "doc_id", words).collect()
+    rows = sorted(_featured(known, ["doc_id", "quality", "toxic"], words).collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
     if not rows:
         return QualityModel(None, None, words)
-    shape, toxic, meta = QualityModel.views(*([r[c] for r in rows] for c in ("shape", "hits", "meta")))
-    pool_shape, pool_toxic, pool_meta = QualityModel.views(*([r[c] for r in pool] for c in ("shape", "hits", "meta")))
-    good, bad = (np.array([float(r[c]) for r in rows]) for c in ("quality", "toxic"))
-    return QualityModel(co_train(shape, meta, good, pool_shape, pool_meta), co_train(toxic, meta, bad, pool_toxic, pool_meta), words)
 
-
-def _judged(model: QualityModel, texts: list[str | None], langs: list[str | None], sources: list[str | None]) -> tuple[np.ndarray | None, np.ndarray | None, np.ndarray]:
+    def viewed(rows: list) -> dict[str, np.ndarray]:
+        return QualityModel.views(*([r[c] for r in rows] for c in ("shape", "hits", "grams", "meta")))
+
+    views = viewed(rows)
+    grams = np.arange(views["quality"].shape[1]) >= views["quality"].shape[1] - 2 * _GRAM_BUCKETS
+    ridges = {"quality": np.where(grams, GRAM_RIDGE, RIDGE), "toxicity": RIDGE}
+    learners = {target: CoTraining(views[target], views["meta"], np.array([float(r[c]) for r in rows]), ridges[target]) for target, c in (("quality", "quality"), ("toxicity", "toxic"))}
+    learners = {target: x for target, x in learners.items() if x.able}
+    taken: dict[str, set[int]] = {target: set() for target in learners}
+    if learners and rounds:
+        rest = docs.join(F.broadcast(marks.select("doc_id")), "doc_id", "left_anti")
+        pool = materialise(_featured(rest.withColumn("key", F.xxhash64("text", "lang", "source", "n_chars")), ["key"], words), "unlabelled")
+    for _ in range(rounds if learners else 0):
+        found = surest(pool, {target: x.models() for target, x in learners.items()}, taken).collect()  # PER_ROUND by target, view and label
+        if not found:
+            break
+        found.sort(key=lambda r: (r.target, r.view, r.label, r.rank))
+        for target, learner in learners.items():
+            for view in (0, 1):  # each view's labels go to the other
+                gifts = [r for r in found if (r.target, r.view) == (target, view)]
+                if gifts:
+                    learner.learn(1 - view, viewed(gifts)["meta" if view == 0 else target], np.array([float(r.label) for r in gifts]))
+                    taken[target].update(r.key for r in gifts)
+    finished = {target: x.finish() for target, x in learners.items()}
+    return QualityModel(finished.get("quality"), finished.get("toxicity"), words)
+
+
+def _judged(model: QualityModel, batch: pa.RecordBatch) -> tuple[np.ndarray | None, np.ndarray | None, np.ndarray]:
     """Quality, toxicity (None: not known) and whether to keep each row."""
-    texts = [t or "" for t in texts]
-    blank = np.array([not t.strip() for t in texts], bool)
+    blank = np.array([not (t or "").strip() for t in batch.column("text").to_pylist()], bool)
     keep = ~blank
-    if not texts:
+    if not batch.num_rows:
         return np.zeros(0), np.zeros(0), keep
-    rows = [(*text_features(t, model.words), meta_features(t, a, b)) for t, a, b in zip(texts, langs, sources, strict=True)]
-    shape, toxic, meta = QualityModel.views([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows])
-    quality = None if model.quality is None else np.where(blank, 0.0, model.quality.probability(shape, meta))
-    toxicity = None if model.toxicity is None else np.where(blank, 0.0, model.toxicity.probability(toxic, meta))
+    views = QualityModel.views(*_features(batch, model.words))
+    quality, toxicity = (None if m is None else np.where(blank, 0.0, m.probability(views[target], views["meta"])) for target, m in (("quality", model.quality), ("toxicity", model.toxicity)))
     if quality is not None:
         keep &= quality >= LEAST_QUALITY
     if toxicity is not None:
@@ -246,20 +345,21 @@ def _judged(model: QualityModel, texts: list[str | None], langs: list[str | None
 
 
 def score_quality(docs: DataFrame, model: QualityModel, *carried: str) -> DataFrame:
-    """doc_id, quality, toxicity, keep, and the columns ``carried``, for every row of ``docs`` (doc_id, text, lang, source).
+    """doc_id, quality, toxicity, keep, and the columns ``carried``, for every row of ``docs`` (doc_id, text, lang, source, n_chars).
 
-    Null or blank text scores 0 and 0 and is rejected. Null lang or source say nothing. A target whose labels held one
-    class only scores null and rejects nothing. Equal rows get equal scores; an empty table gives none.
+    Null or blank text scores 0 and 0 and is rejected. Null lang, source or n_chars, or no column n_chars, say nothing. A
+    target whose labels held one class only scores null and rejects nothing. Equal rows get equal scores; an empty table
+    gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few kilobytes
     first = list(dict.fromkeys(["doc_id", *carried]))
-    inputs = list(dict.fromkeys([*first, "text", "lang", "source"]))
+    inputs = _with_size(docs, *(c for c in first if c not in ("text", "lang", "source", "n_chars")))
 
     def score(batches):
         for batch in batches:
-            quality, toxicity, keep = _judged(shared.value, *(batch.column(c).to_pylist() for c in ("text", "lang", "source")))
+            quality, toxicity, keep = _judged(shared.value, batch)
             scores = [pa.nulls(len(keep), pa.float64()) if p is None else pa.array(np.round(p, 6)) for p in (quality, toxicity)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in first), *scores, pa.array(keep)], [*first, "quality", "toxicity", "keep"])
 
-    kinds = dict(docs.dtypes)
-    return docs.select(*inputs).mapInArrow(score, ", ".join(f"`{c}` {kinds[c]}" for c in first) + ", quality double, toxicity double, keep boolean")
+    kinds = dict(inputs.dtypes)
+    return inputs.mapInArrow(score, ", ".join(f"`{c}` {kinds[c]}" for c in first) + ", quality double, toxicity double, keep boolean")

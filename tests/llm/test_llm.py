@@ -183,6 +183,46 @@ def test_toxic_recall_by_language(spark):
         assert sum(caught) / len(caught) > 0.85 and sum(blamed) / len(blamed) < 0.05, lang
 
 
+def test_surest_rows_equal_brute_force(spark, docs):
+    """One round's pseudo-labels, from all rows, against scoring and sorting them here; repeats count once."""
+    sized = quality._with_size(docs.filter("text is not null"))
+    pool = quality._featured(sized.withColumn("key", F.xxhash64("text", "lang", "source", "n_chars")), ["key"], frozenset(["the"])).repartition(5).cache()
+    every = {r.key: r for r in pool.collect()}
+    keys = sorted(every)
+    assert len(keys) < pool.count()
+    views = quality.QualityModel.views(*([every[k][c] for k in keys] for c in ("shape", "hits", "grams", "meta")))
+    y = (np.arange(len(keys)) % 3 == 0).astype(float)
+    learners = {t: quality.CoTraining(views[t], views["meta"], y) for t in ("quality", "toxicity")}
+    models = {t: x.models() for t, x in learners.items()}
+    for pair in models.values():  # steep enough for many rows to pass the confidence
+        for m in pair:
+            m.weights = m.weights * 40
+    taken = {"quality": set(keys[:50]), "toxicity": set()}
+    got = defaultdict(list)
+    for r in quality.surest(pool, models, taken, 7).orderBy("rank").collect():
+        got[r.target, r.view, r.label].append(r.key)
+    for target, pair in models.items():
+        for view, m in enumerate(pair):
+            p = quality._sigmoid(m.score(views["meta" if view else target]))
+            for label in (0, 1):
+                sure = p if label else quality._sigmoid(-m.score(views["meta" if view else target]))
+                order = [keys[i] for i in np.lexsort((keys, -sure)) if sure[i] >= quality.CONFIDENCE and keys[i] not in taken[target]]
+                assert got[target, view, label] == order[:7]
+    assert any(len(v) == 7 for v in got.values())
+    assert quality.surest(pool.limit(0), models, taken).count() == 0
+
+
+def test_quality_of_awkward_rows(spark):
+    """Repeated rows, null ids, clashing extra columns, labels of unknown documents and of one class only."""
+    docs = spark.createDataFrame([(k % 5 if k % 7 else None, f"some words {k % 4} here. " * 9, "en", "s", None, 1.0, True, "x") for k in range(40)], "doc_id long, text string, lang string, source string, n_chars long, quality double, keep boolean, key string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0), (3, 1, 0), (99, 0, 1), (4, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    model = quality.fit_quality(docs, labels)
+    assert model.quality is not None and model.toxicity is None
+    scored = quality.score_quality(docs, model).collect()
+    assert len(scored) == 40 and all(r.toxicity is None for r in scored)
+    assert len({(r.quality, r.keep) for r in scored}) <= 4
+
+
 def test_words_of_a_rare_language_are_learned(spark):
     """Four rows of a language among hundreds of toxic ones of another."""
     rows = [(f"plain words {k} and more", "en", 0) for k in range(400)] + [(f"awful words {k} and more", "en", 1) for k in range(300)]
