@@ -8,10 +8,12 @@ rows are a bounded sample; every document is scored in its task.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 from operator import eq
 
 import numpy as np
@@ -40,11 +42,13 @@ LEAST_QUALITY = 0.5
 MOST_TOXICITY = 0.5
 
 _WORD = re.compile(r"\w+")
-_SYMBOLS = b"#$%&*|!?.,<>{}=@_~"
+_SYMBOLS = np.frombuffer(b"#$%&*|!?.,<>{}=@_~", np.uint8)
 _META_BUCKETS = 64
 #: Hashed words, and hashed runs of three bytes, of the text view: so many of each.
 _GRAM_BUCKETS = 128
 _BLOCK = 1 << 20
+#: Words whose codes a task remembers.
+_WORDS_KEPT = 1 << 17
 #: Ridge penalties of a feature, and of a hashed one: these are many and weak (cross-validated on labelled rows of sf0.01).
 RIDGE = 1.0
 GRAM_RIDGE = 30.0
@@ -56,21 +60,30 @@ def beginnings(word: str) -> list[str]:
     return [word[:k] + "*" for k in BEGINNINGS if len(word) > k]
 
 
-def gram_features(raw: np.ndarray, seen: Counter) -> bytes:
-    """Roots of the shares of hashed words and of hashed byte runs, a byte each."""
-    words = np.zeros(_GRAM_BUCKETS)
-    for word, n in seen.items():
-        words[zlib.crc32(word.encode()) % _GRAM_BUCKETS] += n
-    runs = np.zeros(_GRAM_BUCKETS)
-    for at in range(0, len(raw) - 2, _BLOCK):
-        piece = raw[at : at + _BLOCK + 2].astype(np.uint32)
-        code = (piece[:-2] << np.uint32(16) | piece[1:-1] << np.uint32(8) | piece[2:]) * np.uint32(2654435761)
-        runs += np.bincount(code >> np.uint32(25), minlength=_GRAM_BUCKETS)
-    return np.concatenate([np.rint(255 * np.sqrt(c / max(1.0, c.sum()))) for c in (words, runs)]).astype(np.uint8).tobytes()
+class WordCodes(dict):
+    """The bucket of a word, plus _GRAM_BUCKETS if it is in the lexicon; a bounded memory of a pure function."""
+
+    def __init__(self, lexicon: frozenset[str]) -> None:
+        super().__init__()
+        self.lexicon = lexicon
+        self.heads = {w.rstrip("*")[: BEGINNINGS[0]] for w in lexicon}  # most words are told apart by them
+
+    def __missing__(self, word: str) -> int:
+        hit = word[: BEGINNINGS[0]] in self.heads and (word in self.lexicon or not self.lexicon.isdisjoint(beginnings(word)))
+        code = zlib.crc32(word.encode()) % _GRAM_BUCKETS + _GRAM_BUCKETS * hit
+        if len(self) >= _WORDS_KEPT:
+            self.clear()
+        self[word] = code
+        return code
+
+
+def _roots(counts: np.ndarray) -> np.ndarray:
+    """Roots of the shares, a byte each."""
+    return np.rint(255 * np.sqrt(counts / max(1.0, counts.sum()))).astype(np.uint8)
 
 
-def text_features(text: str, lexicon: frozenset[str]) -> tuple[list[float], float, bytes]:
-    """Shape of the text, how many of its words are in the lexicon, and its hashed words and byte runs."""
+def text_features(text: str, codes: WordCodes) -> tuple[np.ndarray, float, bytes]:
+    """Shape of the text, how many of its words are in the lexicon, and its hashed words and runs of three bytes."""
     raw = np.frombuffer(text.encode(), np.uint8)
     counts = np.bincount(raw, minlength=256)
     n = max(1, len(raw))
@@ -78,22 +91,28 @@ def text_features(text: str, lexicon: frozenset[str]) -> tuple[list[float], floa
     seen = Counter(words)
     m = max(1, len(words))
     repeated = sum(map(eq, words, words[1:])) / m
-    lines = text.count("\n") + 1
-    letters = max(1, int(counts[65:91].sum() + counts[97:123].sum()))
-    shape = [counts[65:91].sum() / letters, counts[48:58].sum() / n, counts[128:].sum() / n, counts[10] / n, counts[32] / n, n / m / 10]
-    shape += [float(np.log1p(100 * counts[c] / n)) for c in _SYMBOLS]
-    shape += [float(np.log1p(lines)), float(np.log1p(n / lines)), repeated, len(seen) / m, max(seen.values(), default=0) / m, float(np.log1p(m))]
-    hits = sum(n for w, n in seen.items() if w in lexicon or (len(w) > BEGINNINGS[0] and not lexicon.isdisjoint(beginnings(w))))
-    return shape, float(np.log1p(hits)), gram_features(raw, seen)
+    lines = int(counts[10]) + 1
+    upper = int(counts[65:91].sum())
+    head = [upper / max(1, upper + int(counts[97:123].sum())), counts[48:58].sum() / n, counts[128:].sum() / n, counts[10] / n, counts[32] / n, n / m / 10]
+    tail = [np.log1p(lines), np.log1p(n / lines), repeated, len(seen) / m, max(seen.values(), default=0) / m, np.log1p(m)]
+    shape = np.concatenate([head, np.log1p(100 * counts[_SYMBOLS] / n), tail])
+    found = np.bincount(np.fromiter(map(codes.__getitem__, seen), np.int64, len(seen)), np.fromiter(seen.values(), float, len(seen)), 2 * _GRAM_BUCKETS).reshape(2, -1)
+    runs = np.zeros(_GRAM_BUCKETS)
+    for at in range(0, len(raw) - 2, _BLOCK):
+        piece = raw[at : at + _BLOCK + 2].astype(np.uint32)
+        runs += np.bincount((piece[:-2] << 16 | piece[1:-1] << 8 | piece[2:]) * np.uint32(2654435761) >> 25, minlength=_GRAM_BUCKETS)
+    return shape, float(np.log1p(found[1].sum())), np.concatenate([_roots(found.sum(axis=0)), _roots(runs)]).tobytes()
+
+
+@lru_cache(1 << 12)
+def _meta_bucket(name: str, value: str | None) -> int:
+    """Bucket of a column's value; -1 if it is unknown."""
+    return -1 if value is None else zlib.crc32(f"{name}={value}".encode()) % _META_BUCKETS
 
 
 def meta_features(lang: str | None, source: str | None, size: int | None) -> list[float]:
-    """The document's language, source and size, as its columns give them."""
-    out = [0.0] * _META_BUCKETS
-    for name, value in (("lang", lang), ("source", source)):
-        if value is not None:
-            out[zlib.crc32(f"{name}={value}".encode()) % _META_BUCKETS] += 1.0
-    return [float(size is None), float(np.log1p(max(0, size or 0))), *out]
+    """The document's size and buckets of its language and source, as its columns give them."""
+    return [float(size is None), math.log1p(max(0, size or 0)), _meta_bucket("lang", lang), _meta_bucket("source", source)]
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -181,25 +200,35 @@ def _with_size(docs: DataFrame, *columns: str) -> DataFrame:
 
 #: Columns of a document's features.
 FEATURES = "shape array<float>, hits float, grams binary, meta array<float>"
+_FEATURE_NAMES = ["shape", "hits", "grams", "meta"]
 _FEATURE_TYPES = (pa.list_(pa.float32()), pa.float32(), pa.binary(), pa.list_(pa.float32()))
 
 
-def _features(batch: pa.RecordBatch, lexicon: frozenset[str]) -> list[list]:
+def _lists(rows: np.ndarray) -> pa.Array:
+    rows = np.asarray(rows, np.float32)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
+
+
+def _features(batch: pa.RecordBatch, codes: WordCodes) -> list[pa.Array]:
     """The columns FEATURES of a batch with text, lang, source and n_chars."""
-    columns = [batch.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars")]
-    return list(map(list, zip(*((*text_features(t or "", lexicon), meta_features(lang, source, size)) for t, lang, source, size in zip(*columns, strict=True)), strict=True))) or [[], [], [], []]
+    if not batch.num_rows:
+        return [pa.array([], t) for t in _FEATURE_TYPES]
+    texts, *rest = (batch.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars"))
+    shape, hits, grams = zip(*(text_features(t or "", codes) for t in texts), strict=True)
+    return [_lists(np.array(shape)), pa.array(np.array(hits, np.float32)), pa.array(grams, pa.binary()), _lists(np.array(list(map(meta_features, *rest))))]
 
 
 def _featured(docs: DataFrame, names: list[str], lexicon: frozenset[str]) -> DataFrame:
-    """The columns ``names`` of ``docs`` and the features of its text, lang, source and n_chars."""
+    """The columns ``names`` of ``docs``, whether its text is blank, and the features of its text, lang, source and n_chars."""
 
     def featured(batches):
+        codes = WordCodes(lexicon)
         for batch in batches:
-            found = [pa.array(x, t) for x, t in zip(_features(batch, lexicon), _FEATURE_TYPES, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *found], [*names, "shape", "hits", "grams", "meta"])
+            blank = pa.array([not (t or "").strip() for t in batch.column("text").to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), blank, *_features(batch, codes)], [*names, "blank", *_FEATURE_NAMES])
 
     kinds = dict(docs.dtypes)
-    return docs.mapInArrow(featured, "".join(f"{c} {kinds[c]}, " for c in names) + FEATURES)
+    return docs.mapInArrow(featured, "".join(f"{c} {kinds[c]}, " for c in names) + "blank boolean, " + FEATURES)
 
 
 def surest(pool: DataFrame, models: dict[str, list[Logistic]], taken: dict[str, set[int]], most: int = PER_ROUND) -> DataFrame:
@@ -217,7 +246,7 @@ def surest(pool: DataFrame, models: dict[str, list[Logistic]], taken: dict[str,
             if not batch.num_rows:
                 continue
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            views = QualityModel.views(*(batch.column(c).to_pylist() for c in ("shape", "hits", "grams", "meta")))
+            views = QualityModel.views(*(batch.column(c) for c in _FEATURE_NAMES))
             for target, pair in models.items():
                 free = np.unique(keys, return_index=True)[1]  # equal keys once
                 free = free[~np.isin(keys[free], list(taken[target]))]
@@ -234,7 +263,7 @@ def surest(pool: DataFrame, models: dict[str, list[Logistic]], taken: dict[str,
         out = [{"target": t, "view": v, "label": y, "sure": s, **row} for (t, v, y), pick in kept.items() for s, row in pick.values()]
         yield pa.RecordBatch.from_pylist(out, schema)
 
-    schema = pa.schema([("target", pa.string()), ("view", pa.int32()), ("label", pa.int32()), ("sure", pa.float64()), ("key", pa.int64()), *zip(("shape", "hits", "grams", "meta"), _FEATURE_TYPES, strict=True)])
+    schema = pa.schema([("target", pa.string()), ("view", pa.int32()), ("label", pa.int32()), ("sure", pa.float64()), ("key", pa.int64()), *zip(_FEATURE_NAMES, _FEATURE_TYPES, strict=True)])
     slot = ["target", "view", "label"]
     found = pool.mapInArrow(best, "target string, view int, label int, sure double, key long, " + FEATURES).dropDuplicates([*slot, "key"])
     order = [F.desc("sure"), F.asc("key")]
@@ -282,28 +311,36 @@ class QualityModel:
     words: frozenset[str]
 
     @staticmethod
-    def views(shape: list[list[float]], hits: list[float], grams: list[bytes], meta: list[list[float]]) -> dict[str, np.ndarray]:
-        """The text views for quality and for toxicity, and the metadata view."""
-        s, h = np.array(shape, float), np.array(hits, float)
-        g = np.frombuffer(b"".join(grams), np.uint8).reshape(len(grams), -1) / 255
-        return {"quality": np.column_stack([s, g]), "toxicity": np.column_stack([h, h > 0, s[:, -1]]), "meta": np.array(meta, float)}
+    def views(shape: pa.Array, hits: pa.Array, grams: pa.Array, meta: pa.Array) -> dict[str, np.ndarray]:
+        """The text views for quality and for toxicity, and the metadata view, of at least one row of FEATURES."""
+        s, m = (x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1).astype(float) for x in (shape, meta))
+        h = hits.to_numpy(zero_copy_only=False).astype(float)
+        g = np.frombuffer(b"".join(grams.to_pylist()), np.uint8).reshape(len(grams), -1) / 255
+        buckets = (m[:, 2:, None] == np.arange(_META_BUCKETS)).any(axis=1)
+        return {"quality": np.column_stack([s, g]), "toxicity": np.column_stack([h, h > 0, s[:, -1]]), "meta": np.column_stack([m[:, :2], buckets])}
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, labelled_rows: int = LABELLED_ROWS, rounds: int = ROUNDS) -> QualityModel:
-    """Fit on about ``labelled_rows`` rows of ``labels`` (doc_id, quality, toxic; the bound on labels) and on all other ``docs``.
+def _fitted(docs: DataFrame, labels: DataFrame, labelled_rows: int, rounds: int) -> tuple[QualityModel, DataFrame]:
+    """The model, and the features of all ``docs`` (doc_id, text, lang, source, n_chars, others), written once.
 
-    The features of all documents without a sampled label are written once; each round reads them and takes pseudo-labels.
+    The rows written hold the other columns of ``docs``, key (null: no text), blank, marked (true: fitted on) and FEATURES.
+    Each round reads the features of the rows that are not marked.
     """
     marks = _share(labels.select("doc_id", "quality", "toxic").filter("doc_id is not null and quality is not null and toxic is not null"), labelled_rows, 1)
-    docs = _with_size(docs, "doc_id").filter("text is not null")
-    known = materialise(docs.join(F.broadcast(marks), "doc_id"), "labelled")  # bounded by labelled_rows
+    known = docs.select("doc_id", "text", "lang", "source", "n_chars").filter("text is not null")
+    known = materialise(known.join(F.broadcast(marks), "doc_id"), "labelled")  # bounded by labelled_rows
     words = learned_words(known.select("text", "lang", F.col("toxic").alias("y")))
-    rows = sorted(_featured(known, ["doc_id", "quality", "toxic"], words).collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
+    rows = sorted(_featured(known, ["doc_id", "quality", "toxic"], words).collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.grams, r.shape, r.meta, r.quality, r.toxic))
+    key = F.when(F.col("text").isNotNull(), F.xxhash64("text", "lang", "source", "n_chars"))
+    marked = marks.select("doc_id", F.lit(True).alias("marked")).distinct()
+    every = docs.withColumn("key", key).join(F.broadcast(marked), "doc_id", "left")
+    names = [c for c in every.columns if c not in ("text", "lang", "source", "n_chars")]
+    written = materialise(_featured(every, names, words), "features")
     if not rows:
-        return QualityModel(None, None, words)
+        return QualityModel(None, None, words), written
 
     def viewed(rows: list) -> dict[str, np.ndarray]:
-        return QualityModel.views(*([r[c] for r in rows] for c in ("shape", "hits", "grams", "meta")))
+        return QualityModel.views(*(pa.array([r[c] for r in rows], t) for c, t in zip(_FEATURE_NAMES, _FEATURE_TYPES, strict=True)))
 
     views = viewed(rows)
     grams = np.arange(views["quality"].shape[1]) >= views["quality"].shape[1] - 2 * _GRAM_BUCKETS
@@ -311,9 +348,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, labelled_rows: int = LABE
     learners = {target: CoTraining(views[target], views["meta"], np.array([float(r[c]) for r in rows]), ridges[target]) for target, c in (("quality", "quality"), ("toxicity", "toxic"))}
     learners = {target: x for target, x in learners.items() if x.able}
     taken: dict[str, set[int]] = {target: set() for target in learners}
-    if learners and rounds:
-        rest = docs.join(F.broadcast(marks.select("doc_id")), "doc_id", "left_anti")
-        pool = materialise(_featured(rest.withColumn("key", F.xxhash64("text", "lang", "source", "n_chars")), ["key"], words), "unlabelled")
+    pool = written.filter("key is not null and marked is null").select("key", "shape", "hits", "grams", "meta")
     for _ in range(rounds if learners else 0):
         found = surest(pool, {target: x.models() for target, x in learners.items()}, taken).collect()  # PER_ROUND by target, view and label
         if not found:
@@ -326,22 +361,49 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, labelled_rows: int = LABE
                     learner.learn(1 - view, viewed(gifts)["meta" if view == 0 else target], np.array([float(r.label) for r in gifts]))
                     taken[target].update(r.key for r in gifts)
     finished = {target: x.finish() for target, x in learners.items()}
-    return QualityModel(finished.get("quality"), finished.get("toxicity"), words)
+    return QualityModel(finished.get("quality"), finished.get("toxicity"), words), written
 
 
-def _judged(model: QualityModel, batch: pa.RecordBatch) -> tuple[np.ndarray | None, np.ndarray | None, np.ndarray]:
-    """Quality, toxicity (None: not known) and whether to keep each row."""
-    blank = np.array([not (t or "").strip() for t in batch.column("text").to_pylist()], bool)
-    keep = ~blank
-    if not batch.num_rows:
-        return np.zeros(0), np.zeros(0), keep
-    views = QualityModel.views(*_features(batch, model.words))
-    quality, toxicity = (None if m is None else np.where(blank, 0.0, m.probability(views[target], views["meta"])) for target, m in (("quality", model.quality), ("toxicity", model.toxicity)))
-    if quality is not None:
-        keep &= quality >= LEAST_QUALITY
-    if toxicity is not None:
-        keep &= toxicity < MOST_TOXICITY
-    return quality, toxicity, keep
+def fit_quality(docs: DataFrame, labels: DataFrame, *, labelled_rows: int = LABELLED_ROWS, rounds: int = ROUNDS) -> QualityModel:
+    """Fit on about ``labelled_rows`` rows of ``labels`` (doc_id, quality, toxic; the bound on labels) and on all other ``docs``."""
+    return _fitted(_with_size(docs, "doc_id"), labels, labelled_rows, rounds)[0]
+
+
+def _judged(model: QualityModel, features: pa.RecordBatch) -> list[pa.Array]:
+    """Quality, toxicity (null: not known) and whether to keep each row of FEATURES and blank."""
+    blank = features.column("blank").to_numpy(zero_copy_only=False).astype(bool)
+    keep, out = ~blank, []
+    views = QualityModel.views(*(features.column(c) for c in _FEATURE_NAMES)) if len(blank) else None
+    for target, learned in (("quality", model.quality), ("toxicity", model.toxicity)):
+        if learned is None or views is None:
+            out.append(pa.nulls(len(blank), pa.float64()))
+            continue
+        p = np.where(blank, 0.0, learned.probability(views[target], views["meta"]))
+        keep &= p >= LEAST_QUALITY if target == "quality" else p < MOST_TOXICITY
+        out.append(pa.array(np.round(p, 6)))
+    return [*out, pa.array(keep)]
+
+
+def _scored(featured: DataFrame, model: QualityModel, names: list[str]) -> DataFrame:
+    """The columns c0, c1 ... of ``featured`` by their ``names``, and the scores."""
+    shared = featured.sparkSession.sparkContext.broadcast(model)  # a few kilobytes
+    carried = [f"c{k}" for k in range(len(names))]
+
+    def score(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *_judged(shared.value, batch)], [*carried, "quality", "toxicity", "keep"])
+
+    kinds = dict(featured.dtypes)
+    scores = featured.mapInArrow(score, ", ".join(f"{c} {kinds[c]}" for c in carried) + ", quality double, toxicity double, keep boolean")
+    return scores.toDF(*names, "quality", "toxicity", "keep")
+
+
+def _carrying(docs: DataFrame, *carried: str) -> tuple[DataFrame, list[str]]:
+    """What the features need of ``docs``, with doc_id and ``carried`` once more as c0, c1 ..., and their names."""
+    names = list(dict.fromkeys(["doc_id", *carried]))
+    inputs = [c for c in ("doc_id", "text", "lang", "source", "n_chars") if c in docs.columns]
+    copies = docs.select(*inputs, *(F.col(c).alias(f"c{k}") for k, c in enumerate(names)))
+    return _with_size(copies, "doc_id", *(f"c{k}" for k in range(len(names)))), names
 
 
 def score_quality(docs: DataFrame, model: QualityModel, *carried: str) -> DataFrame:
@@ -351,15 +413,12 @@ def score_quality(docs: DataFrame, model: QualityModel, *carried: str) -> DataFr
     target whose labels held one class only scores null and rejects nothing. Equal rows get equal scores; an empty table
     gives none.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few kilobytes
-    first = list(dict.fromkeys(["doc_id", *carried]))
-    inputs = _with_size(docs, *(c for c in first if c not in ("text", "lang", "source", "n_chars")))
+    inputs, names = _carrying(docs, *carried)
+    return _scored(_featured(inputs, [f"c{k}" for k in range(len(names))], model.words), model, names)
 
-    def score(batches):
-        for batch in batches:
-            quality, toxicity, keep = _judged(shared.value, batch)
-            scores = [pa.nulls(len(keep), pa.float64()) if p is None else pa.array(np.round(p, 6)) for p in (quality, toxicity)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in first), *scores, pa.array(keep)], [*first, "quality", "toxicity", "keep"])
 
-    kinds = dict(inputs.dtypes)
-    return inputs.mapInArrow(score, ", ".join(f"`{c}` {kinds[c]}" for c in first) + ", quality double, toxicity double, keep boolean")
+def classify_quality(docs: DataFrame, labels: DataFrame, *carried: str, labelled_rows: int = LABELLED_ROWS, rounds: int = ROUNDS) -> DataFrame:
+    """``score_quality`` of ``docs`` by the model that ``fit_quality`` makes of them; every text is read for features once."""
+    inputs, names = _carrying(docs, *carried)
+    model, written = _fitted(inputs, labels, labelled_rows, rounds)
+    return _scored(written, model, names)

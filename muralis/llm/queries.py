@@ -12,7 +12,7 @@ from muralis.llm.html_extract import extract_pages
 from muralis.llm.near_dup import near_duplicate_classes
 from muralis.llm.nearest import top_inner_products
 from muralis.llm.packing import pack_documents
-from muralis.llm.quality import fit_quality, score_quality
+from muralis.llm.quality import classify_quality
 from muralis.llm.suffix_dedup import repeated_byte_digest
 from muralis.llm.token_counts import token_counts
 from muralis.llm.token_store import token_file_digest
@@ -46,8 +46,7 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

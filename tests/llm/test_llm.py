@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 from html import unescape
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -190,7 +191,8 @@ def test_surest_rows_equal_brute_force(spark, docs):
     every = {r.key: r for r in pool.collect()}
     keys = sorted(every)
     assert len(keys) < pool.count()
-    views = quality.QualityModel.views(*([every[k][c] for k in keys] for c in ("shape", "hits", "grams", "meta")))
+    kinds = zip(("shape", "hits", "grams", "meta"), quality._FEATURE_TYPES, strict=True)
+    views = quality.QualityModel.views(*(pa.array([every[k][c] for k in keys], t) for c, t in kinds))
     y = (np.arange(len(keys)) % 3 == 0).astype(float)
     learners = {t: quality.CoTraining(views[t], views["meta"], y) for t in ("quality", "toxicity")}
     models = {t: x.models() for t, x in learners.items()}
@@ -219,6 +221,8 @@ def test_quality_of_awkward_rows(spark):
     model = quality.fit_quality(docs, labels)
     assert model.quality is not None and model.toxicity is None
     scored = quality.score_quality(docs, model).collect()
+    at_once = quality.classify_quality(docs, labels, "text", "key", "n_chars").select("doc_id", "quality", "toxicity", "keep")
+    assert sorted(map(str, at_once.collect())) == sorted(map(str, scored))
     assert len(scored) == 40 and all(r.toxicity is None for r in scored)
     assert len({(r.quality, r.keep) for r in scored}) <= 4
 
