@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from muralis.llm.near_dup import near_duplicate_classes
 from muralis.llm.packing import pack_documents
-from muralis.llm.quality import fit_quality, score_quality
+from muralis.llm.quality import classify_quality
 from muralis.llm.suffix_dedup import remove_repeats
 from muralis.storage import materialise, table
 
@@ -20,8 +20,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier accepts; null, blank, low-quality and toxic texts go."""
-    model = fit_quality(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, model, *COLUMNS).filter("keep").select(*COLUMNS)
+    return classify_quality(docs, table(spark, sf_dir, "labels"), *COLUMNS).filter("keep").select(*COLUMNS)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
