@@ -12,6 +12,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from operator import eq
@@ -49,6 +50,8 @@ _GRAM_BUCKETS = 128
 _BLOCK = 1 << 20
 #: Words whose codes a task remembers.
 _WORDS_KEPT = 1 << 17
+#: Documents of an Arrow batch whose words or features are held at once.
+_SLICE = 128
 #: Ridge penalties of a feature, and of a hashed one: these are many and weak (cross-validated on labelled rows of sf0.01).
 RIDGE = 1.0
 GRAM_RIDGE = 30.0
@@ -56,6 +59,13 @@ GRAM_RIDGE = 30.0
 _PARTS = 512
 
 
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most _SLICE rows; an empty one stays."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), _SLICE):
+            yield batch.slice(at, _SLICE)
+
+
 def beginnings(word: str) -> list[str]:
     return [word[:k] + "*" for k in BEGINNINGS if len(word) > k]
 
@@ -223,7 +233,7 @@ def _featured(docs: DataFrame, names: list[str], lexicon: frozenset[str]) -> Dat
 
     def featured(batches):
         codes = WordCodes(lexicon)
-        for batch in batches:
+        for batch in _slices(batches):
             blank = pa.array([not (t or "").strip() for t in batch.column("text").to_pylist()], pa.bool_())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), blank, *_features(batch, codes)], [*names, "blank", *_FEATURE_NAMES])
 
@@ -280,21 +290,20 @@ def learned_words(rows: DataFrame) -> frozenset[str]:
     """
 
     def distinct_words(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             words = [set(_WORD.findall((t or "").lower())) for t in batch.column(0).to_pylist()]
             seen = [sorted(ws.union(*map(beginnings, ws))) for ws in words]
             at = pa.array(np.repeat(np.arange(len(seen)), [len(s) for s in seen]))
             yield pa.RecordBatch.from_arrays([pa.array([w for s in seen for w in s], pa.string()), batch.column(1).take(at), batch.column(2).take(at)], ["word", "lang", "y"])
 
     def pooled(df: DataFrame, *keys: str) -> DataFrame:
-        """``df`` and, with "*" as their language, its sums over all languages."""
-        every = df.groupBy(*keys).agg(F.sum("a").alias("a"), F.sum("n").alias("n")).withColumn("lang", F.lit("*"))
-        return df.unionByName(every)
+        """Label sums of the rows (lang, y, keys) by language and, with "*" as their language, over all languages."""
+        every = df.withColumn("lang", F.explode(F.array("lang", F.lit("*"))))
+        return every.groupBy("lang", *keys).agg(F.sum("y").alias("a"), F.count("*").alias("n"))
 
     rows = rows.select("text", F.concat(F.lit("="), F.coalesce("lang", F.lit(""))).alias("lang"), F.col("y").cast("int").alias("y")).dropDuplicates()
-    sums = F.sum("y").alias("a"), F.count("*").alias("n")
-    totals = pooled(rows.groupBy("lang").agg(*sums)).toDF("lang", "ones", "total").filter("ones > 0 and ones < total")
-    counts = pooled(rows.mapInArrow(distinct_words, "word string, lang string, y int").groupBy("lang", "word").agg(*sums), "word")
+    totals = pooled(rows).toDF("lang", "ones", "total").filter("ones > 0 and ones < total")
+    counts = pooled(rows.mapInArrow(distinct_words, "word string, lang string, y int"), "word")
     c = F.col
     cells = counts.join(F.broadcast(totals), "lang").filter(c("a") >= LEXICON_ROWS)  # totals: a row per language
     parts = [(c("a"), c("n") * c("ones")), (c("n") - c("a"), c("n") * (c("total") - c("ones"))), (c("ones") - c("a"), (c("total") - c("n")) * c("ones")), (c("total") - c("ones") - c("n") + c("a"), (c("total") - c("n")) * (c("total") - c("ones")))]

@@ -21,9 +21,9 @@ SAMPLE_CHARS = 20_000
 
 
 class FrequentLengths:
-    """Compact hash table, pre-token -> number of tokens: open addressing over one text blob and three flat arrays.
+    """Compact table, pre-token -> number of tokens: the sorted pre-tokens as one text, and two flat arrays.
 
-    It pickles to a few hundred kilobytes; a worker unrolls it into its first-tier dict once.
+    It pickles to a few hundred kilobytes; a worker unrolls it into its first-tier hash table once.
     """
 
     def __init__(self, lengths: dict[str, int]):
