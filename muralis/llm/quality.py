@@ -12,7 +12,6 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from operator import eq
@@ -22,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from muralis.llm.batches import pieces
 from muralis.storage import materialise
 
 #: Labelled rows that the models are fitted on, about.
@@ -48,10 +48,10 @@ _META_BUCKETS = 64
 #: Hashed words, and hashed runs of three bytes, of the text view: so many of each.
 _GRAM_BUCKETS = 128
 _BLOCK = 1 << 20
+#: Rows whose features are a matrix at once.
+_SCORED = 1024
 #: Words whose codes a task remembers.
 _WORDS_KEPT = 1 << 17
-#: Documents of an Arrow batch whose words or features are held at once.
-_SLICE = 128
 #: Ridge penalties of a feature, and of a hashed one: these are many and weak (cross-validated on labelled rows of sf0.01).
 RIDGE = 1.0
 GRAM_RIDGE = 30.0
@@ -59,13 +59,6 @@ GRAM_RIDGE = 30.0
 _PARTS = 512
 
 
-def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of at most _SLICE rows; an empty one stays."""
-    for batch in batches:
-        for at in range(0, max(1, batch.num_rows), _SLICE):
-            yield batch.slice(at, _SLICE)
-
-
 def beginnings(word: str) -> list[str]:
     return [word[:k] + "*" for k in BEGINNINGS if len(word) > k]
 
@@ -233,7 +226,7 @@ def _featured(docs: DataFrame, names: list[str], lexicon: frozenset[str]) -> Dat
 
     def featured(batches):
         codes = WordCodes(lexicon)
-        for batch in _slices(batches):
+        for batch in pieces(batches):
             blank = pa.array([not (t or "").strip() for t in batch.column("text").to_pylist()], pa.bool_())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), blank, *_features(batch, codes)], [*names, "blank", *_FEATURE_NAMES])
 
@@ -252,7 +245,7 @@ def surest(pool: DataFrame, models: dict[str, list[Logistic]], taken: dict[str,
 
     def best(batches):
         kept = {slot: {} for slot in slots}
-        for batch in batches:
+        for batch in pieces(batches, _SCORED):
             if not batch.num_rows:
                 continue
             keys = batch.column(0).to_numpy(zero_copy_only=False)
@@ -290,7 +283,7 @@ def learned_words(rows: DataFrame) -> frozenset[str]:
     """
 
     def distinct_words(batches):
-        for batch in _slices(batches):
+        for batch in pieces(batches):
             words = [set(_WORD.findall((t or "").lower())) for t in batch.column(0).to_pylist()]
             seen = [sorted(ws.union(*map(beginnings, ws))) for ws in words]
             at = pa.array(np.repeat(np.arange(len(seen)), [len(s) for s in seen]))
@@ -399,7 +392,7 @@ def _scored(featured: DataFrame, model: QualityModel, names: list[str]) -> DataF
     carried = [f"c{k}" for k in range(len(names))]
 
     def score(batches):
-        for batch in batches:
+        for batch in pieces(batches, _SCORED):
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *_judged(shared.value, batch)], [*carried, "quality", "toxicity", "keep"])
 
     kinds = dict(featured.dtypes)
