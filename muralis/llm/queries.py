@@ -14,8 +14,11 @@ from muralis.llm.nearest import top_inner_products
 from muralis.llm.packing import pack_documents
 from muralis.llm.quality import classify_quality
 from muralis.llm.suffix_dedup import repeated_byte_digest
+from muralis.llm.suffix_tree_lm import lm_scores
 from muralis.llm.token_counts import token_counts
 from muralis.llm.token_store import token_file_digest
+from muralis.llm.vector_codes import encode_vectors
+from muralis.llm.whitening import whiten_embeddings
 from muralis.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,13 +64,25 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_top_k_search, op4_bpe_codec, op5_token_store, op6_fingerprints, op7_quality_classifier, op8_html_extraction, op9_near_duplicates, op10_best_fit_packing, pipeline)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_top_k_search, op4_bpe_codec, op5_token_store, op6_fingerprints, op7_quality_classifier, op8_html_extraction, op9_near_duplicates, op10_best_fit_packing, op11_vector_codes, op12_lm_scoring, op13_whitening, pipeline)}
 
 #: DuckDB SQL by query name. The operators here work by tokenizers, sketches, trees and trained models, or are too slow
 #: in SQL on whole tables; tests/llm holds them against brute force instead.
