@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -32,6 +33,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` as a table of the session's warehouse, bucketed by ``key``: groups and joins by the key move only their other side. The second
+    value drops the table."""
+    spark = df.sparkSession
+    name = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).format("parquet").saveAsTable(name)
+    return spark.table(name), lambda: spark.sql(f"DROP TABLE IF EXISTS {name}") and None
+
+
 def materialise_with(df: DataFrame, name: str, **facts: Column) -> tuple[DataFrame, dict]:
     """``materialise``, and aggregates of the rows that were gathered as they were written (0 where there are none)."""
     seen = Observation()
