@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from muralis.functions import rings
+
 POLYGON = "array<struct<x:double,y:double>>"
 
 
@@ -33,6 +35,14 @@ def centroid(p: Column) -> tuple[Column, Column]:
     return mean("x"), mean("y")
 
 
+def area_centroid(p: Column) -> tuple[Column, Column]:
+    """Centre of mass of a simple polygon."""
+    cross = lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]
+    twice = F.aggregate(_edges(p), F.lit(0.0), lambda s, e: s + cross(e))
+    moment = lambda k: F.aggregate(_edges(p), F.lit(0.0), lambda s, e: s + (e["a"][k] + e["b"][k]) * cross(e)) / (3 * twice)
+    return moment("x"), moment("y")
+
+
 def bbox(p: Column) -> Column:
     xs, ys = F.transform(p, lambda v: v["x"]), F.transform(p, lambda v: v["y"])
     return F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
@@ -95,6 +105,43 @@ def _iou(p: pd.Series, q: pd.Series) -> pd.Series:
     return pd.Series([iou(_points(a), _points(b)) for a, b in zip(p, q, strict=True)], dtype="float64")
 
 
+def _clean(p: pd.Series) -> pd.Series:
+    shapes = [rings.cleaned(rings.points_of(value)) for value in p]
+    return pd.Series([None if s is None else rings.plain(s[0]) for s in shapes], dtype=object)
+
+
+def filled(p: np.ndarray, width: int, height: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the canvas pixels of a polygon with its vertices on whole pixels: the pixels within and those on its edges."""
+    p = np.round(p).astype(np.int64)
+    x0, y0 = np.maximum(p.min(axis=0), 0)
+    x1, y1 = np.minimum(p.max(axis=0), (width - 1, height - 1))
+    if x1 < x0 or y1 < y0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    xs, ys = np.arange(x0, x1 + 1), np.arange(y0, y1 + 1)
+    inside = np.zeros((len(ys), len(xs)), bool)
+    for (ax, ay), (bx, by) in zip(p, np.roll(p, -1, axis=0), strict=True):
+        rows = np.flatnonzero((ay > ys) != (by > ys))
+        if len(rows):
+            inside[rows] ^= xs[None, :] < ((bx - ax) * (ys[rows] - ay) / (by - ay) + ax)[:, None]
+    for (ax, ay), (bx, by) in zip(p, np.roll(p, -1, axis=0), strict=True):
+        n = max(abs(bx - ax), abs(by - ay))
+        t = np.arange(n + 1)
+        ex, ey = np.floor(ax + (bx - ax) * t / max(n, 1) + 0.5).astype(int), np.floor(ay + (by - ay) * t / max(n, 1) + 0.5).astype(int)
+        seen = (ex >= x0) & (ex <= x1) & (ey >= y0) & (ey <= y1)
+        inside[ey[seen] - y0, ex[seen] - x0] = True
+    at = np.nonzero(inside)
+    return at[0] + y0, at[1] + x0
+
+
+class Rasterise:
+    """Table function: y, x of every canvas pixel of a polygon; nothing for what is no polygon. For LATERAL joins."""
+
+    def eval(self, polygon, width: int, height: int):
+        points = rings.points_of(polygon)
+        if points is not None and len(points) >= 3:
+            yield from zip(*(v.tolist() for v in filled(points, width, height)), strict=True)
+
+
 def raster(p: np.ndarray) -> tuple[np.ndarray, int, int]:
     """Pixels whose centres lie inside, with the row and column of the first; one empty pixel all around."""
     x0, y0 = int(np.floor(p[:, 0].min())) - 1, int(np.floor(p[:, 1].min())) - 1
@@ -187,6 +234,11 @@ def poly_iou(p: Column, q: Column) -> Column:
     return F.pandas_udf(_iou, "double")(p, q)
 
 
+def poly_clean(p: Column) -> Column:
+    """A polygon with its crossings resolved, anticlockwise; null for what is none or falls apart."""
+    return F.pandas_udf(_clean, POLYGON)(p)
+
+
 def poly_measure(p: Column) -> Column:
     """Pixel area, skeleton length, and twice the largest and mean edge distance along the skeleton."""
     return F.pandas_udf(_measure, MEASURES)(p)
@@ -199,5 +251,6 @@ def poly_pixels(p: Column) -> Column:
 
 def register(spark: SparkSession) -> None:
     """The polygon functions for SQL."""
-    for name, f, kind in (("poly_iou", _iou, "double"), ("poly_measure", _measure, MEASURES), ("poly_pixels", _pixels, PIXELS)):
+    for name, f, kind in (("poly_iou", _iou, "double"), ("poly_clean", _clean, POLYGON), ("poly_measure", _measure, MEASURES), ("poly_pixels", _pixels, PIXELS)):
         spark.udf.register(name, F.pandas_udf(f, kind))
+    spark.udtf.register("rasterise", F.udtf(Rasterise, returnType="y int, x int"))

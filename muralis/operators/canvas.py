@@ -119,11 +119,6 @@ def composed_transforms(edges: DataFrame, tree: DataFrame) -> DataFrame:
     return whole
 
 
-def unreachable(nodes: DataFrame, placed: DataFrame) -> DataFrame:
-    """The nodes that no path places."""
-    return nodes.select("node").distinct().join(placed.select("node"), "node", "left_anti")
-
-
 def camera_distance(x: Column, y: Column, z: Column, cx: Column, cy: Column, cz: Column) -> Column:
     """Distance of a point to its camera: the nearest camera owns a cell."""
     return F.sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz))

@@ -9,20 +9,45 @@ from pyspark.sql.window import Window
 
 from muralis.config import DEFAULT, Config
 from muralis.graph import connected_components
+from muralis.functions import polygons
+from muralis.functions.rings import union_by
 from muralis.operators.spatial import box_pairs
 
 #: Cell of the box grid: about the size of a large box, so that most boxes touch few cells.
 CELL = 64.0
 
+#: An overlap of polygons below this share is what rounding makes of touching.
+SLIVER = 1e-6
+
 # Grades and the note of an ungraded crack.
 SEVERE, MINOR = "정밀점검대상", "경미"
 NOTE_UNKNOWN, NOTE_COARSE = "판정불가(해상도부족): 해상도 정보 없음", "판정불가(해상도부족): %.2f mm/px > 기준 %.2f mm/px"
 
 
+def with_bounds(shapes: DataFrame) -> DataFrame:
+    """Rows of a column polygon, repaired, with their bounding box x0, y0, w, h; what is no polygon goes."""
+    whole = shapes.withColumn("polygon", polygons.poly_clean(F.col("polygon"))).filter("polygon is not null")
+    b = whole.withColumn("bounds", polygons.bbox(F.col("polygon")))
+    lo = b.withColumn("x0", F.col("bounds")[0]).withColumn("y0", F.col("bounds")[1])
+    return lo.withColumn("w", F.col("bounds")[2] - F.col("x0")).withColumn("h", F.col("bounds")[3] - F.col("y0")).drop("bounds")
+
+
+def scored_pairs(rows: DataFrame, within: list[str] | None = None) -> DataFrame:
+    """``box_pairs`` of rows with their intersection over union as ``iou``: of their polygons where they have any (``with_bounds``), which
+    must overlap too, else of their boxes."""
+    pairs = box_pairs(rows, cell=CELL, within=within)
+    if "polygon" not in rows.columns:
+        return pairs.withColumn("iou", F.col("inter") / F.col("both"))
+    return pairs.withColumn("iou", polygons.poly_iou(F.col("a_polygon"), F.col("b_polygon"))).filter(F.col("iou") > SLIVER)
+
+
+def _sided(rows: DataFrame, *columns: str | Column) -> DataFrame:
+    return rows.select(*columns, "x0", "y0", "w", "h", *(["polygon"] if "polygon" in rows.columns else []))
+
+
 def overlapping(boxes: DataFrame, iou: float, within: list[str] | None = None) -> DataFrame:
-    """a, b, iou for boxes that overlap by at least ``iou``."""
-    pairs = box_pairs(boxes, cell=CELL, within=within).withColumn("iou", F.col("inter") / F.col("both"))
-    return pairs.filter(F.col("iou") >= iou).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "iou")
+    """a, b, iou for boxes, or polygons, that overlap by at least ``iou``."""
+    return scored_pairs(boxes, within).filter(F.col("iou") >= iou).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "iou")
 
 
 def merged(boxes: DataFrame, iou: float = DEFAULT.merge_iou) -> DataFrame:
@@ -32,11 +57,25 @@ def merged(boxes: DataFrame, iou: float = DEFAULT.merge_iou) -> DataFrame:
     return of.groupBy("crack_id").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max(F.col("x0") + F.col("w")).alias("x1"), F.max(F.col("y0") + F.col("h")).alias("y1"), F.max("conf").alias("conf"), F.count("*").alias("n"))
 
 
+def merged_polygons(shapes: DataFrame, iou: float = DEFAULT.merge_iou) -> DataFrame:
+    """Connected groups of overlapping polygons (id, polygon, conf, tile): crack_id (the smallest id), polygon and area of their union's
+    largest part, greatest confidence, tiles (sorted, each once), number."""
+    placed = with_bounds(shapes)
+    groups = connected_components(overlapping(placed, iou).select("a", "b"))
+    of = placed.join(groups, "id", "left").withColumn("crack_id", F.coalesce("component", "id"))
+    rest = of.groupBy("crack_id").agg(F.max("conf").alias("conf"), F.array_sort(F.collect_set("tile")).alias("tiles"), F.count("*").alias("n"))
+    return union_by(of, "crack_id").select("crack_id", "polygon", "area", "n_parts").join(rest, "crack_id")
+
+
 def duplicates_across_images(boxes: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """a, b of different images that overlap enough, or at all with near centres."""
-    pairs = box_pairs(boxes, cell=CELL).filter("a_image_id <> b_image_id").withColumn("iou", F.col("inter") / F.col("both"))
+    pairs = scored_pairs(boxes).filter("a_image_id <> b_image_id")
     c = F.col
-    centre = F.sqrt(F.pow(c("a_x0") + c("a_w") / 2 - c("b_x0") - c("b_w") / 2, 2.0) + F.pow(c("a_y0") + c("a_h") / 2 - c("b_y0") - c("b_h") / 2, 2.0))
+    if "polygon" in boxes.columns:
+        (ax, ay), (bx, by) = polygons.area_centroid(c("a_polygon")), polygons.area_centroid(c("b_polygon"))
+    else:
+        ax, ay, bx, by = (c(f"{k}_{x}0") + c(f"{k}_{w}") / 2 for k in "ab" for x, w in ("xw", "yh"))
+    centre = F.sqrt(F.pow(ax - bx, 2.0) + F.pow(ay - by, 2.0))
     return pairs.filter((c("iou") >= cfg.cross_image_iou) | (centre <= cfg.cross_image_centre_px)).select(c("a_id").alias("a"), c("b_id").alias("b"), "iou")
 
 
@@ -51,7 +90,7 @@ def inflated_groups(boxes: DataFrame, margin: float) -> DataFrame:
 def near_misses(candidates: DataFrame, confident: DataFrame, iou: float = DEFAULT.merge_iou) -> DataFrame:
     """Candidates that no confident box overlaps by ``iou`` or more."""
     both = candidates.withColumn("side", F.lit(0)).unionByName(confident.withColumn("side", F.lit(1)))
-    hits = box_pairs(both, cell=CELL).filter((F.col("a_side") != F.col("b_side")) & (F.col("inter") / F.col("both") >= iou))
+    hits = scored_pairs(both).filter((F.col("a_side") != F.col("b_side")) & (F.col("iou") >= iou))
     hit_ids = hits.select(F.when(F.col("a_side") == 0, F.col("a_id")).otherwise(F.col("b_id")).alias("id")).distinct()
     return candidates.join(hit_ids, "id", "left_anti")
 
@@ -101,10 +140,10 @@ def greedy_matches(pairs: DataFrame, group: str, least: float) -> DataFrame:
 def stable_ids(new: DataFrame, old: DataFrame, iou: float = DEFAULT.match_iou) -> DataFrame:
     """crack_id for every new box (facade, ord, x0, y0, w, h): that of the old box (facade, ord, crack_no, ...) it continues, else the next free
     number of the facade."""
-    left = new.select("facade", F.col("ord").alias("id"), "x0", "y0", "w", "h", F.lit(0).alias("side"))
-    right = old.select("facade", (-1 - F.col("ord")).alias("id"), "x0", "y0", "w", "h", F.lit(1).alias("side"))
-    pairs = box_pairs(left.unionByName(right), cell=CELL, within=["facade"]).filter("a_side = 1 and b_side = 0")
-    pairs = pairs.select(F.col("a_facade").alias("facade"), F.col("b_id").alias("left_ord"), (-1 - F.col("a_id")).alias("right_ord"), (F.col("inter") / F.col("both")).alias("score"))
+    left = _sided(new, "facade", F.col("ord").alias("id"), F.lit(0).alias("side"))
+    right = _sided(old, "facade", (-1 - F.col("ord")).alias("id"), F.lit(1).alias("side"))
+    pairs = scored_pairs(left.unionByName(right), ["facade"]).filter("a_side = 1 and b_side = 0")
+    pairs = pairs.select(F.col("a_facade").alias("facade"), F.col("b_id").alias("left_ord"), (-1 - F.col("a_id")).alias("right_ord"), F.col("iou").alias("score"))
     matches = greedy_matches(pairs, "facade", iou).select("facade", F.col("left_ord").alias("ord"), F.col("right_ord").alias("old_ord"))
     known = matches.join(old.select("facade", F.col("ord").alias("old_ord"), "crack_no"), ["facade", "old_ord"]).select("facade", "ord", "crack_no")
     last = old.groupBy("facade").agg(F.max("crack_no").alias("last"))
@@ -123,13 +162,11 @@ def id_continuity(new: DataFrame, old: DataFrame, group: str, key: str) -> DataF
 def evaluated(truth: DataFrame, found: DataFrame, background: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """outcome rows of detections against truth (image, ord, x0, y0, w, h, width, tag): TP and FN by truth, CONFOUNDER_FP and FP by the rest
     of the detections."""
-    cols = ["image", "ord", "x0", "y0", "w", "h"]
-
     def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
         """left_ord in a, right_ord in b."""
-        both = a.select("image", F.col("ord").alias("id"), *cols[2:], F.lit(0).alias("side")).unionByName(b.select("image", (-1 - F.col("ord")).alias("id"), *cols[2:], F.lit(1).alias("side")))
-        hits = box_pairs(both, cell=CELL, within=["image"]).filter("a_side = 1 and b_side = 0")
-        return hits.select(F.col("a_image").alias("image"), F.col("b_id").alias("left_ord"), (-1 - F.col("a_id")).alias("right_ord"), (F.col("inter") / F.col("both")).alias("score"))
+        both = _sided(a, "image", F.col("ord").alias("id"), F.lit(0).alias("side")).unionByName(_sided(b, "image", (-1 - F.col("ord")).alias("id"), F.lit(1).alias("side")))
+        hits = scored_pairs(both, ["image"]).filter("a_side = 1 and b_side = 0")
+        return hits.select(F.col("a_image").alias("image"), F.col("b_id").alias("left_ord"), (-1 - F.col("a_id")).alias("right_ord"), F.col("iou").alias("score"))
 
     matches = greedy_matches(pairs(truth, found), "image", cfg.truth_iou)
     hit = matches.select("image", F.col("left_ord").alias("ord"), F.col("right_ord").alias("found_ord"))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from muralis.operators.store import last_of_key
+
 # Drones by camera model.
 DRONES = {"M3E": "DJI Mavic 3 Enterprise", "M3T": "DJI Mavic 3 Thermal", "M4E": "DJI Matrice 4E", "M4T": "DJI Matrice 4T", "L2D-20c": "DJI Mavic 3 계열"}
 
@@ -60,8 +62,10 @@ def with_rejections(cracks: DataFrame, rejected: DataFrame, key: str) -> DataFra
     return cracks.join(last, key, "left").select(*cracks.columns, F.col("r.by").alias("rejected_by"), F.col("r.at").alias("rejected_at"), F.col("r.note").alias("note"))
 
 
-def file_records_upserted(stored: DataFrame, incoming: DataFrame, keys: list[str], now: Column) -> DataFrame:
-    """Result files written anew replace those of the same key and are no longer deleted."""
+def file_records_upserted(stored: DataFrame, incoming: DataFrame, keys: list[str], now: Column, ord: str | None = None) -> DataFrame:
+    """Result files written anew replace those of the same key and are no longer deleted; of several of a key the last one (by ``ord``) counts."""
+    incoming = last_of_key(incoming, keys, ord)
+    incoming = incoming.select(*(c for c in incoming.columns if c in stored.columns))
     fresh = incoming.withColumn("deleted_at", F.lit(None).cast(dict(stored.dtypes)["deleted_at"])).withColumn("updated_at", now)
     return stored.join(incoming.select(*keys), keys, "left_anti").unionByName(fresh)
 
@@ -74,28 +78,39 @@ def retention_rearmed(register: DataFrame, runs: DataFrame, now: Column) -> Data
     kept = own.join(new.select(*keys).distinct(), keys, "left_anti")
     known = own.select(*keys, F.col("facade_id").alias("f0"), F.col("folder").alias("d0"))
     armed = new.join(known, keys, "left").select("archive_id", F.coalesce("f0", "facade_id").alias("facade_id"), F.coalesce("d0", "folder").alias("folder"), now.alias("registered_at"), F.lit(None).cast(dict(register.dtypes)["deleted_at"]).alias("deleted_at"), F.lit(None).cast("long").alias("bytes_freed"))
-    return kept.select(*armed.columns).unionByName(armed.distinct())
+    # Runs that differ in case only are one entry, under the name that is known or else the least.
+    one = armed.withColumn("kf", F.lower("facade_id")).withColumn("kd", F.lower("folder")).groupBy("archive_id", "kf", "kd").agg(*(F.min(c).alias(c) for c in armed.columns if c != "archive_id")).select(*armed.columns)
+    return kept.select(*armed.columns).unionByName(one)
 
 
-def retention_deleted(register: DataFrame, freed: DataFrame, keys: list[str], now: Column) -> DataFrame:
-    """Entries whose files are gone, with when and how much."""
-    hit = freed.select(*keys, F.col("bytes").alias("freed"), F.lit(True).alias("gone"))
-    joined = register.join(hit, keys, "left")
+def retention_deleted(register: DataFrame, freed: DataFrame, keys: list[str], now: Column, *, without_case: tuple[str, ...] = ("facade_id", "folder")) -> DataFrame:
+    """Entries whose files are gone, with when and how much; faces and folders are compared without case, and of several reports on an entry
+    the greatest counts."""
+    folded = lambda d, p: [(F.lower(k) if k in without_case else F.col(k)).alias(f"{p}{k}") for k in keys]
+    hit = freed.select(*folded(freed, "k_"), F.col("bytes").alias("freed")).groupBy(*(f"k_{k}" for k in keys)).agg(F.max("freed").alias("freed"), F.lit(True).alias("gone"))
+    joined = register.select("*", *folded(register, "k_")).join(hit, [f"k_{k}" for k in keys], "left")
     return joined.select(*(c for c in register.columns if c not in ("deleted_at", "bytes_freed")), F.when(F.col("gone"), now).otherwise(F.col("deleted_at")).alias("deleted_at"), F.coalesce("freed", "bytes_freed").alias("bytes_freed"))
 
 
 # What a finished dense run must hold, and what may go, as patterns of paths within its folder.
+DENSE_FOLDERS = r"^((?:stereo/normal_maps|stereo/consistency_graphs|images)/)"
 DENSE_NEEDED = (r"^stereo/depth_maps/[^/]*\.geometric\.bin$", r"^sparse/", r"^fused\.ply$")
+DENSE_NAMES = ("depth_maps", "sparse", "fused.ply")
 DENSE_REMOVED = (r"^stereo/(normal_maps|consistency_graphs)/", r"^images/", r"^stereo/depth_maps/[^/]*\.photometric\.bin$", r"^fused\.ply\.vis$")
 
 
 def cleanup_plan(files: DataFrame, folder: str) -> DataFrame:
-    """Per folder of ``files`` (folder, path, bytes) how many may be deleted and the bytes that this frees; none of a run that lacks a needed
-    file."""
-    whole = reduce(lambda a, b: a & b, (F.bool_or(F.col("path").rlike(p)) for p in DENSE_NEEDED))
+    """Per folder of ``files`` (folder, path, bytes) how many things may be deleted, whole subfolders counting as one, the bytes that this frees,
+    and why nothing may go of a run that lacks a needed file."""
+    whole = [F.bool_or(F.col("path").rlike(p)) for p in DENSE_NEEDED]
     goes = reduce(lambda a, b: a | b, (F.col("path").rlike(p) for p in DENSE_REMOVED))
-    found = files.groupBy(folder).agg(whole.alias("complete"), F.count_if(goes).alias("n"), F.coalesce(F.sum(F.when(goes, F.col("bytes"))), F.lit(0)).alias("b"))
-    return found.select(folder, "complete", F.when(F.col("complete"), F.col("n")).otherwise(0).alias("deleted"), F.when(F.col("complete"), F.col("b")).otherwise(0).alias("bytes_freed"))
+    thing = F.coalesce(F.nullif(F.regexp_extract("path", DENSE_FOLDERS, 1), F.lit("")), F.col("path"))
+    # One row a thing first: a folder of very many files is summed up within the tasks.
+    things = files.groupBy(folder, thing.alias("thing")).agg(F.bool_or(goes).alias("goes"), F.sum(F.when(goes, F.col("bytes"))).alias("b"), *(w.alias(f"has{k}") for k, w in enumerate(whole)))
+    found = things.groupBy(folder).agg(F.count_if("goes").alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"), *(F.bool_or(f"has{k}").alias(f"has{k}") for k in range(len(whole))))
+    missing = F.array_join(F.filter(F.array(*(F.when(~F.col(f"has{k}"), F.lit(name)) for k, name in enumerate(DENSE_NAMES))), lambda x: x.isNotNull()), ", ")
+    found = found.withColumn("missing", missing).withColumn("complete", F.col("missing") == "")
+    return found.select(folder, "complete", F.when(F.col("complete"), F.col("n")).otherwise(0).alias("deleted"), F.when(F.col("complete"), F.col("b")).otherwise(0).alias("bytes_freed"), F.nullif("missing", F.lit("")).alias("missing"))
 
 
 def offset_summary(checks: DataFrame, group: str, offset: str) -> DataFrame:

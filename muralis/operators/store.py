@@ -29,9 +29,17 @@ FILE_KINDS = (
 )
 
 
-def upserted(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Incoming rows replace stored ones of the same key, others are added: one join, no mutation."""
-    return stored.join(incoming.select(*keys), keys, "left_anti").unionByName(incoming)
+def last_of_key(rows: DataFrame, keys: list[str], ord: str | None = None) -> DataFrame:
+    """One row a key: the last by the column ``ord``, or else the greatest by all other columns; in one statement a key is written once."""
+    rest = [c for c in rows.columns if c not in keys]
+    best = F.max_by(F.struct(*rest), F.col(ord)) if ord else F.max(F.struct(*rest))
+    return rows.groupBy(*keys).agg(best.alias("last")).select(*keys, *(F.col("last")[c].alias(c) for c in rest)) if rest else rows.select(*keys).distinct()
+
+
+def upserted(stored: DataFrame, incoming: DataFrame, keys: list[str], ord: str | None = None) -> DataFrame:
+    """Incoming rows replace stored ones of the same key, others are added; of several of a key the last one (by ``ord``) counts."""
+    fresh = last_of_key(incoming, keys, ord).select(*stored.columns)
+    return stored.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
 
 
 def replaced_children(children: DataFrame, incoming: DataFrame, parent: list[str]) -> DataFrame:

@@ -157,7 +157,7 @@ def graph_components(spark, d):
     return connected_components(ck.overlapping(roles.boxes(spark, d), 0.2).select("a", "b"))
 
 
-@query()
+@query(f"{with_roles('edges stitch arcs', '').rstrip()}, {roles.paths_sql(12)} SELECT node, {r6('dist')} AS dist FROM paths")
 def graph_sssp(spark, d):
     e = roles.stitch(spark, d)
     return gr.shortest_paths(e, gr.reference_node(e).select("node")).select("node", rounded(c("dist")).alias("dist"))

@@ -96,13 +96,6 @@ def depth_samples(spark, d):
     return s.select("image", "id", rounded(c("depth")).alias("depth"))
 
 
-@query(with_roles("edges stitch arcs", "SELECT u AS node FROM arcs GROUP BY 1 HAVING u NOT IN (SELECT least(u,v) FROM stitch WHERE weight<2::DOUBLE)"))
-def unreachable_photos(spark, d):
-    e = roles.stitch(spark, d)
-    placed = e.filter("weight < 2").select(F.least("u", "v").alias("node")).distinct()
-    return cv.unreachable(gr.directed(e).select(c("u").alias("node")), placed)
-
-
 @query()
 def path_transforms(spark, d):
     """Homographies from every photo to the reference photo, along the tree of fewest hops."""
@@ -170,12 +163,14 @@ def crack_rejections(spark, d):
     return lk.with_rejections(table(spark, d, "customer").select(c("c_custkey").alias("k")), rejected, "k")
 
 
-@query("SELECT o_orderkey AS k, o_totalprice AS size, CASE WHEN o_orderkey%3=0 THEN NULL WHEN o_orderstatus='F' THEN DATE '2024-01-01' END AS deleted_at, CASE WHEN o_orderkey%3=0 THEN DATE '2025-01-01' ELSE DATE '2024-02-02' END AS updated_at FROM orders UNION ALL SELECT o_orderkey+100000000, o_totalprice, NULL, DATE '2025-01-01' FROM orders WHERE o_orderkey%5=0")
+@query("SELECT o_orderkey AS k, CASE WHEN o_orderkey%6=0 THEN o_totalprice*2 ELSE o_totalprice END AS size, CASE WHEN o_orderkey%3=0 THEN NULL WHEN o_orderstatus='F' THEN DATE '2024-01-01' END AS deleted_at, CASE WHEN o_orderkey%3=0 THEN DATE '2025-01-01' ELSE DATE '2024-02-02' END AS updated_at FROM orders UNION ALL SELECT o_orderkey+100000000, o_totalprice, NULL, DATE '2025-01-01' FROM orders WHERE o_orderkey%5=0")
 def result_files_upsert(spark, d):
     o = table(spark, d, "orders")
     stored = o.select(c("o_orderkey").alias("k"), (c("o_totalprice") + F.when(c("o_orderkey") % 3 == 0, 1).otherwise(0)).alias("size"), F.when(c("o_orderstatus") == "F", F.to_date(F.lit("2024-01-01"))).alias("deleted_at"), F.to_date(F.lit("2024-02-02")).alias("updated_at"))
-    incoming = o.filter("o_orderkey % 3 = 0").select(c("o_orderkey").alias("k"), c("o_totalprice").alias("size")).unionByName(o.filter("o_orderkey % 5 = 0").select((c("o_orderkey") + 100000000).alias("k"), c("o_totalprice").alias("size")))
-    return lk.file_records_upserted(stored, incoming, ["k"], F.to_date(F.lit("2025-01-01")))
+    incoming = o.filter("o_orderkey % 3 = 0").select(c("o_orderkey").alias("k"), c("o_totalprice").alias("size"), F.lit(1).alias("ord"))
+    incoming = incoming.unionByName(o.filter("o_orderkey % 6 = 0").select(c("o_orderkey").alias("k"), (c("o_totalprice") * 2).alias("size"), F.lit(2).alias("ord")))
+    incoming = incoming.unionByName(o.filter("o_orderkey % 5 = 0").select((c("o_orderkey") + 100000000).alias("k"), c("o_totalprice").alias("size"), F.lit(1).alias("ord")))
+    return lk.file_records_upserted(stored, incoming, ["k"], F.to_date(F.lit("2025-01-01")), "ord")
 
 
 @query("SELECT o_orderkey AS archive_id, 'F'||(o_custkey%4) AS facade_id, '/out/'||o_orderstatus AS folder, CASE WHEN o_orderkey%3=0 THEN 2025 ELSE 2024 END AS registered_at, CASE WHEN o_orderkey%3<>0 AND o_orderstatus='F' THEN 2024 END AS deleted_at, CASE WHEN o_orderkey%3<>0 AND o_orderstatus='F' THEN 7 END::BIGINT AS bytes_freed FROM orders UNION ALL SELECT o_orderkey+100000000, 'f'||(o_custkey%4), '/out/n', 2025, NULL, NULL FROM orders WHERE o_orderkey%7=0")
@@ -185,22 +180,25 @@ def retention_register(spark, d):
     register = o.select(c("o_orderkey").alias("archive_id"), F.concat(F.lit("F"), c("o_custkey") % 4).alias("facade_id"), F.concat(F.lit("/out/"), "o_orderstatus").alias("folder"), F.lit(2024).alias("registered_at"), F.when(gone, 2024).alias("deleted_at"), F.when(gone, 7).cast("long").alias("bytes_freed"))
     runs = o.filter("o_orderkey % 3 = 0").select(c("o_orderkey").alias("archive_id"), F.concat(F.lit("f"), c("o_custkey") % 4).alias("facade_id"), F.upper(F.concat(F.lit("/out/"), "o_orderstatus")).alias("folder"))
     runs = runs.unionByName(o.filter("o_orderkey % 7 = 0").select((c("o_orderkey") + 100000000).alias("archive_id"), F.concat(F.lit("f"), c("o_custkey") % 4).alias("facade_id"), F.lit("/out/n").alias("folder")))
+    runs = runs.unionByName(runs.filter("archive_id % 2 = 0").withColumn("folder", F.initcap("folder")))
     return lk.retention_rearmed(register, runs, F.lit(2025))
 
 
-@query("SELECT o_orderkey AS k, CASE WHEN o_orderkey%4=0 THEN 2026 WHEN o_orderstatus='F' THEN 2024 END AS deleted_at, CASE WHEN o_orderkey%4=0 THEN o_custkey WHEN o_orderstatus='F' THEN 7 END::BIGINT AS bytes_freed FROM orders")
+@query("SELECT o_orderkey AS k, 'F'||(o_custkey%4) AS facade_id, CASE WHEN o_orderkey%4=0 THEN 2026 WHEN o_orderstatus='F' THEN 2024 END AS deleted_at, CASE WHEN o_orderkey%4=0 THEN o_custkey WHEN o_orderstatus='F' THEN 7 END::BIGINT AS bytes_freed FROM orders")
 def retention_marked(spark, d):
     o = table(spark, d, "orders")
     gone = c("o_orderstatus") == "F"
-    register = o.select(c("o_orderkey").alias("k"), F.when(gone, 2024).alias("deleted_at"), F.when(gone, 7).cast("long").alias("bytes_freed"))
-    freed = o.filter("o_orderkey % 4 = 0").select(c("o_orderkey").alias("k"), c("o_custkey").cast("long").alias("bytes"))
-    return lk.retention_deleted(register, freed, ["k"], F.lit(2026))
+    face = lambda letter: F.concat(F.lit(letter), c("o_custkey") % 4).alias("facade_id")
+    register = o.select(c("o_orderkey").alias("k"), face("F"), F.when(gone, 2024).alias("deleted_at"), F.when(gone, 7).cast("long").alias("bytes_freed"))
+    freed = o.filter("o_orderkey % 4 = 0").select(c("o_orderkey").alias("k"), face("f"), c("o_custkey").cast("long").alias("bytes"))
+    freed = freed.unionByName(freed.filter("k % 8 = 0").withColumn("facade_id", F.upper("facade_id")).withColumn("bytes", c("bytes") - 1))
+    return lk.retention_deleted(register, freed, ["k", "facade_id"], F.lit(2026))
 
 
 _DENSE = ("stereo/depth_maps/a.geometric.bin", "sparse/points.bin", "fused.ply", "stereo/normal_maps/a.bin", "stereo/consistency_graphs/x/a.bin", "images/a.jpg", "stereo/depth_maps/a.photometric.bin", "fused.ply.vis", "notes.txt", "stereo/images/b.jpg")
 
 
-@query(f"SELECT g, ok AS complete, CASE WHEN ok THEN n ELSE 0 END AS deleted, CASE WHEN ok THEN b ELSE 0 END::BIGINT AS bytes_freed FROM (SELECT g, bool_or(path LIKE 'stereo/depth\\_maps/%.geometric.bin' ESCAPE '\\') AND bool_or(starts_with(path,'sparse/')) AND bool_or(path='fused.ply') AS ok, count(*) FILTER (goes) AS n, coalesce(sum(size) FILTER (goes),0) AS b FROM (SELECT *, starts_with(path,'stereo/normal_maps/') OR starts_with(path,'stereo/consistency_graphs/') OR starts_with(path,'images/') OR (starts_with(path,'stereo/depth_maps/') AND path LIKE '%.photometric.bin') OR path='fused.ply.vis' AS goes FROM (SELECT l_orderkey AS g, l_suppkey::BIGINT AS size, {list(_DENSE)!r}[l_partkey%10+1] AS path FROM lineitem)) GROUP BY 1)")
+@query(f"SELECT g, ok AS complete, CASE WHEN ok THEN n ELSE 0 END AS deleted, CASE WHEN ok THEN b ELSE 0 END::BIGINT AS bytes_freed FROM (SELECT g, bool_or(path LIKE 'stereo/depth\\_maps/%.geometric.bin' ESCAPE '\\') AND bool_or(starts_with(path,'sparse/')) AND bool_or(path='fused.ply') AS ok, count(DISTINCT CASE WHEN starts_with(path,'stereo/normal_maps/') THEN 'n' WHEN starts_with(path,'stereo/consistency_graphs/') THEN 'c' WHEN starts_with(path,'images/') THEN 'i' ELSE path END) FILTER (goes) AS n, coalesce(sum(size) FILTER (goes),0) AS b FROM (SELECT *, starts_with(path,'stereo/normal_maps/') OR starts_with(path,'stereo/consistency_graphs/') OR starts_with(path,'images/') OR (starts_with(path,'stereo/depth_maps/') AND path LIKE '%.photometric.bin') OR path='fused.ply.vis' AS goes FROM (SELECT l_orderkey AS g, l_suppkey::BIGINT AS size, {list(_DENSE)!r}[l_partkey%10+1] AS path FROM lineitem)) GROUP BY 1)")
 def cleanup_plan(spark, d):
     path = F.element_at(F.array(*map(F.lit, _DENSE)), (c("l_partkey") % 10 + 1).cast("int"))
     t = table(spark, d, "lineitem").select(c("l_orderkey").alias("g"), c("l_suppkey").cast("long").alias("bytes"), path.alias("path"))
