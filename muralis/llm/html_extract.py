@@ -3,8 +3,8 @@
 The tokens of a page are its elements, each named by its path, and its blocks of text, each named by path and hash. Across the pages of a host, tokens with the same occurrence
 vector, how often each page holds them, form an equivalence class: they come from the same part of the host's template.
 Valid classes nest; what lies between their tokens are the template's slots. The article's slot is the path of the template
-under which most of the host's running text stands: text that is neither the template's own nor a link. Names such as
-``article`` only decide how far out it reaches. A page's main text is what remains in that slot. Elements that mean something
+under which most of the host's running text stands, within the template's article elements where it has any: running text is neither the
+template's own nor a link. A page's main text is what remains in that slot. Elements that mean something
 else (nav, aside, form ...) and containers whose class names say nothing but that (sidebar, cookie-notice ...) are no part
 of any slot.
 
@@ -28,9 +28,8 @@ from muralis.storage import materialise
 
 #: Share of a host's pages that a token must be on to belong to the template.
 SUPPORT = 0.01
-#: Share of a host's running text that the article's slot must hold, and pages from which a host's template decides on it.
+#: Share of a host's running text that the article's slot must hold where no article element names it.
 HOLDS = 0.6
-LEAST_PAGES = 3
 #: The same for a block of text, and the pages that it must be on at least: on fewer, chance and copies of a page repeat text.
 TEXT_SUPPORT = 0.5
 TEXT_PAGES = 3
@@ -44,8 +43,8 @@ ENDS_PARAGRAPH = frozenset("address article aside blockquote div dl fieldset foo
 ENDS_ITSELF = frozenset("li dt dd tr td th option".split())
 DROPPED = frozenset("head nav footer header aside form script style noscript template iframe object svg math button select textarea dialog menu canvas audio video".split())
 # Words of class, id and role names that mark what is not the article, and words that say nothing.
-DROPPED_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget cookie cookies consent notice notices alert banner comment comments reply replies respond disqus share sharing social newsletter subscribe popup modal related recommended pagination search complementary contentinfo".split())
-PLAIN_WORDS = frozenset("area articles bar block body bottom box container content header inner items left link links list outer panel posts right row section slot text title top unit wrap wrapper".split())
+DROPPED_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion reactions commentlist nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget cookie cookies consent notice notices alert banner comment comments reply replies respond disqus share sharing social newsletter subscribe popup modal related recommended pagination search complementary contentinfo".split())
+PLAIN_WORDS = frozenset("wp post thread reader user google area articles bar block body bottom box container content header inner items left link links list outer panel posts right row section slot text title top unit wrap wrapper".split())
 ARTICLE_WORDS = frozenset("article entry main post story".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S | re.I)
@@ -195,9 +194,9 @@ def deduce(tokens: list[tuple[str, int, int, int, int, bool, bool]], pages: int)
     """The template from (path, vector, total, pages, chars, dropped, article) of a host's tokens.
 
     Classes are the tokens of one vector. A class is valid if its tokens lie under a token of a valid class or of their own; the
-    root class is on every page once. The article's slot is the innermost path of valid classes that holds most of the running
-    text. If article elements hold as much, the outermost one around or within it is the slot; else it reaches out
-    to the elements that add running text and few links.
+    root class is on every page once. The slot is the template's outermost article elements: those that come once a page where there are
+    such, and of several the ones that hold much of the running text. Without any it is the innermost path of valid classes that holds
+    most of the running text, and reaches out to the elements that add running text and few links.
     """
     classes: dict[tuple[int, int, int], list[tuple]] = defaultdict(list)
     for row in tokens:
@@ -219,14 +218,16 @@ def deduce(tokens: list[tuple[str, int, int, int, int, bool, bool]], pages: int)
             (links if linked else running)[p] += r[4]
     top = max(running.values(), default=0)
     holders = [p for p, n in running.items() if n >= HOLDS * top > 0 and p.rpartition(">")[2].partition(".")[0] not in INLINE | {"p", "html", "body"}]
-    if not holders or pages < LEAST_PAGES:
+    articles = {r[0]: r for r in rows if r[6] and running[r[0]]}
+    outermost = [p for p in articles if not any(q in articles for q in _above(p))]
+    # A page has one article: elements that come once a page go before those that repeat, such as teasers and readers' remarks.
+    once = [p for p in outermost if articles[p][2] <= articles[p][3]] or outermost
+    if once:
+        most = max(running[p] for p in once)
+        return {"main": sorted(p for p in once if running[p] >= (1 - HOLDS) * most), "texts": texts, "classes": valid}
+    if not holders:
         return {"main": [], "texts": texts, "classes": valid}
     slot = max(holders, key=lambda p: (p.count(">"), p))
-    articles = {r[0] for r in rows if r[6]}
-    named_slots = [p for p in articles if not any(q in articles for q in _above(p))]
-    near = [p for p in named_slots if p == slot or slot.startswith(p + ">") or p.startswith(slot + ">")]
-    if sum(running[p] for p in near) >= HOLDS * top:
-        return {"main": sorted(near), "texts": texts, "classes": valid}
     while (outer := slot.rpartition(">")[0]) in running and outer.rpartition(">")[2].partition(".")[0] not in ("html", "body"):
         if links[outer] - links[slot] > 0.3 * (running[outer] - running[slot] + links[outer] - links[slot]):
             break

@@ -241,6 +241,9 @@ def top_inner_products(vectors: DataFrame, *, k: int = 20, every: int = 20, scal
     def with_floor(batches):
         for batch in batches:
             for q, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if d is None:  # no row was drawn: no bound yet
+                    yield pa.RecordBatch.from_arrays([pa.array([q], pa.binary())], ["queries"])
+                    continue
                 queries, data = pickle.loads(q), pickle.loads(d)  # noqa: S301 - made by this job
                 width = max(queries.rows.shape[1], data.rows.shape[1])
                 for t in (queries, data):
@@ -248,12 +251,12 @@ def top_inner_products(vectors: DataFrame, *, k: int = 20, every: int = 20, scal
                 queries.floor = dual_search(queries, data, k).score[:, -1]
                 yield pa.RecordBatch.from_arrays([pa.array([queries.packed()], pa.binary())], ["queries"])
 
-    # Some rows, by a hash of their ids: their k-th scores are lower bounds of the k-th scores over all rows.
-    some = clean.filter(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 30)) <= int(min(1.0, FIRST_ROWS / max(1, sizes.n)) * (1 << 30)))
+    # Some rows, by a hash: their k-th scores are lower bounds of the k-th scores over all rows.
+    some = clean.filter(F.pmod(F.xxhash64("vec_id", "v", F.lit(5)), F.lit(1 << 30)) <= int(min(1.0, FIRST_ROWS / max(1, sizes.n)) * (1 << 30)))
     first = blocks(some, 1).select(F.col("tree").alias("data"), F.lit(0).alias("one"))
     asked_trees = blocks(asked, query_blocks, query_tree).select(F.col("tree").alias("queries"), F.lit(0).alias("one"))
-    # The broadcast is one tree of about FIRST_ROWS rows; a table of several blocks has rows for it.
-    bounded = asked_trees.join(F.broadcast(first), "one").select("queries", "data").mapInArrow(with_floor, "queries binary") if data_blocks > 1 else asked_trees.select("queries")
+    # The broadcast is one tree of about FIRST_ROWS rows, or none where no row is drawn.
+    bounded = asked_trees.join(F.broadcast(first), "one", "left").select("queries", "data").mapInArrow(with_floor, "queries binary") if data_blocks > 1 else asked_trees.select("queries")
     asked_blocks = bounded.select("queries", F.explode(F.sequence(F.lit(0), F.lit(data_blocks - 1))).alias("block"))
     pairs = asked_blocks.join(blocks(clean, data_blocks).withColumnRenamed("tree", "data"), "block").select("queries", "data")
     found = pairs.mapInArrow(search, "query_id long, vec_id long, score long")

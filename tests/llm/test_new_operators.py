@@ -11,8 +11,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from muralis.llm import html_extract, nearest, vector_codes, vectors, whitening
 from muralis.llm import suffix_tree_lm as lm
-from muralis.llm import vector_codes, vectors, whitening
 
 VECTORS = "vec_id long, embedding array<float>, label int, x int, size string, n int, code string"
 
@@ -238,3 +238,29 @@ def test_lm_of_nothing(spark):
     ids = [k for k in range(60) if zlib.crc32(str(k).encode()) % 7 == 2]
     rows = lm.lm_scores(spark.createDataFrame([(k, "a b") for k in ids], "doc_id long, text string")).collect()
     assert [(r.train_tokens, r.n_known, r.base_score, r.score) for r in rows] == [(0, 0, 0.0, 0.0)] * len(ids)
+
+
+@pytest.mark.parametrize("lonely", [21, 22])
+def test_top_k_where_most_rows_share_an_id(spark, monkeypatch, lonely):
+    """Several blocks, of which all rows but two queries have one id: every query finds candidates, drawn sample or not."""
+    monkeypatch.setattr(nearest, "DATA_ROWS", 200)
+    monkeypatch.setattr(nearest, "FIRST_ROWS", 1)
+    rows = [(lonely, [float(k % 13), float(k % 7)]) for k in range(900)] + [(20, [1.0, 2.0]), (40, [2.0, -1.0])]
+    found = nearest.top_inner_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    for q, v in ((20, (64, 128)), (40, (128, -64))):
+        scores = sorted((sum(a * 64 * b for a, b in zip(x, v)) for i, x in rows if i != q), reverse=True)[:20]
+        assert [r.score for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q] == [int(s) for s in scores]
+
+
+@pytest.mark.parametrize("pages", [1, 2, 3, 12])
+@pytest.mark.parametrize("name", ["wp-block-comments", "reactions-thread", "post-comments"])
+def test_html_article_before_longer_comments(spark, pages, name):
+    """Comments that are longer than the story, outside of the article element and in it, on hosts of any number of pages."""
+    rows, expected = [], {}
+    for k in range(pages):
+        story, talk = " ".join(f"w{i}x{k}" for i in range(80)), " ".join(f"c{i}y{k}" for i in range(120))
+        rows.append((k, f"http://a.example/{k}", f'<body><nav><a>Home {k}</a></nav><article><p>{story}</p></article><div class="{name}"><p>{talk}</p></div></body>'))
+        rows.append((100 + k, f"http://b.example/{k}", f'<body><nav><a>Home {k}</a></nav><article><p>{story}</p><div class="{name}"><p>{talk}</p></div></article></body>'))
+        expected |= {k: story, 100 + k: story}
+    found = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in found} == expected
