@@ -189,10 +189,16 @@ class CoTraining:
         return CoTrained(text, meta, Logistic().fit(np.column_stack([text.score(x), meta.score(z)]), y, 0.1))
 
 
-def _share(df: DataFrame, rows: int, seed: int) -> DataFrame:
-    """About ``rows`` of ``df``, by a hash of doc_id: the same rows in every run."""
+def _share(df: DataFrame, rows: int, seed: int, *by: str) -> DataFrame:
+    """About ``rows`` of ``df``, by a hash of doc_id (or the columns ``by``): the same rows in every run."""
     total = df.count()
-    return df if total <= rows else df.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < int(rows / total * (1 << 30)))
+    return df if total <= rows else df.filter(F.pmod(F.xxhash64(*(by or ("doc_id",)), F.lit(seed)), F.lit(1 << 30)) < int(rows / total * (1 << 30)))
+
+
+def _labelled(docs: DataFrame, marks: DataFrame, rows: int) -> DataFrame:
+    """The different texts that carry a marked id, with its labels: about twice ``rows`` at most, however many rows share an id."""
+    known = docs.select("doc_id", "text", "lang", "source", "n_chars").filter("text is not null").join(F.broadcast(marks), "doc_id")  # bounded by ``rows``
+    return _share(materialise(known.distinct(), "labelled"), 2 * rows, 2, "doc_id", "text")
 
 
 def _with_size(docs: DataFrame, *columns: str) -> DataFrame:
@@ -328,9 +334,8 @@ def _fitted(docs: DataFrame, labels: DataFrame, labelled_rows: int, rounds: int)
     The rows written hold the other columns of ``docs``, key (null: no text), blank, marked (true: fitted on) and FEATURES.
     Each round reads the features of the rows that are not marked.
     """
-    marks = _share(labels.select("doc_id", "quality", "toxic").filter("doc_id is not null and quality is not null and toxic is not null"), labelled_rows, 1)
-    known = docs.select("doc_id", "text", "lang", "source", "n_chars").filter("text is not null")
-    known = materialise(known.join(F.broadcast(marks), "doc_id"), "labelled")  # bounded by labelled_rows
+    marks = _share(labels.select("doc_id", "quality", "toxic").filter("doc_id is not null and quality is not null and toxic is not null").distinct(), labelled_rows, 1)
+    known = _labelled(docs, marks, labelled_rows)
     words = learned_words(known.select("text", "lang", F.col("toxic").alias("y")))
     rows = sorted(_featured(known, ["doc_id", "quality", "toxic"], words).collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.grams, r.shape, r.meta, r.quality, r.toxic))
     key = F.when(F.col("text").isNotNull(), F.xxhash64("text", "lang", "source", "n_chars"))

@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from muralis.llm import html_extract, nearest, vector_codes, vectors, whitening
+from muralis.llm import html_extract, nearest, quality, vector_codes, vectors, whitening
 from muralis.llm import suffix_tree_lm as lm
 
 VECTORS = "vec_id long, embedding array<float>, label int, x int, size string, n int, code string"
@@ -264,3 +264,12 @@ def test_html_article_before_longer_comments(spark, pages, name):
         expected |= {k: story, 100 + k: story}
     found = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in found} == expected
+
+
+def test_labelled_rows_are_bounded(spark):
+    """Two labels, thousands of texts that share one of the ids, and rows that repeat."""
+    docs = spark.range(5000).selectExpr("1L AS doc_id", "concat('text ', id % 2500) AS text", "'en' AS lang", "'s' AS source", "5L AS n_chars")
+    docs = docs.unionByName(spark.range(3).selectExpr("2L AS doc_id", "'two' AS text", "'en' AS lang", "'s' AS source", "3L AS n_chars"))
+    marks = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    assert quality._labelled(docs, marks, 5000).count() == 2501
+    assert 0 < quality._labelled(docs, marks, 100).count() < 300
