@@ -12,18 +12,19 @@ from muralis.functions import geo
 
 
 def footprint_edges(vertices: DataFrame) -> DataFrame:
-    """Edges of closed rings (ring, ord, x, y; counter-clockwise): ends, length, and the bearing of the outward normal."""
-    w = Window.partitionBy("ring").orderBy("ord")
-    first = Window.partitionBy("ring").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    """Edges of closed rings (building, ring, ord, x, y; counter-clockwise): ends, length, and the bearing of the outward normal."""
+    w = Window.partitionBy("building", "ring").orderBy("ord")
+    first = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     nxt = {k: F.coalesce(F.lead(k).over(w), F.first(k).over(first)) for k in ("x", "y")}
-    edges = vertices.select("ring", "ord", F.col("x").alias("x0"), F.col("y").alias("y0"), nxt["x"].alias("x1"), nxt["y"].alias("y1"))
+    edges = vertices.select("building", "ring", "ord", F.col("x").alias("x0"), F.col("y").alias("y0"), nxt["x"].alias("x1"), nxt["y"].alias("y1"))
     length = F.sqrt(F.pow(F.col("x1") - F.col("x0"), 2.0) + F.pow(F.col("y1") - F.col("y0"), 2.0))
     return edges.withColumn("length", length).filter("length > 0").withColumn("normal", geo.bearing_of(F.col("y1") - F.col("y0"), F.col("x0") - F.col("x1")))
 
 
 def merged_segments(edges: DataFrame, *, min_length: float = 3.0, cfg: Config = DEFAULT) -> DataFrame:
     """Walls: runs of edges whose normals stay within a few degrees of the run's first one. Runs never close over the ring's
-    start. facade_id numbers the walls that are long enough, in ring order."""
+    start. facade_id numbers the walls of a building that are long enough, in ring order."""
+    columns = ["building", "ring", "ord", "x0", "y0", "x1", "y1", "normal"]
 
     def merge(ring: pd.DataFrame) -> pd.DataFrame:
         out: list[dict] = []
@@ -33,15 +34,15 @@ def merged_segments(edges: DataFrame, *, min_length: float = 3.0, cfg: Config =
                 if min(d, 360 - d) < cfg.merge_normal_deg:
                     out[-1] |= {"x1": e["x1"], "y1": e["y1"]}
                     continue
-            out.append({k: e[k] for k in ("ring", "ord", "x0", "y0", "x1", "y1", "normal")})
-        return pd.DataFrame(out, columns=["ring", "ord", "x0", "y0", "x1", "y1", "normal"])
+            out.append({k: e[k] for k in columns})
+        return pd.DataFrame(out, columns=columns)
 
     kind = dict(edges.dtypes)
-    runs = edges.select("ring", "ord", "x0", "y0", "x1", "y1", "normal").groupBy("ring").applyInPandas(merge, f"ring {kind['ring']}, ord {kind['ord']}, x0 double, y0 double, x1 double, y1 double, normal double")
+    # A ring is one building's outline: tens of edges.
+    runs = edges.select(*columns).groupBy("building", "ring").applyInPandas(merge, ", ".join(f"{k} {kind[k]}" for k in columns))
     length = F.sqrt(F.pow(F.col("x1") - F.col("x0"), 2.0) + F.pow(F.col("y1") - F.col("y0"), 2.0))
     walls = runs.withColumn("length", length).filter(F.col("length") >= min_length)
-    # One building's walls: a handful of rows.
-    return walls.withColumn("facade_id", F.format_string("F%03d", F.row_number().over(Window.orderBy("ring", "ord"))))
+    return walls.withColumn("facade_id", F.format_string("F%03d", F.row_number().over(Window.partitionBy("building").orderBy("ring", "ord"))))
 
 
 def assign_facades(photos: DataFrame, segments: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

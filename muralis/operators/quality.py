@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from muralis.config import DEFAULT, Config
+from muralis.operators.quantiles import densest_ranges, group_quantiles
 
 
 def geometry_status(failed: Column, matches: Column, inliers: Column, ratio: Column, error: Column, cfg: Config = DEFAULT) -> Column:
@@ -39,28 +40,29 @@ def fallback_reasons(mean_drift: Column, max_drift: Column, coverage: Column, cf
 
 def robust_range(df: DataFrame, group: str, value: str, k: float = 3.0) -> DataFrame:
     """Least and greatest value within k interquartile ranges of the quartiles; of all values if none is."""
-    q = df.groupBy(group).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.min(value).alias("raw_lo"), F.max(value).alias("raw_hi"))
-    q = q.withColumn("spread", F.col("q")[1] - F.col("q")[0])
-    inlier = F.col(value).between(F.col("q")[0] - k * F.col("spread"), F.col("q")[1] + k * F.col("spread"))
-    out = df.select(group, value).join(q, group).groupBy(group).agg(F.min(F.when(inlier, F.col(value))).alias("lo"), F.max(F.when(inlier, F.col(value))).alias("hi"), F.first("raw_lo").alias("raw_lo"), F.first("raw_hi").alias("raw_hi"), F.count("*").alias("n"), F.count_if(inlier).alias("n_in"))
+    q = group_quantiles(df, [group], value, [0.25, 0.75]).drop("n").withColumn("spread", F.col("q")[1] - F.col("q")[0])
+    inlier = (F.col("spread") <= 1e-9) | F.col(value).between(F.col("q")[0] - k * F.col("spread"), F.col("q")[1] + k * F.col("spread"))
+    out = df.select(group, value).join(q, group, "left").groupBy(group).agg(F.min(F.when(inlier, F.col(value))).alias("lo"), F.max(F.when(inlier, F.col(value))).alias("hi"), F.min(value).alias("raw_lo"), F.max(value).alias("raw_hi"), F.count("*").alias("n"), F.count_if(inlier).alias("n_in"))
     return out.select(group, F.coalesce("lo", "raw_lo").alias("lo"), F.coalesce("hi", "raw_hi").alias("hi"), "n", "n_in")
 
 
 def largest_gap(df: DataFrame, group: str, key: str, count: str, ratio: float = 2.5) -> DataFrame:
-    """Members below the largest relative gap of their group's sorted counts, sought in the lower half only."""
+    """Members below the largest relative gap of their group's sorted counts, sought in the lower half only; and those of count 0, gap or
+    not (gap_ratio is null then), if they are no more than half. Groups of fewer than four have none."""
     w = Window.partitionBy(group).orderBy(count, key)
-    size = F.count("*").over(Window.partitionBy(group))
-    ranked = df.select(group, key, count).select("*", F.row_number().over(w).alias("gap_i"), size.alias("gap_size"), F.lead(count).over(w).alias("gap_next"))
+    whole = Window.partitionBy(group)
+    ranked = df.select(group, key, count).select("*", F.row_number().over(w).alias("gap_i"), F.count("*").over(whole).alias("gap_size"), F.lead(count).over(w).alias("gap_next"), F.count_if(F.col(count) == 0).over(whole).alias("gap_zeros"))
+    ranked = ranked.filter("gap_size >= 4")
     gaps = ranked.filter((F.col("gap_i") <= F.floor(F.col("gap_size") / 2)) & F.col("gap_next").isNotNull()).withColumn("r", (F.col("gap_next") + 1.0) / (F.col(count) + 1.0))
     cut = gaps.groupBy(group).agg(F.max(F.struct("r", (-F.col("gap_i")).alias("neg"))).alias("m")).filter(F.col("m.r") >= ratio).select(group, (-F.col("m.neg")).alias("cut"), F.col("m.r").alias("gap_ratio"))
-    return ranked.join(cut, group).filter(F.col("gap_i") <= F.col("cut")).select(group, key, count, "gap_ratio")
+    empty = (F.col(count) == 0) & (F.col("gap_zeros") <= F.floor(F.col("gap_size") / 2))
+    below = F.coalesce(F.col("gap_i") <= F.col("cut"), F.lit(False))
+    return ranked.join(cut, group, "left").filter(below | empty).select(group, key, count, F.when(below, F.col("gap_ratio")).alias("gap_ratio"))
 
 
 def densest_slab(df: DataFrame, group: str, value: str, width: float) -> DataFrame:
     """Per group the start of the range of ``width`` with most values, the first of equals, and their number."""
-    n = F.count("*").over(Window.partitionBy(group).orderBy(value).rangeBetween(0, width))
-    best = df.select(group, value).withColumn("n", n).groupBy(group).agg(F.max(F.struct("n", (-F.col(value)).alias("neg"))).alias("m"))
-    return best.select(group, (-F.col("m.neg")).alias("start"), F.col("m.n").alias("n"))
+    return densest_ranges(df, [group], value, width)
 
 
 def capture_facts(df: DataFrame, group: str, value: str) -> DataFrame:
