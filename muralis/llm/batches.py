@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 
@@ -15,3 +17,20 @@ def pieces(batches: Iterable[pa.RecordBatch], rows: int = PIECE) -> Iterator[pa.
     for batch in batches:
         for at in range(0, max(1, batch.num_rows), rows):
             yield batch.slice(at, rows)
+
+
+def tidy(read: Callable) -> Callable:
+    """``read``, a function of batches, that gives memory back to the system when its task ends.
+
+    Spark keeps workers for later tasks, and what freed Arrow buffers and strings leave in each of them adds up on an executor.
+    """
+
+    @functools.wraps(read)
+    def tidied(batches):
+        yield from read(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return tidied

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from muralis.llm.batches import pieces
+from muralis.llm.batches import pieces, tidy
 from muralis.storage import materialise
 
 #: Labelled rows that the models are fitted on, about.
@@ -230,6 +230,7 @@ def _features(batch: pa.RecordBatch, codes: WordCodes) -> list[pa.Array]:
 def _featured(docs: DataFrame, names: list[str], lexicon: frozenset[str]) -> DataFrame:
     """The columns ``names`` of ``docs``, whether its text is blank, and the features of its text, lang, source and n_chars."""
 
+    @tidy
     def featured(batches):
         codes = WordCodes(lexicon)
         for batch in pieces(batches):
@@ -249,6 +250,7 @@ def surest(pool: DataFrame, models: dict[str, list[Logistic]], taken: dict[str,
     """
     slots = [(target, view, label) for target in models for view in (0, 1) for label in (0, 1)]
 
+    @tidy
     def best(batches):
         kept = {slot: {} for slot in slots}
         for batch in pieces(batches, _SCORED):
@@ -288,6 +290,7 @@ def learned_words(rows: DataFrame) -> frozenset[str]:
     left out. The rows are bounded, and so are their words.
     """
 
+    @tidy
     def distinct_words(batches):
         for batch in pieces(batches):
             words = [set(_WORD.findall((t or "").lower())) for t in batch.column(0).to_pylist()]
@@ -396,6 +399,7 @@ def _scored(featured: DataFrame, model: QualityModel, names: list[str]) -> DataF
     shared = featured.sparkSession.sparkContext.broadcast(model)  # a few kilobytes
     carried = [f"c{k}" for k in range(len(names))]
 
+    @tidy
     def score(batches):
         for batch in pieces(batches, _SCORED):
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *_judged(shared.value, batch)], [*carried, "quality", "toxicity", "keep"])

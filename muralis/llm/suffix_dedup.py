@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from muralis.llm.batches import pieces
+from muralis.llm.batches import pieces, tidy
 from muralis.llm.suffix_sort import suffix_arrays
 from muralis.storage import materialise
 
@@ -205,8 +205,9 @@ def repeated_spans(docs: DataFrame, texts: DataFrame) -> DataFrame:
     starts of repeated windows. Equal texts have one key and th, so copies give one row, and however many they are, the
     places of one text."""
 
+    @tidy
     def anchors(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             raws = [(t or "").encode() for t in batch.column(2).to_pylist()]
             of, h, first, count = runs_of(raws)
             take = pa.array(of)
@@ -227,17 +228,23 @@ def repeated_spans(docs: DataFrame, texts: DataFrame) -> DataFrame:
         rows = np.repeat(np.arange(len(hits)), hits.value_lengths().to_numpy())
         return rows, {fields.type.field(k).name: fields.field(k).to_numpy(zero_copy_only=False) for k in range(fields.type.num_fields)}
 
-    def context_of(raws: list[bytes], rows: np.ndarray, runs: np.ndarray) -> list[bytes]:
+    def context_of(texts: pa.StringArray, rows: np.ndarray, runs: np.ndarray) -> list[bytes]:
+        raws = [t.encode() for t in texts.to_pylist()]
         firsts, ends = (runs >> 8).tolist(), ((runs >> 8) + (runs & 255) + WINDOW - 1).tolist()
         return [raws[k][a:b] for k, a, b in zip(rows.tolist(), firsts, ends, strict=True)]
 
+    def names_of(batch: pa.RecordBatch) -> np.ndarray:
+        """The names of a batch's contexts; only a piece's contexts are held at a time."""
+        return np.concatenate([np.array([_context_name(x) for x in context_of(piece.column(2), rows, hits["run"])], np.int64) for piece in pieces([batch]) for rows, hits in [unfolded(piece.column(3))]])
+
     def occurrences(combined: bool):
         """Rows by anchor and context; if ``combined``, one for each anchor and context of a batch, with their number."""
 
+        @tidy
         def read(batches):
             for batch in batches:
                 rows, hits = unfolded(batch.column(3))
-                names = np.array([_context_name(x) for x in context_of([t.encode() for t in batch.column(2).to_pylist()], rows, hits["run"])], np.int64)
+                names = names_of(batch)
                 n = batch.column(4).to_numpy()[rows]
                 if combined and len(names):
                     key = np.rec.fromarrays([hits["anchor"], names])
@@ -252,12 +259,14 @@ def repeated_spans(docs: DataFrame, texts: DataFrame) -> DataFrame:
 
         return read
 
+    @tidy
     def contexts(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             rows, hits = unfolded(batch.column(1))
-            found = context_of([t.encode() for t in batch.column(0).to_pylist()], rows, hits["run"])
+            found = context_of(batch.column(0), rows, hits["run"])
             yield pa.RecordBatch.from_arrays([pa.array(hits["anchor"], pa.int64()), pa.array(hits["salt"], pa.int32()), pa.array(hits["parts"] > 1), pa.array(hits["n"], pa.int64()), pa.array(found, pa.binary())], ["anchor", "salt", "salted", "n", "context"])
 
+    @tidy
     def sort_lanes(batches):
         lanes: list[list[tuple]] = []
         size, last = 0, None
@@ -355,6 +364,7 @@ def repeated_byte_digest(docs: DataFrame) -> DataFrame:
     different texts, are only carried. An empty table gives no rows.
     """
 
+    @tidy
     def digest(batches):
         for batch in pieces(batches):
             rows = []
@@ -374,6 +384,7 @@ def remove_repeats(docs: DataFrame, *carried: str) -> DataFrame:
     Characters that a cut splits are dropped. Null text counts as empty.
     """
 
+    @tidy
     def cut(batches):
         for batch in pieces(batches):
             texts = [kept_bytes(t.encode(), removed_runs(s)).decode("utf-8", "ignore") for t, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
