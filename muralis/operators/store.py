@@ -42,11 +42,6 @@ def upserted(stored: DataFrame, incoming: DataFrame, keys: list[str], ord: str |
     return stored.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
 
 
-def replaced_children(children: DataFrame, incoming: DataFrame, parent: list[str]) -> DataFrame:
-    """All children of the parents that come anew are replaced."""
-    return children.join(incoming.select(*parent).distinct(), parent, "left_anti").unionByName(incoming)
-
-
 def coalesce_updated(stored: DataFrame, change: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Stored rows with the change's values where those are known."""
     new = change.select(key, *(F.col(c).alias(f"new_{c}") for c in columns))

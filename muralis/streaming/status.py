@@ -72,14 +72,20 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
     return parsed.select("r.*", F.when(F.col("r").isNull() | F.coalesce(F.col("r.timestamp").isNull() & F.col("r.message").isNull(), F.lit(True)), F.col("value")).alias("broken"))
 
 
-def unique_warnings(log: DataFrame) -> DataFrame:
-    """One row per facade, line and message, in a stream as in a batch."""
-    return log.dropDuplicates(["facade", "line", "message"])
-
-
-def assigned_once(jobs: DataFrame) -> DataFrame:
-    """One row per archive, for ever: an archive must not be assigned twice after a restart."""
-    return jobs.dropDuplicates(["archive_id"])
+def unique_warnings(log: DataFrame, within: str = "1 day") -> DataFrame:
+    """One row per facade, line and message; in a stream (with ``ts``) those that come at most ``within`` apart, so that its state ends."""
+    keys = ["facade", "line", "message"]
+    return log.withWatermark("ts", within).dropDuplicatesWithinWatermark(keys) if log.isStreaming else log.dropDuplicates(keys)
+
+
+def assigned_once(jobs: DataFrame, order: list[str]) -> DataFrame:
+    """The first assignment of each archive by ``order``; in a stream the first that comes, for ever: its checkpoint keeps the ids, so that
+    no archive is assigned again after a restart. Jobs without an archive are left out."""
+    jobs = jobs.filter("archive_id is not null")
+    if jobs.isStreaming:
+        return jobs.dropDuplicates(["archive_id"])
+    rest = [c for c in jobs.columns if c != "archive_id"]
+    return jobs.groupBy("archive_id").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("m")).select("archive_id", "m.*")
 
 
 def sessions(beats: DataFrame, gap: str = "15 seconds") -> DataFrame:

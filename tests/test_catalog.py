@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from muralis.plans import catalog, catalog_canvas, catalog_desk, catalog_graph, catalog_more, catalog_positions, catalog_shapes  # noqa: F401
+from muralis.plans import catalog, catalog_canvas, catalog_desk, catalog_graph, catalog_live, catalog_more, catalog_positions, catalog_shapes  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
