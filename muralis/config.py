@@ -37,6 +37,7 @@ class Config:
     truth_iou: float = 0.2
     gap_px: float = 60.0
     gap_angle_deg: float = 25.0
+    tangent_px: float = 25.0
     min_area_px: float = 15.0
     min_on_wall: float = 0.5
     max_mm_per_px: float = 0.15

@@ -197,18 +197,3 @@ def reviewed(cracks: DataFrame, rejected: DataFrame, added: DataFrame, key: str)
     """The cracks without the rejected ones, and the manual ones that are not among them."""
     kept = cracks.join(rejected.select(key).distinct(), key, "left_anti")
     return kept.unionByName(added.join(kept.select(key), key, "left_anti"), allowMissingColumns=True)
-
-
-def endpoint_continuations(ends: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """a, b, gap: crack fragments (id, end, x, y, tx, ty: an endpoint and its outward unit tangent) whose nearest ends are close and
-    point at each other."""
-    from muralis.operators.spatial import radius_pairs
-
-    keyed = ends.withColumn("key", F.concat_ws(":", "id", "end"))
-    pairs = radius_pairs(keyed, key="key", axes=["x", "y"], radius=cfg.gap_px).filter("a_id <> b_id and distance > 1e-6")
-    c = F.col
-    ux, uy = (c("b_x") - c("a_x")) / c("distance"), (c("b_y") - c("a_y")) / c("distance")
-    limit = F.cos(F.radians(F.lit(cfg.gap_angle_deg)))
-    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("distance", "a_key", "b_key"))
-    near = pairs.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "distance", "a_key", "b_key", (ux * c("a_tx") + uy * c("a_ty") >= limit).alias("ahead"), (-(ux * c("b_tx") + uy * c("b_ty")) >= limit).alias("back"))
-    return near.withColumn("rank", rank).filter("rank = 1 and ahead and back").select("a", "b", F.col("distance").alias("gap"))
