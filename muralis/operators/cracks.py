@@ -37,7 +37,8 @@ def scored_pairs(rows: DataFrame, within: list[str] | None = None) -> DataFrame:
     must overlap too, else of their boxes."""
     pairs = box_pairs(rows, cell=CELL, within=within)
     if "polygon" not in rows.columns:
-        return pairs.withColumn("iou", F.col("inter") / F.col("both"))
+        # Spark may divide before it sees that two boxes are apart; the product of two gaps can make ``both`` 0 then.
+        return pairs.withColumn("iou", F.try_divide("inter", "both"))
     return pairs.withColumn("iou", polygons.poly_iou(F.col("a_polygon"), F.col("b_polygon"))).filter(F.col("iou") > SLIVER)
 
 

@@ -29,6 +29,15 @@ def test_evaluation_golden(spark):
     assert by["unlabeled"].fp == 2 and by["unlabeled"].recall is None
 
 
+def test_boxes_apart_whose_gaps_multiply_to_their_areas(spark):
+    """The product of the two negative overlaps is the sum of the areas: nothing to divide by, and no pair."""
+    schema = "id long, image_id long, x0 double, y0 double, w double, h double, conf double"
+    boxes = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 10.0, 0.5), (2, 2, 20.0, 30.0, 10.0, 10.0, 0.6), (3, 1, 1.0, 0.0, 10.0, 10.0, 0.4)], schema)
+    assert [(r.a, r.b) for r in cracks.overlapping(boxes, 0.2).collect()] == [(1, 3)]
+    assert sorted((r.crack_id, r.n) for r in cracks.merged(boxes).collect()) == [(1, 2), (2, 1)]
+    assert cracks.duplicates_across_images(boxes).collect() == []
+
+
 def test_severity_golden(spark):
     t = spark.createDataFrame([(None, 0.1), (0.5, None), (0.5, 2.6), (0.3, 0.1), (0.29, 0.1)], "w double, r double")
     s, n = cracks.graded(F.col("w"), F.col("r"))
