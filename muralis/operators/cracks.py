@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,9 +14,10 @@ from muralis.graph import connected_components
 from muralis.functions import polygons
 from muralis.functions.rings import union_by
 from muralis.operators.spatial import box_pairs
+from muralis.storage import materialise
 
-#: Cell of the box grid: about the size of a large box, so that most boxes touch few cells.
-CELL = 64.0
+#: Cell of the box grid: about the size of a large box, so that most boxes touch few cells and few boxes that are apart share one.
+CELL = 32.0
 
 #: An overlap of polygons below this share is what rounding makes of touching.
 SLIVER = 1e-6
@@ -32,23 +35,25 @@ def with_bounds(shapes: DataFrame) -> DataFrame:
     return lo.withColumn("w", F.col("bounds")[2] - F.col("x0")).withColumn("h", F.col("bounds")[3] - F.col("y0")).drop("bounds")
 
 
-def scored_pairs(rows: DataFrame, within: list[str] | None = None) -> DataFrame:
+def scored_pairs(rows: DataFrame, within: list[str] | None = None, settle: Callable[[Column], Column] | None = None) -> DataFrame:
     """``box_pairs`` of rows with their intersection over union as ``iou``: of their polygons where they have any (``with_bounds``), which
-    must overlap too, else of their boxes."""
+    must overlap too, else of their boxes. ``settle`` may replace that of polygons where it is too near a limit to tell, by a_<name> and
+    b_<name> of both rows; slivers are left to it."""
     pairs = box_pairs(rows, cell=CELL, within=within)
     if "polygon" not in rows.columns:
         # Spark may divide before it sees that two boxes are apart; the product of two gaps can make ``both`` 0 then.
         return pairs.withColumn("iou", F.try_divide("inter", "both"))
-    return pairs.withColumn("iou", polygons.poly_iou(F.col("a_polygon"), F.col("b_polygon"))).filter(F.col("iou") > SLIVER)
+    scored = pairs.withColumn("iou", polygons.poly_iou(F.col("a_polygon"), F.col("b_polygon")))
+    return scored.withColumn("iou", settle(F.col("iou"))).filter("iou > 0") if settle else scored.filter(F.col("iou") > SLIVER)
 
 
 def _sided(rows: DataFrame, *columns: str | Column) -> DataFrame:
     return rows.select(*columns, "x0", "y0", "w", "h", *(["polygon"] if "polygon" in rows.columns else []))
 
 
-def overlapping(boxes: DataFrame, iou: float, within: list[str] | None = None) -> DataFrame:
+def overlapping(boxes: DataFrame, iou: float, within: list[str] | None = None, settle: Callable[[Column], Column] | None = None) -> DataFrame:
     """a, b, iou for boxes, or polygons, that overlap by at least ``iou``."""
-    return scored_pairs(boxes, within).filter(F.col("iou") >= iou).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "iou")
+    return scored_pairs(boxes, within, settle).filter(F.col("iou") >= iou).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "iou")
 
 
 def merged(boxes: DataFrame, iou: float = DEFAULT.merge_iou) -> DataFrame:
@@ -58,19 +63,19 @@ def merged(boxes: DataFrame, iou: float = DEFAULT.merge_iou) -> DataFrame:
     return of.groupBy("crack_id").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max(F.col("x0") + F.col("w")).alias("x1"), F.max(F.col("y0") + F.col("h")).alias("y1"), F.max("conf").alias("conf"), F.count("*").alias("n"))
 
 
-def merged_polygons(shapes: DataFrame, iou: float = DEFAULT.merge_iou) -> DataFrame:
+def merged_polygons(shapes: DataFrame, iou: float = DEFAULT.merge_iou, settle: Callable[[Column], Column] | None = None) -> DataFrame:
     """Connected groups of overlapping polygons (id, polygon, conf, tile): crack_id (the smallest id), polygon and area of their union's
     largest part, greatest confidence, tiles (sorted, each once), number."""
-    placed = with_bounds(shapes)
-    groups = connected_components(overlapping(placed, iou).select("a", "b"))
+    placed = materialise(with_bounds(shapes), "placed")
+    groups = connected_components(overlapping(placed, iou, settle=settle).select("a", "b"))
     of = placed.join(groups, "id", "left").withColumn("crack_id", F.coalesce("component", "id"))
     rest = of.groupBy("crack_id").agg(F.max("conf").alias("conf"), F.array_sort(F.collect_set("tile")).alias("tiles"), F.count("*").alias("n"))
     return union_by(of, "crack_id").select("crack_id", "polygon", "area", "n_parts").join(rest, "crack_id")
 
 
-def duplicates_across_images(boxes: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def duplicates_across_images(boxes: DataFrame, cfg: Config = DEFAULT, settle: Callable[[Column], Column] | None = None) -> DataFrame:
     """a, b of different images that overlap enough, or at all with near centres."""
-    pairs = scored_pairs(boxes).filter("a_image_id <> b_image_id")
+    pairs = scored_pairs(boxes, settle=settle).filter("a_image_id <> b_image_id")
     c = F.col
     if "polygon" in boxes.columns:
         (ax, ay), (bx, by) = polygons.area_centroid(c("a_polygon")), polygons.area_centroid(c("b_polygon"))
@@ -88,10 +93,10 @@ def inflated_groups(boxes: DataFrame, margin: float) -> DataFrame:
     return of.groupBy("group_id").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max(F.col("x0") + F.col("w")).alias("x1"), F.max(F.col("y0") + F.col("h")).alias("y1"), F.count("*").alias("n"))
 
 
-def near_misses(candidates: DataFrame, confident: DataFrame, iou: float = DEFAULT.merge_iou) -> DataFrame:
+def near_misses(candidates: DataFrame, confident: DataFrame, iou: float = DEFAULT.merge_iou, settle: Callable[[Column], Column] | None = None) -> DataFrame:
     """Candidates that no confident box overlaps by ``iou`` or more."""
     both = candidates.withColumn("side", F.lit(0)).unionByName(confident.withColumn("side", F.lit(1)))
-    hits = scored_pairs(both).filter((F.col("a_side") != F.col("b_side")) & (F.col("iou") >= iou))
+    hits = scored_pairs(both, settle=settle).filter((F.col("a_side") != F.col("b_side")) & (F.col("iou") >= iou))
     hit_ids = hits.select(F.when(F.col("a_side") == 0, F.col("a_id")).otherwise(F.col("b_id")).alias("id")).distinct()
     return candidates.join(hit_ids, "id", "left_anti")
 
@@ -122,20 +127,28 @@ def crack_summary(cracks: DataFrame, group: str) -> DataFrame:
 
 def greedy_matches(pairs: DataFrame, group: str, least: float) -> DataFrame:
     """One-to-one matches of (group, left_ord, right_ord, score): each left row in order takes its best free right row of at least
-    ``least``, the first of equals. Pairs must be pruned before; a group's pairs are a building face's."""
+    ``least``, the first of equals.
+
+    A group's pairs stream past in that order, sorted by Spark: a task holds the right rows that are taken, never the pairs.
+    """
+    kinds = dict(pairs.dtypes)
 
-    def match(rows: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for left, own in rows[rows.score >= least].sort_values(["left_ord", "score", "right_ord"], ascending=[True, False, True]).groupby("left_ord", sort=True):
-            for right, score in zip(own.right_ord, own.score, strict=True):
-                if right not in taken:
+    def match(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, settled, taken = object(), object(), set()
+        for batch in batches:
+            kept = []
+            for k, (g, left, right) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                if g != of:
+                    of, settled, taken = g, object(), set()
+                if left != settled and right not in taken:
+                    settled = left
                     taken.add(right)
-                    out.append((rows[group].iloc[0], left, right, score))
-                    break
-        return pd.DataFrame(out, columns=[group, "left_ord", "right_ord", "score"])
+                    kept.append(k)
+            yield batch.take(pa.array(kept, pa.int64()))
 
-    kinds = dict(pairs.dtypes)
-    return pairs.select(group, "left_ord", "right_ord", "score").groupBy(group).applyInPandas(match, f"{group} {kinds[group]}, left_ord {kinds['left_ord']}, right_ord {kinds['right_ord']}, score double")
+    good = pairs.select(group, "left_ord", "right_ord", F.col("score").cast("double").alias("score")).filter(F.col("score") >= least)
+    dealt = good.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), group).sortWithinPartitions(group, "left_ord", F.desc("score"), "right_ord")
+    return dealt.mapInArrow(match, f"`{group}` {kinds[group]}, left_ord {kinds['left_ord']}, right_ord {kinds['right_ord']}, score double")
 
 
 def stable_ids(new: DataFrame, old: DataFrame, iou: float = DEFAULT.match_iou) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,61 @@ def test_turned_polygons_give_what_boxes_give(spark, ours, boxes):
     assert sorted(map(tuple, a.select(b.columns).collect())) == sorted(map(tuple, b.collect()))
 
 
+def test_convex_overlaps_equal_those_by_slabs():
+    """Triangles to octagons, either way round, apart, within and side by side; and a star, which is repaired, not taken as convex."""
+    from muralis.functions import polygons
+
+    rng, shapes = np.random.default_rng(1), []
+    for _ in range(400):
+        k = rng.integers(3, 9)
+        angle = 2 * np.pi * (np.arange(k) + rng.uniform(0, 0.7, k)) / k
+        shapes.append((np.c_[np.cos(angle), np.sin(angle)] * rng.uniform(2, 9) + rng.uniform(-9, 9, 2))[:: rng.choice((1, -1))])
+    shapes += [box(0, 0, 2, 2), box(2, 0, 2, 2), box(0, 0, 2, 2), box(0.5, 0.5, 1, 1)]
+    lists = pa.array([rings.plain(p) for p in shapes])
+    other = lists.take(pa.array(np.roll(np.arange(len(shapes)), 1)))
+    others = [shapes[-1], *shapes[:-1]]
+    got = polygons._iou(lists, other).to_pylist()
+    assert all(abs(g - polygons.iou(p, q)) < 1e-9 for g, p, q in zip(got, shapes, others, strict=True))
+    star = [{"x": float(np.cos(4 * np.pi * k / 5)), "y": float(np.sin(4 * np.pi * k / 5))} for k in range(5)]
+    back = polygons._clean(pa.array([None, star, rings.plain(box(0.1234567891, 0, 3, 2)[::-1]), [{"x": 0.0, "y": 0.0}], [{"x": float("nan"), "y": 0.0}] * 3]))
+    assert back[0].as_py() is None and len(back[1]) == 10 and back[3].as_py() is None and back[4].as_py() is None
+    assert sorted((p["x"], p["y"]) for p in back[2].as_py()) == sorted(map(tuple, box(0.1234567891, 0, 3, 2)))  # not snapped
+
+
+def test_polygons_at_a_limit_go_by_the_boxes(spark):
+    """Boxes that touch, but for the last bits of their sums: SQL counts what overlap those leave, polygons alone cannot tell."""
+    from muralis.operators import cracks
+    from muralis.plans import catalog_shapes as cs
+
+    rows = [(1, 1, 0.9, 0.1, 0.0, 0.2, 10.0), (2, 2, 0.8, 0.3, 0.0, 5.0, 10.0), (3, 3, 0.7, 40.0, 0.0, 10.0, 10.0), (4, 4, 0.6, 45.0, 0.0, 10.0, 10.0)]
+    b = spark.createDataFrame(rows, "id long, image_id long, conf double, x0 double, y0 double, w double, h double")
+    p = cracks.with_bounds(b.withColumn("polygon", cs._box()).withColumn("box", F.struct("x0", "y0", "w", "h")))
+    by_sql = lambda df, f: sorted((r.a, r.b) for r in f(df).collect())
+    assert 0.1 + 0.2 > 0.3
+    assert by_sql(p, lambda x: cracks.duplicates_across_images(x, settle=cs.by_boxes)) == by_sql(b, cracks.duplicates_across_images) == [(1, 2), (3, 4)]
+
+
+def test_greedy_matches_over_batches(spark):
+    """Left rows in order, each its best free right row; groups apart, and more rows than a batch holds."""
+    from muralis.operators import cracks
+
+    rng = np.random.default_rng(2)
+    rows = [(int(g), int(l), int(r), float(s)) for g, l, r, s in zip(rng.integers(0, 3, 3000), rng.integers(0, 90, 3000), rng.integers(0, 90, 3000), rng.integers(0, 9, 3000) / 10, strict=True)]
+    rows = [(g, l, r, s) for (g, l, r), s in {(g, l, r): s for g, l, r, s in rows}.items()]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        got = sorted(map(tuple, cracks.greedy_matches(spark.createDataFrame(rows, "g int, left_ord long, right_ord long, score double"), "g", 0.3).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    taken, done, expected = set(), set(), []
+    for g, l, r, s in sorted(rows, key=lambda x: (x[0], x[1], -x[3], x[2])):
+        if s >= 0.3 and (g, l) not in done and (g, r) not in taken:
+            done.add((g, l))
+            taken.add((g, r))
+            expected.append((g, l, r, s))
+    assert got == sorted(expected)
+
+
 def test_rasterised_polygons(spark):
     from muralis.functions import polygons
 
