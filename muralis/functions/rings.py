@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Ring = np.ndarray
 
@@ -143,6 +144,20 @@ def parts(rings: list[Ring]) -> list[list[Ring]]:
     return sorted(found, key=area, reverse=True)
 
 
+def turns(p: np.ndarray) -> np.ndarray:
+    """1 or -1 for each ring of a stack (k, n, 2) that is strictly convex, anticlockwise or clockwise; 0 for others, slight bends included."""
+    if p.shape[1] < 3:
+        return np.zeros(len(p), int)
+    along = np.roll(p, -1, axis=1) - p
+    after = np.roll(along, -1, axis=1)
+    cross = along[..., 0] * after[..., 1] - along[..., 1] * after[..., 0]
+    with np.errstate(invalid="ignore"):
+        bent = np.abs(cross) > 1e-6 * np.maximum(1.0, np.hypot(along[..., 0], along[..., 1]) * np.hypot(after[..., 0], after[..., 1]))
+        sign = np.where((cross > 0).all(axis=1), 1, np.where((cross < 0).all(axis=1), -1, 0))
+        once = np.abs(np.arctan2(cross, (along * after).sum(axis=-1)).sum(axis=1)) < 3 * np.pi  # a star goes round more often
+        return np.where(bent.all(axis=1) & once & np.isfinite(p).all(axis=(1, 2)), sign, 0)
+
+
 def union(shapes: Iterable[list[Ring]]) -> list[Ring]:
     """All that lies in any of the shapes."""
     return arranged([r for s in shapes for r in s], lambda w: w > 0)
@@ -153,6 +168,8 @@ def cleaned(points: np.ndarray | None) -> list[Ring] | None:
     or falls apart."""
     if points is None or len(points) < 3 or not np.isfinite(points).all():
         return None
+    if turn := turns(points[None])[0]:
+        return [points if turn > 0 else points[::-1]]
     sign = 1 if signed_area(points) >= 0 else -1
     rings = arranged([points], lambda w: w * sign > 0)
     found = parts(rings if sign > 0 else [r[::-1] if signed_area(r) < 0 and len(rings) == 1 else r for r in rings])
@@ -178,50 +195,72 @@ def plain(ring: Ring) -> list[dict]:
 RINGS = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
 
 
-def union_by(polygons: DataFrame, key: str, polygon: str = "polygon") -> DataFrame:
+def united(shapes: list[list[Ring]]) -> list[Ring]:
+    """The union of shapes, two halves of their plane at a time: neighbours first, so that what lies within goes early."""
+    if len(shapes) <= 8:
+        return union(shapes)
+    middle = np.array([np.concatenate(s).mean(axis=0) for s in shapes])
+    order = np.argsort(middle[:, int(np.ptp(middle, axis=0).argmax())], kind="stable")
+    half = len(order) // 2
+    return union([united([shapes[k] for k in part]) for part in (order[:half], order[half:])])
+
+
+def union_by(polygons: DataFrame, key: str, polygon: str = "polygon", *, cell: float = 256.0, steps: int = 3) -> DataFrame:
     """key, n_parts, polygon (the outer ring of the largest part), area (of that part), total_area of the union of each key's polygons.
 
-    Every task unites what it has of a key and hands on rings, so that a key with very many polygons reaches its last task as one
-    partial union per task. What is no polygon counts for nothing; a key without any gets null.
+    Polygons of a key that begin in the same square of ``cell`` are united first, a share of them per task, then those of squares four times
+    as wide, ``steps`` times, then all: a key with very many polygons reaches its last task as few partial unions, without what lies within.
+    What is no polygon counts for nothing; a key without any gets null.
     """
     kind = dict(polygons.dtypes)[key]
-    message = f"`{key}` {kind}, rings array<array<struct<x:double,y:double>>>"
+    fields = f"`{key}` {kind}, sx long, sy long, rings array<array<struct<x:double,y:double>>>"
+    message = pa.schema([("sx", pa.int64()), ("sy", pa.int64()), ("rings", RINGS)])
 
-    def emit(held: dict, of: pa.DataType) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), of), pa.array([[plain(r) for r in rings] for rings in held.values()], RINGS)], [key, "rings"])
+    def begun(rings: list[Ring]) -> tuple[int, int]:
+        low = np.min([r.min(axis=0) for r in rings], axis=0)
+        return int(low[0] // cell), int(low[1] // cell)
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
-        waiting: dict = defaultdict(list)
+        """The polygons of a task, repaired and united by key and square."""
+        held: dict = defaultdict(list)
         size, of = 0, pa.null()
 
-        def settle() -> None:
-            for k, shapes in waiting.items():
-                held[k] = union([held.get(k, []), *shapes])
-            waiting.clear()
+        def emit() -> pa.RecordBatch:
+            keys, shapes = [k for k, _, _ in held], [united([s for s in v if s]) for v in held.values()]
+            squares = [(x, y) for _, x, y in held]
+            return pa.RecordBatch.from_arrays([pa.array(keys, of), *(pa.array([s[k] for s in squares], pa.int64()) for k in (0, 1)), pa.array([[plain(r) for r in s] for s in shapes], RINGS)], [key, *message.names])
 
         for batch in batches:
             of = batch.column(0).type
             for k, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shape = cleaned(points_of(value)) or []
-                waiting[k].append(shape)
+                held[(k, *(begun(shape) if shape else (0, 0)))].append(shape)
                 size += sum(map(len, shape)) + 1
-                if len(waiting[k]) >= 64:
-                    held[k] = union([held.get(k, []), *waiting.pop(k)])
             if size > HELD:
-                settle()
-                yield emit(held, of)
-                held, size = {}, 0
-        settle()
+                yield emit()
+                held.clear()
+                size = 0
         if held:
-            yield emit(held, of)
+            yield emit()
+
+    def shapes_of(table: pa.Table) -> list[list[Ring]]:
+        return [[points_of(r) for r in rings] for rings in table.column("rings").to_pylist() if rings]
+
+    def join(table: pa.Table) -> pa.Table:
+        rings = united(shapes_of(table))
+        return pa.table([table.column(key).slice(0, 1), table.column("sx").slice(0, 1), table.column("sy").slice(0, 1), pa.array([[plain(r) for r in rings]], RINGS)], names=[key, *message.names])
 
     def finish(table: pa.Table) -> pa.Table:
-        shapes = [[points_of(r) for r in rings] for rings in table.column("rings").to_pylist()]
-        found = parts(union(shapes))
+        found = parts(united(shapes_of(table)))
         best = found[0] if found else None
         columns = [table.column(key).slice(0, 1), pa.array([len(found)], pa.int32()), pa.array([plain(best[0]) if best else None], RINGS.value_type), pa.array([area(best) if best else None], pa.float64()), pa.array([sum(map(area, found)) if found else None], pa.float64())]
         return pa.table(columns, names=[key, "n_parts", "polygon", "area", "total_area"])
 
-    partial = polygons.select(key, polygon).mapInArrow(gather, message)
+    # Dealt to as many tasks as the session shuffles to: the unions take long, however small their table is.
+    tasks = int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    low = lambda c: F.floor(F.array_min(F.transform(F.col(polygon), lambda p: p[c])) / cell)
+    partial = polygons.select(key, polygon).repartition(tasks, key, low("x"), low("y")).mapInArrow(gather, fields)
+    for _ in range(steps):
+        partial = partial.repartition(tasks, key, "sx", "sy").groupBy(key, "sx", "sy").applyInArrow(join, fields)
+        partial = partial.withColumn("sx", F.floor(F.col("sx") / 4)).withColumn("sy", F.floor(F.col("sy") / 4))
     return partial.groupBy(key).applyInArrow(finish, f"`{key}` {kind}, n_parts int, polygon array<struct<x:double,y:double>>, area double, total_area double")
