@@ -8,6 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from muralis.storage import materialise
+
+
+#: How often the radius of a search for nearest rows is halved, at most.
+HALVINGS = 12
+
 
 def _cell(x: Column, size: float) -> Column:
     return F.floor(x / size).cast("long")
@@ -32,12 +38,45 @@ def radius_pairs(points: DataFrame, *, key: str, axes: list[str], radius: float,
     return joined.withColumn("distance", F.sqrt(square)).filter(F.col("distance") <= radius)
 
 
+def _finest(points: DataFrame, axes: list[str], radius: float, most: int) -> int:
+    """How often ``radius`` is halved until no cell of that size holds more than ``most`` points; HALVINGS at most."""
+    level = F.explode(F.sequence(F.lit(0), F.lit(HALVINGS))).alias("level")
+    size = F.lit(radius) / F.pow(F.lit(2.0), F.col("level"))
+    cells = points.select(*axes, level).groupBy("level", *(F.floor(F.col(x) / size).alias(f"cell_{x}") for x in axes)).agg(F.count("*").alias("n"))
+    fullest = {r.level: r.n for r in cells.groupBy("level").agg(F.max("n").alias("n")).collect()}  # a row a level
+    return next((k for k in range(HALVINGS + 1) if fullest.get(k, 0) <= most), HALVINGS)
+
+
 def nearest_neighbours(points: DataFrame, *, key: str, axes: list[str], radius: float, k: int) -> DataFrame:
-    """a, b, distance: up to ``k`` nearest others of each row within ``radius``, ties to the smaller key; directed."""
-    pairs = radius_pairs(points.select(key, *axes), key=key, axes=axes, radius=radius).select(F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b"), "distance")
-    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    """a, b, distance, rank: up to ``k`` nearest others of each row within ``radius``, ties to the smaller key; directed.
+
+    Rows are sought within small distances first: one with ``k`` others within such a distance has its nearest there and is done, and the rest
+    look twice as far, up to the radius. Of rows at one place only the k + 1 of the smallest keys can be among another's nearest.
+    """
+    known = reduce(lambda a, b: a & b, [F.col(x).isNotNull() for x in axes])
+    open_ = materialise(points.filter(known).select(F.col(key).alias("a"), *axes), "points")
+    near_key = F.row_number().over(Window.partitionBy(*axes).orderBy("a"))
+    others = materialise(open_.withColumn("n", near_key).filter(F.col("n") <= k + 1).drop("n"), "places")
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))
-    return both.withColumn("rank", rank).filter(F.col("rank") <= k)
+    square = reduce(lambda a, b: a + b, [F.pow(F.col(x) - F.col(f"b_{x}"), 2.0) for x in axes])
+    parts = []
+    for level in range(_finest(others, axes, radius, 4 * k), -1, -1):
+        reach = radius / 2**level
+        cells = [f"cell_{x}" for x in axes]
+        left = open_.select("*", *(_cell(F.col(x), reach).alias(c) for x, c in zip(axes, cells, strict=True))).repartition(tasks, *cells)
+        right = others.select(F.col("a").alias("b"), *(F.col(x).alias(f"b_{x}") for x in axes), *(_cell(F.col(x), reach).alias(c) for x, c in zip(axes, cells, strict=True)))
+        for c in cells:
+            right = right.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
+        met = left.join(right.repartition(tasks, *cells), cells).filter("a <> b").select("a", "b", F.sqrt(square).alias("distance")).filter(F.col("distance") <= reach)
+        found = materialise(met.withColumn("rank", rank).filter(F.col("rank") <= k), "nearest")
+        if not level:
+            parts.append(found)
+            break
+        done = found.filter(F.col("rank") == k).select("a")
+        parts.append(found.join(done, "a", "left_semi"))
+        open_ = materialise(open_.join(done, "a", "left_anti"), "points")
+    return reduce(DataFrame.unionByName, [p.select("a", "b", "distance", "rank") for p in parts])
 
 
 def box_pairs(boxes: DataFrame, *, cell: float, key: str = "id", within: list[str] | None = None, strict: bool = True) -> DataFrame:
