@@ -60,7 +60,7 @@ def floors_updated(rows: DataFrame, setting: DataFrame, canvas: list[str]) -> Da
     """floor_min and floor_max of boxes (top, bottom) by the setting of a canvas of the very same size: the floors from 1 to the
     total that the box's edges are on; null if neither is on one."""
     s = setting.select(*(F.col(c).alias(f"s_{c}") for c in canvas), "roof", "pitch", "total", "facade")
-    joined = rows.join(s, "facade", "left")
+    joined = rows.join(F.broadcast(s), "facade", "left")  # a row a face
     fits = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in canvas])
 
     def floor(y: str) -> Column:
