@@ -38,6 +38,16 @@ def test_boxes_apart_whose_gaps_multiply_to_their_areas(spark):
     assert cracks.duplicates_across_images(boxes).collect() == []
 
 
+def test_archives_added_where_others_are_already(spark, tmp_path):
+    """An archive added a million further on does not replace the stored one that has its number."""
+    from muralis.plans import catalog
+
+    schema = "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate date, o_totalprice double"
+    spark.createDataFrame([(k, 1, "O", None, 5.0) for k in (10, 20, 1_000_010)], schema).write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted(map(tuple, catalog.archive_upsert(spark, str(tmp_path)).collect()))
+    assert got == [(10, "active", 5.0), (20, "active", 6.0), (1_000_010, "active", 0.0), (1_000_010, "active", 5.0), (1_000_020, "active", 0.0), (2_000_010, "active", 0.0)]
+
+
 def test_severity_golden(spark):
     t = spark.createDataFrame([(None, 0.1), (0.5, None), (0.5, 2.6), (0.3, 0.1), (0.29, 0.1)], "w double, r double")
     s, n = cracks.graded(F.col("w"), F.col("r"))
