@@ -202,8 +202,8 @@ def confusion(outcomes: DataFrame) -> DataFrame:
 
 
 def owner_counts(polygons: DataFrame, owners: DataFrame, least: int = 20) -> DataFrame:
-    """id, owner, n: pixels of each polygon (id, pixels) by owner in a sparse raster (y, x, owner), from ``least`` pixels on."""
-    cells = polygons.select("id", F.explode("pixels").alias("p")).select("id", "p.y", "p.x")
+    """id, owner, n: pixels of each polygon (id, pixels; or id, y, x) by owner in a sparse raster (y, x, owner), from ``least`` pixels on."""
+    cells = polygons.select("id", F.explode("pixels").alias("p")).select("id", "p.y", "p.x") if "pixels" in polygons.columns else polygons
     return cells.join(owners, ["y", "x"]).groupBy("id", "owner").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 

@@ -129,6 +129,38 @@ def test_greedy_matches_over_batches(spark):
     assert got == sorted(expected)
 
 
+def test_canvas_masks_equal_single_fills(spark):
+    """Stars and boxes on, across and off the canvas, as masks of 64 pixels and one by one; and shares against sets of cells."""
+    from muralis.functions import polygons
+    from muralis.operators import walls
+
+    rng, shapes = np.random.default_rng(3), [box(-5, -5, 300, 4), box(60, 3, 10, 2), box(500, 500, 3, 3)]
+    for _ in range(80):
+        k = rng.integers(3, 8)
+        angle = 2 * np.pi * np.sort(rng.uniform(0, 1, k))
+        shapes.append(np.c_[np.cos(angle), np.sin(angle)] * rng.uniform(1, 40, k)[:, None] + rng.uniform(-20, 170, 2))
+    df = spark.createDataFrame([*((i, rings.plain(p)) for i, p in enumerate(shapes)), (99, None)], "id int, polygon array<struct<x:double,y:double>>")
+    wall = {(y, x) for y in range(0, 100, 2) for x in range(0, 150, 3)}
+    got = {r.id: (r.pixels, r.on_wall) for r in walls.on_wall_shares(df, spark.createDataFrame(sorted(wall), "y int, x int"), 150, 100).collect()}
+    for i, p in enumerate(shapes):
+        cells = set(zip(*(v.tolist() for v in polygons.filled(p, 150, 100)), strict=True))
+        assert got[i] == (len(cells), len(cells & wall))
+    assert got[99] == (0, 0)
+
+
+def test_nearest_by_growing_distances(spark):
+    """Crowds, copies of one place and rows far out: as brute force, ties to the smaller key."""
+    from muralis.operators import spatial
+
+    rng = np.random.default_rng(4)
+    xy = np.round(np.concatenate([rng.normal(0, 1, (300, 2)), rng.normal(0, 30, (60, 2)), np.zeros((40, 2)), [[500.0, 500.0]]]), 1)
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)] + [(999, None, 1.0)], "id int, x double, y double")
+    got = {(r.a, r.b) for r in spatial.nearest_neighbours(points, key="id", axes=["x", "y"], radius=20.0, k=4).collect()}
+    far = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(axis=2))
+    expected = {(a, b) for a in range(len(xy)) for b in sorted((b for b in range(len(xy)) if b != a and far[a, b] <= 20), key=lambda b: (far[a, b], b))[:4]}
+    assert got == expected
+
+
 def test_rasterised_polygons(spark):
     from muralis.functions import polygons
 
