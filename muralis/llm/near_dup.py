@@ -8,12 +8,13 @@ generalised Jaccard similarity of their weighted sets.
 Texts that share a band of coordinates are compared, exactly, with two centres per bucket instead of with each other; the
 centres are drawn anew in every band. Where a bucket's texts are then not all of one component, texts of different components
 meet in blocks, and those that seem alike by their sketches (a byte of every coordinate, and the least hashes of their
-elements) are compared exactly too. A bucket of very many texts of different components is divided first: its texts meet
-only where they share a second such bucket. The few late links are then added to the components, not to the links.
+elements) are compared exactly too. A bucket of very many texts of different components is divided first by the texts' sizes:
+texts whose sizes differ too much to be alike need not meet, all others do. The few late links are then added to the components, not to the links.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from functools import lru_cache
 
@@ -43,7 +44,7 @@ LEAST = 2048
 BLOCK = 64
 BLOCK_ROWS = 16
 UNITS = 16_384
-#: A bucket with more pairs of different components than so many texts have is divided by the texts' other buckets.
+#: A bucket with more pairs of different components than so many texts have is divided by the texts' sizes.
 HOT = 2048
 #: Word hashes a worker remembers.
 CACHE_WORDS = 100_000
@@ -217,12 +218,22 @@ def mixed_members(members: DataFrame) -> tuple[DataFrame, dict]:
 
 
 def divided(members: DataFrame) -> DataFrame:
-    """``members`` (bucket, key, component) by pairs of their buckets instead: at most BANDS * (BANDS - 1) / 2 rows a text."""
+    """``members`` (bucket, key, component) by pairs of their buckets instead: at most BANDS * (BANDS - 1) / 2 rows a text. Members that share one
+    bucket only don't meet, so ``near_duplicate_classes`` takes ``sized`` instead."""
     own = members.groupBy("key", "component").agg(F.array_sort(F.collect_set("bucket")).alias("own"))
     pairs = F.expr("explode(flatten(transform(own, (x, i) -> transform(slice(own, i + 2, size(own)), y -> xxhash64(x, y)))))")
     return own.select(pairs.alias("bucket"), "key", "component")
 
 
+def sized(members: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """``members`` (bucket, key, component) by classes of their sizes (key, size) within their buckets: two rows a member. Sizes of alike texts differ
+    by a factor of at most 1 / ``threshold``, the width of a class, so that alike texts are in one class or in neighbouring ones."""
+    width = max(-math.log(threshold), 1e-6) * (1 + 1e-9) if threshold > 0 else math.inf
+    of = F.floor(F.log(F.col("size").cast("double")) / width).cast("long")
+    listed = members.join(sizes, "key").withColumn("class", F.explode(F.array(of, of + 1)))
+    return listed.select(F.xxhash64("bucket", "class").alias("bucket"), "key", "component")
+
+
 def likely_pairs(members: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     """a, b: pairs of ``members`` (bucket, key, component, n, main) of different components that may be alike.
 
@@ -326,7 +337,8 @@ def near_duplicate_classes(docs: DataFrame, *, threshold: float = SIMILARITY) ->
     if state["buckets"]:
         cold = mixed.filter("not hot").drop("hot")
         if state["hot"]:
-            cold = cold.unionByName(mixed_members(materialise(divided(mixed.filter("hot")), "members"))[0].drop("hot"))
+            sizes = weighted.select("key", F.aggregate("weights", F.lit(0).cast("long"), lambda s, n: s + n).alias("size"))
+            cold = cold.unionByName(mixed_members(materialise(sized(mixed.filter("hot").select("bucket", "key", "component"), sizes, threshold), "members"))[0].drop("hot"))
         sketches = texts.select("key", "sketch").join(sets.select("key", "least"), "key")
         late = verified_links(likely_pairs(cold, sketches, threshold), weighted, threshold)
         if not late.isEmpty():

@@ -357,6 +357,19 @@ def test_pairs_are_told_apart_by_sketches(spark):
     assert sorted(tuple(r) for r in near_dup.likely_pairs(members, sketches, 0.8).collect()) == [(1, 2), (1, 4)]  # (2, 4) joins no more
 
 
+def test_hot_buckets_lose_no_pair_that_shares_no_other(spark):
+    """Members of one bucket alone meet wherever their sizes allow a similarity of 0.8; far sizes don't."""
+    sizes = {k: 10 + 3 * k for k in range(60)}
+    members = spark.createDataFrame([(7, k, k) for k in sizes] + [(8, 0, 0)], "bucket long, key long, component long")
+    rows = near_dup.sized(members, spark.createDataFrame(list(sizes.items()), "key long, size long"), 0.8).collect()
+    own = defaultdict(set)
+    for r in rows:
+        own[r.bucket].add(r.key)
+    met = {(a, b) for keys in own.values() for a in keys for b in keys if a < b}
+    assert {(a, b) for a in sizes for b in sizes if a < b and sizes[a] >= 0.8 * sizes[b]} <= met
+    assert len(rows) == 2 * 61 and (0, 59) not in met
+
+
 def test_mixed_buckets_are_divided(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "HOT", 3)
     rows = [(1, k, k) for k in range(6)] + [(2, k, k) for k in range(4)] + [(3, 0, 0), (3, 1, 0)] + [(4, k, 9) for k in range(6)]
