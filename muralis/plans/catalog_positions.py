@@ -11,7 +11,7 @@ from muralis.operators import planes as pl
 from muralis.operators import positions as ps
 from muralis.plans.catalog import c, query, r4, r6
 from muralis.sources import exif
-from muralis.storage import table
+from muralis.storage import materialise, table
 
 _KEYS = "l_orderkey AS k1, l_linenumber AS k2, l_partkey AS k3"
 
@@ -74,10 +74,13 @@ def position_offsets(spark, d):
     """Each supplier's window of the mosaic of mean prices, shifted by up to two cells, sought again in the mosaic."""
     t = table(spark, d, "lineitem")
     mean = t.groupBy((c("l_partkey") % 60).alias("x"), c("l_quantity").cast("long").alias("y")).agg((F.avg("l_extendedprice") / 200).alias("value"))
+    mean = materialise(mean, "mosaic")
     s = c("s_suppkey")
     checks = table(spark, d, "supplier").select(s.alias("id"), (14 + s % 30).alias("cx"), (14 + s % 20).alias("cy"), (s % 5 - 2).alias("dx"), (s % 3 - 1).alias("dy"))
     around = checks.withColumn("i", F.explode(F.sequence(F.lit(-6), F.lit(6)))).withColumn("j", F.explode(F.sequence(F.lit(-6), F.lit(6))))
-    photo = around.select("id", (c("cx") + c("i")).alias("px"), (c("cy") + c("j")).alias("py"), (c("cx") + c("i") + c("dx")).alias("x"), (c("cy") + c("j") + c("dy")).alias("y")).join(mean, ["x", "y"])
+    photo = around.select("id", (c("cx") + c("i")).alias("px"), (c("cy") + c("j")).alias("py"), (c("cx") + c("i") + c("dx")).alias("x"), (c("cy") + c("j") + c("dy")).alias("y"))
+    # The mosaic has at most 60 x 50 cells; the windows' cells, which Spark takes for as few as the suppliers, must not be broadcast.
+    photo = photo.join(F.broadcast(mean), ["x", "y"])
     found = ps.position_offsets(checks.select("id", "cx", "cy"), photo.select("id", c("px").alias("x"), c("py").alias("y"), "value"), mean, radius=6, reach=4)
     return found.select("id", *(rounded(c(k), 4).alias(k) for k in ("dx", "dy", "ncc")))
 

@@ -171,3 +171,15 @@ def test_photo_metadata_merges_and_flattens(spark):
     assert abs(b["gps.latitude"] + 37.501) < 1e-9 and abs(b["gps.longitude"] - 127.005) < 1e-9 and b["gps.altitude_m"] == 55.5
     assert b["timestamp"] == "2025-09-02T11:21:31" and b["image_id"] == "DJI_0002" and b["mission.flight_id"] == "flight7" and (b["width"], b["height"]) == (5280, 3956)
     assert none["gps.latitude"] is None and none["image_id"] == "x" and none["mission.flight_id"] is None
+
+
+def test_position_offsets_broadcasts_no_windows(spark):
+    """The cells of all windows are far more than the suppliers' file tells: none of them may go through the driver."""
+    from muralis.plans import catalog_positions
+
+    plan = catalog_positions.position_offsets(spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(line) - len(line.lstrip(" :+-*()0123456789")) for line in plan]
+    for k, line in enumerate(plan):
+        if "BroadcastExchange" in line:
+            below = next((m for m in range(k + 1, len(plan)) if depth[m] <= depth[k]), len(plan))
+            assert not any("Generate" in x and "FLOOR" not in x for x in plan[k:below]), plan
