@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,20 +28,28 @@ def merged_segments(edges: DataFrame, *, min_length: float = 3.0, cfg: Config =
     start. facade_id numbers the walls of a building that are long enough, in ring order."""
     columns = ["building", "ring", "ord", "x0", "y0", "x1", "y1", "normal"]
 
-    def merge(ring: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        for e in ring.sort_values("ord").to_dict("records"):
-            if out:
-                d = (e["normal"] - out[-1]["normal"]) % 360
-                if min(d, 360 - d) < cfg.merge_normal_deg:
-                    out[-1] |= {"x1": e["x1"], "y1": e["y1"]}
-                    continue
-            out.append({k: e[k] for k in columns})
-        return pd.DataFrame(out, columns=columns)
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come ring by ring, in order; the last run of a batch may go on in the next."""
+        run: list | None = None
+        for batch in batches:
+            closed: list[list] = []
+            for e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if run and run[0] == e[0] and run[1] == e[1]:
+                    d = (e[7] - run[7]) % 360
+                    if min(d, 360 - d) < cfg.merge_normal_deg:
+                        run[5:7] = e[5:7]
+                        continue
+                if run:
+                    closed.append(run)
+                run = list(e)
+            schema = batch.schema
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in closed], f.type) for k, f in enumerate(schema)], schema.names)
+        if run:
+            yield pa.RecordBatch.from_arrays([pa.array([run[k]], f.type) for k, f in enumerate(schema)], schema.names)
 
     kind = dict(edges.dtypes)
-    # A ring is one building's outline: tens of edges.
-    runs = edges.select(*columns).groupBy("building", "ring").applyInPandas(merge, ", ".join(f"{k} {kind[k]}" for k in columns))
+    dealt = edges.select(*columns).repartition("building", "ring").sortWithinPartitions("building", "ring", F.asc_nulls_last("ord"))
+    runs = dealt.mapInArrow(merge, ", ".join(f"{k} {kind[k]}" for k in columns))
     length = F.sqrt(F.pow(F.col("x1") - F.col("x0"), 2.0) + F.pow(F.col("y1") - F.col("y0"), 2.0))
     walls = runs.withColumn("length", length).filter(F.col("length") >= min_length)
     return walls.withColumn("facade_id", F.format_string("F%03d", F.row_number().over(Window.partitionBy("building").orderBy("ring", "ord"))))

@@ -269,3 +269,21 @@ def test_transforms_along_the_tree(spark):
     tree = spark.createDataFrame([(0, None, 0), (1, 0, 1), (2, 1, 2), (3, 2, 3), (4, 1, 2)], "node long, parent long, hops int")
     got = {r.node: np.array(r.h).reshape(3, 3) for r in canvas.composed_transforms(table, tree).collect()}
     assert got.keys() == wanted.keys() and all(np.allclose(got[k], wanted[k]) for k in got)
+
+
+def test_segments_are_merged_across_batches(spark):
+    """Rings are read row by row, not a group at a time, and a run goes on in the next batch."""
+    from muralis.operators import facades
+
+    rows = [(b, r, o, float(o), 0.0, float(o + 1), 0.0, 0.0 if o < 7 else 90.0) for b in (1, 2) for r in range(3) for o in range(10)]
+    edges = spark.createDataFrame(rows, "building long, ring long, ord int, x0 double, y0 double, x1 double, y1 double, normal double")
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, 4)
+    try:
+        merged = facades.merged_segments(edges, min_length=1.0)
+        assert "FlatMapGroups" not in merged._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.building, r.facade_id, r.ring, r.ord, r.x0, r.x1) for r in merged.collect())
+    finally:
+        spark.conf.set(setting, before)
+    assert got == [(b, f"F{2 * r + k + 1:03d}", r, o, float(o), float(o + n)) for b in (1, 2) for r in range(3) for k, (o, n) in enumerate(((0, 7), (7, 3)))]
