@@ -95,7 +95,8 @@ def wall_points(points: DataFrame, normals: DataFrame, group: str, *, k: float =
         if open_.isEmpty():
             break
         placed = points.select(group, *AXES).join(open_.select(group, "axis", "mean"), group).withColumn("at", _along("axis", "mean"))
-        bounds = robust_bounds(placed, [group], "at", k).select(group, F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+        # Written: a row a group, so that the points meet them where they are, not sorted by group.
+        bounds = materialise(robust_bounds(placed, [group], "at", k).select(group, F.col("lo").alias("lo2"), F.col("hi").alias("hi2")), "bounds")
         kept = placed.join(bounds, group).filter(F.col("at").between(F.col("lo2"), F.col("hi2")))
         fresh = kept.groupBy(group).agg(F.count("*").alias("n2"), F.array(*(F.avg(a) for a in AXES)).alias("mean2")).join(bounds, group)
         joined = open_.join(fresh, group, "left")

@@ -32,8 +32,14 @@ def value_counts(df: DataFrame, group: list[str], value: str) -> DataFrame:
 def group_quantiles(df: DataFrame, group: list[str], value: str, shares: list[float]) -> DataFrame:
     """group, n, q (array in the order of ``shares``): exact quantiles with linear interpolation; groups without a known value have no
     row."""
-    counts = running_counts(value_counts(df, group, value), group, ["value"])
-    totals = counts.groupBy(*group).agg(F.max("upto").alias("all"))
+    return _quantiles(value_counts(df, group, value), group, shares)
+
+
+def _quantiles(counted: DataFrame, group: list[str], shares: list[float]) -> DataFrame:
+    """``group_quantiles`` of the rows that ``value_counts`` has counted."""
+    counts = running_counts(counted, group, ["value"])
+    # Written, so that Spark sees how small they are: a few groups' rows would else be sorted by group, all of one in a task.
+    totals = materialise(counts.groupBy(*group).agg(F.max("upto").alias("all")), "totals")
     share = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(s).alias("share")) for k, s in enumerate(shares))))
     wanted = totals.withColumn("s", share).select(*group, "all", "s.k", (F.col("s.share") * (F.col("all") - 1)).alias("at"))
     low, high = F.floor("at"), F.ceil("at")
@@ -49,11 +55,11 @@ def group_quantiles(df: DataFrame, group: list[str], value: str, shares: list[fl
 def robust_bounds(df: DataFrame, group: list[str], value: str, k: float = 3.0) -> DataFrame:
     """group, n, lo, hi: the least and the greatest value within k interquartile ranges of the quartiles; of all values where these are
     equal or none is within."""
-    q = group_quantiles(df, group, value, [0.25, 0.75]).withColumn("spread", F.col("q")[1] - F.col("q")[0])
-    inside = (F.col("spread") <= 1e-9) | F.col(value).between(F.col("q")[0] - k * F.col("spread"), F.col("q")[1] + k * F.col("spread"))
-    joined = df.select(*group, value).filter(F.col(value).isNotNull()).join(q, group)
-    kept = lambda f: F.coalesce(f(F.when(inside, F.col(value))), f(value))
-    return joined.groupBy(*group).agg(F.count("*").alias("n"), kept(F.min).alias("lo"), kept(F.max).alias("hi"))
+    counted = materialise(value_counts(df, group, value), "counts")
+    q = materialise(_quantiles(counted, group, [0.25, 0.75]).select(*group, "q", (F.col("q")[1] - F.col("q")[0]).alias("spread")), "quartiles")
+    inside = (F.col("spread") <= 1e-9) | F.col("value").between(F.col("q")[0] - k * F.col("spread"), F.col("q")[1] + k * F.col("spread"))
+    kept = lambda f: F.coalesce(f(F.when(inside, F.col("value"))), f("value"))
+    return counted.join(q, group).groupBy(*group).agg(F.sum("n").alias("n"), kept(F.min).alias("lo"), kept(F.max).alias("hi"))
 
 
 def densest_ranges(df: DataFrame, group: list[str], value: str, width: float) -> DataFrame:

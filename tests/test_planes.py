@@ -157,3 +157,13 @@ def test_wall_region(spark):
             if (cross >= 0).all() or off <= reach:
                 expected.add((y, x))
     assert got == expected and len(got) > 100
+
+
+def test_bounds_of_few_groups_sort_no_group(spark):
+    """A few groups' quartiles meet their values where these are: sorted by group, a face's values would all be in one task."""
+    from muralis.operators.quantiles import robust_bounds
+
+    values = spark.range(2000).select((F.col("id") % 3).alias("g"), (F.col("id") % 50 + F.when(F.col("id") % 400 == 0, 1e4).otherwise(0.0)).alias("v"))
+    found = robust_bounds(values, ["g"], "v")
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.g, r.n, r.lo, r.hi) for r in found.collect()) == [(g, n, 0.0, 49.0) for g, n in ((0, 667), (1, 667), (2, 666))]
