@@ -194,42 +194,68 @@ def wall_hulls(observations: DataFrame, image: str) -> DataFrame:
     return counted.join(convex_hulls(kept, image), image)
 
 
-class WallCells:
-    """Table function: y, x of the canvas cells that a photo's region covers: the cell, taken back into the photo by the inverse of h, lies in
-    the photo and in the hull or within ``reach`` pixels of it."""
-
-    def eval(self, hull_, h, width: float, height: float, reach: float, canvas_w: int, canvas_h: int):
-        p = np.array([(v["x"], v["y"]) for v in hull_], float)
-        m = np.array(h, float).reshape(3, 3)
-        wide = np.concatenate([p + d for d in reach * np.array([[1, 1], [1, -1], [-1, 1], [-1, -1]])])
-        wide = np.clip(wide, 0, (width, height))
-        on = np.c_[wide, np.ones(len(wide))] @ m.T
-        if (on[:, 2] <= 0).any() and (on[:, 2] >= 0).any():
-            lo, hi = np.zeros(2, int), np.array([canvas_w - 1, canvas_h - 1])  # beyond the horizon: all cells are tried
-        else:
-            q = on[:, :2] / on[:, 2:]
-            lo, hi = np.maximum(np.floor(q.min(axis=0)).astype(int), 0), np.minimum(np.ceil(q.max(axis=0)).astype(int), (canvas_w - 1, canvas_h - 1))
-        back = np.linalg.inv(m)
-        a, b = p, np.roll(p, -1, axis=0)
-        for y in range(lo[1], hi[1] + 1):
-            xs = np.arange(lo[0], hi[0] + 1)
-            r = np.c_[xs, np.full(len(xs), y), np.ones(len(xs))] @ back.T
-            s = r[:, :2] / r[:, 2:]
-            seen = (s[:, 0] >= 0) & (s[:, 0] < width) & (s[:, 1] >= 0) & (s[:, 1] < height)
-            inside = ((b[:, 0] - a[:, 0]) * (s[:, None, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (s[:, None, 0] - a[:, 0]) >= 0).all(axis=1)
-            along = b - a
-            t = np.clip(((s[:, None] - a) * along).sum(axis=2) / np.maximum((along**2).sum(axis=1), 1e-300), 0, 1)
-            off = np.sqrt((((a + t[..., None] * along) - s[:, None]) ** 2).sum(axis=2)).min(axis=1)
-            for x in xs[seen & (inside | (off <= reach))].tolist():
-                yield y, x
+#: Corners of hulls times cells that are compared at once, and cells of the canvas that a task remembers as bytes.
+COMPARED, HELD_CELLS = 1 << 20, 1 << 26
+
+
+def region_cells(p: np.ndarray, h: np.ndarray, width: float, height: float, reach: float, canvas_w: int, canvas_h: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """y, x and mask (rows of the canvas from y on, cells from x on) of the cells that a photo's region covers: the cell, taken back into the photo by
+    the inverse of h, lies in the photo and in the hull p or within ``reach`` pixels of it."""
+    m = h.reshape(3, 3)
+    wide = np.concatenate([p + d for d in reach * np.array([[1, 1], [1, -1], [-1, 1], [-1, -1]])])
+    wide = np.clip(wide, 0, (width, height))
+    on = np.c_[wide, np.ones(len(wide))] @ m.T
+    if (on[:, 2] <= 0).any() and (on[:, 2] >= 0).any():
+        lo, hi = np.zeros(2, int), np.array([canvas_w - 1, canvas_h - 1])  # beyond the horizon: all cells are tried
+    else:
+        q = on[:, :2] / on[:, 2:]
+        lo, hi = np.maximum(np.floor(q.min(axis=0)).astype(int), 0), np.minimum(np.ceil(q.max(axis=0)).astype(int), (canvas_w - 1, canvas_h - 1))
+    if (hi < lo).any():
+        return
+    back = np.linalg.inv(m)
+    a, b = p, np.roll(p, -1, axis=0)
+    along = b - a
+    length = np.maximum((along**2).sum(axis=1), 1e-300)
+    xs = np.arange(lo[0], hi[0] + 1)
+    high = max(1, COMPARED // (len(xs) * len(p)))
+    for y in range(lo[1], hi[1] + 1, high):
+        ys = np.arange(y, min(y + high, hi[1] + 1))
+        r = np.stack([np.tile(xs, len(ys)), np.repeat(ys, len(xs)), np.ones(len(xs) * len(ys))], axis=1) @ back.T
+        s = r[:, :2] / r[:, 2:]
+        seen = (s[:, 0] >= 0) & (s[:, 0] < width) & (s[:, 1] >= 0) & (s[:, 1] < height)
+        inside = ((b[:, 0] - a[:, 0]) * (s[:, None, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (s[:, None, 0] - a[:, 0]) >= 0).all(axis=1)
+        rim = np.flatnonzero(seen & ~inside)
+        t = np.clip(((s[rim, None] - a) * along).sum(axis=2) / length, 0, 1)
+        off = np.sqrt((((a + t[..., None] * along) - s[rim, None]) ** 2).sum(axis=2)).min(axis=1)
+        covered = seen & inside
+        covered[rim[off <= reach]] = True
+        yield y, int(lo[0]), covered.reshape(len(ys), len(xs))
 
 
 def wall_region(hulls: DataFrame, transforms: DataFrame, image: str, canvas_w: int, canvas_h: int) -> DataFrame:
     """y, x: the cells of the canvas that any photo's region covers. ``transforms`` has h (photo to canvas), w and h_px per photo; a region
-    reaches beyond its hull by a share of the photo's diagonal."""
-    spark = hulls.sparkSession
-    spark.udtf.register("wall_cells", F.udtf(WallCells, returnType="y int, x int"))
+    reaches beyond its hull by a share of the photo's diagonal. A task hands on each cell once, however many of its photos cover it."""
+    canvas_w, canvas_h = int(canvas_w), int(canvas_h)
+
+    def cover(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+
+        def cells() -> Iterator[pa.RecordBatch]:
+            for y, row in held.items():
+                xs = np.flatnonzero(row)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(xs), y, np.int32)), pa.array(xs.astype(np.int32))], ["y", "x"])
+            held.clear()
+
+        for batch in batches:
+            for corners, *facts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                h, width, height, reach = facts
+                for y, x, mask in region_cells(np.array([(v["x"], v["y"]) for v in corners], float), np.array(h, float), width, height, reach, canvas_w, canvas_h):
+                    for k, row in enumerate(mask):
+                        held.setdefault(y + k, np.zeros(canvas_w, bool))[x : x + len(row)] |= row
+                if len(held) * canvas_w > HELD_CELLS:
+                    yield from cells()
+        yield from cells()
+
     placed = hulls.join(transforms, image).select("hull", "h", F.col("w").cast("double").alias("w"), F.col("h_px").cast("double").alias("t"))
     placed = placed.withColumn("reach", F.lit(REACH_SHARE) * F.sqrt(F.col("w") * F.col("w") + F.col("t") * F.col("t")))
-    cells = spark.sql(f"SELECT c.y, c.x FROM {{placed}} p, LATERAL wall_cells(p.hull, p.h, p.w, p.t, p.reach, {int(canvas_w)}, {int(canvas_h)}) c", placed=placed)
-    return cells.distinct()
+    return placed.mapInArrow(cover, "y int, x int").distinct()

@@ -167,3 +167,13 @@ def test_bounds_of_few_groups_sort_no_group(spark):
     found = robust_bounds(values, ["g"], "v")
     assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.g, r.n, r.lo, r.hi) for r in found.collect()) == [(g, n, 0.0, 49.0) for g, n in ((0, 667), (1, 667), (2, 666))]
+
+
+def test_a_task_hands_on_a_cell_of_the_region_once(spark):
+    square = [(x, y) for x, y in ((5.0, 5.0), (25.0, 5.0), (25.0, 25.0), (5.0, 25.0))]
+    rows = [(k, [{"x": x, "y": y} for x, y in square], [1.0, 0.0, float(k % 2), 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], 40.0, 30.0) for k in range(20)]
+    both = spark.createDataFrame(rows, "image int, hull array<struct<x:double,y:double>>, h array<double>, w double, h_px double").coalesce(1)
+    found = pl.wall_region(both.select("image", "hull"), both.select("image", "h", "w", "h_px"), "image", 60, 50)
+    cells = [(r.y, r.x) for r in found.collect()]
+    assert len(cells) == len(set(cells)) and {(15, x) for x in range(5, 27)} <= set(cells)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
