@@ -40,9 +40,9 @@ AGREEING = 80
 #: Least hashes of a text's elements that its sketch keeps: all of a short text's. Of longer ones, they tell the similarity with
 #: a standard error of less than 0.009, and five of those errors are allowed for.
 LEAST = 2048
-#: Texts of a bucket that meet others together, rows of two blocks that a worker takes at once, and units that it compares at once.
+#: Texts of a bucket that meet others together, those of a group of them that a worker holds at once, and units that it compares at once.
 BLOCK = 64
-BLOCK_ROWS = 16
+TILE = 1024
 UNITS = 16_384
 #: A bucket with more pairs of different components than so many texts have is divided by the texts' sizes.
 HOT = 2048
@@ -204,16 +204,16 @@ def verified_links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataF
 
 
 def mixed_members(members: DataFrame) -> tuple[DataFrame, dict]:
-    """``members`` (bucket, key, component) of buckets with several components, with n, main and hot; and how many such buckets,
-    and hot ones, there are.
+    """``members`` (bucket, key, component) of buckets with several components, with n, mains, main and hot; and how many such
+    buckets, and hot ones, there are.
 
-    ``main``: of the bucket's largest component. ``hot``: the bucket has more pairs of different components than HOT texts.
+    ``main``: of the bucket's largest component, which has ``mains`` members. ``hot``: the bucket has more pairs of different components than HOT texts.
     """
     counts = members.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("top"))
     hot = ((F.col("n") - F.col("top.c")) * F.col("n") > HOT * HOT).alias("hot")
     # Written, so that the join's sides are plain shuffles, which Spark splits at a bucket of very many texts.
-    stats, state = materialise_with(counts.filter("top.c < n").select("bucket", "n", F.col("top.component").alias("largest"), hot), "mixed", buckets=F.count("*"), hot=F.count_if("hot"))
-    mixed = members.join(stats, "bucket").select("bucket", "key", "component", "n", (F.col("component") == F.col("largest")).alias("main"), "hot")
+    stats, state = materialise_with(counts.filter("top.c < n").select("bucket", "n", F.col("top.c").alias("mains"), F.col("top.component").alias("largest"), hot), "mixed", buckets=F.count("*"), hot=F.count_if("hot"))
+    mixed = members.join(stats, "bucket").select("bucket", "key", "component", "n", "mains", (F.col("component") == F.col("largest")).alias("main"), "hot")
     return mixed, state
 
 
@@ -234,52 +234,75 @@ def sized(members: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
     return listed.select(F.xxhash64("bucket", "class").alias("bucket"), "key", "component")
 
 
+def tiles(members: DataFrame) -> DataFrame:
+    """``members`` (bucket, key, component, n, mains, main) by the tiles in which they meet: bucket, tile, side, inner, key, component.
+
+    A bucket's members of the main component and its others are dealt to groups of about TILE. A group of the others (side 1) meets every group
+    of the main component (side 0), itself with the first of these (``inner``), and the other groups of the others in tiles of their own. So each
+    pair that is not of the main component alone meets in one tile, and a member has a row for each group that its own one meets.
+    """
+    c = F.col
+    mains, others = (c("mains"), c("n") - c("mains")) if "mains" in members.columns else (c("n"), c("n"))
+    groups = members.withColumn("gm", F.ceil(mains / TILE).cast("int")).withColumn("go", F.ceil(others / TILE).cast("int"))
+    groups = groups.withColumn("g", F.pmod(F.xxhash64("key"), F.when(c("main"), c("gm")).otherwise(c("go"))).cast("int"))
+    of_main = "transform(sequence(0, go - 1), h -> struct(g * go + h as tile, 0 as side, g = 0 as inner))"
+    of_others = "transform(sequence(0, gm - 1), m -> struct(m * go + g as tile, 1 as side, m = 0 as inner))"
+    among_others = "transform(filter(sequence(0, go - 1), h -> h <> g), h -> struct(gm * go + least(g, h) * go + greatest(g, h) as tile, if(g < h, 0, 1) as side, false as inner))"
+    return groups.select("bucket", F.expr(f"explode(if(main, {of_main}, concat({of_others}, {among_others})))").alias("t"), "key", "component").select("bucket", "t.*", "key", "component")
+
+
 def likely_pairs(members: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """a, b: pairs of ``members`` (bucket, key, component, n, main) of different components that may be alike.
+    """a, b: pairs of ``members`` (bucket, key, component, n, mains, main) of different components that may be alike.
 
-    Members meet in blocks of about BLOCK, so a bucket gives a row for two blocks, not for two texts; blocks of the
-    bucket's main component don't meet each other. Pairs that ``sketches`` (key, sketch, least) show to be unlike are left out,
-    and of those that they leave no doubt of, two blocks give as many as join their components.
+    Members meet in ``tiles``, and there in blocks of BLOCK; a task reads its tiles one after the other, so large groups are not joined with
+    themselves. Pairs that ``sketches`` (key, sketch, least) show to be unlike are left out, and of those that they leave no doubt of, two
+    blocks give as many as join their components.
     """
-    block = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / BLOCK)).alias("block")
-    rows = F.collect_list(F.struct("key", "component", "sketch", "least")).alias("rows")
-    blocks = materialise(members.join(sketches, "key").groupBy("bucket", "main", block).agg(rows), "blocks")
-    left, right = (blocks.select("bucket", "main", "block", "rows").toDF("bucket", f"{s}_main", f"{s}_block", f"{s}_rows") for s in "ab")
-    meets = F.expr("not (a_main and b_main) and (a_main < b_main or (a_main = b_main and a_block <= b_block))")
-    faced = left.join(right, "bucket").filter(meets).select(F.expr("a_main = b_main and a_block = b_block").alias("same"), "a_rows", "b_rows")
-
-    def side(rows: pa.ListArray) -> tuple:
-        fields = rows.flatten()
-        ends = np.concatenate(([0], np.cumsum(rows.value_lengths().to_numpy()))).tolist()
-        sketch = np.frombuffer(b"".join(fields.field("sketch").to_pylist()), np.uint8).reshape(-1, BANDS, ROWS)
-        least = [np.frombuffer(x, np.uint64) for x in fields.field("least").to_pylist()]
-        return ends, fields.field("key"), fields.field("component").to_numpy(), sketch, least
+
+    def meet(sketch: list[np.ndarray], least: list[list], component: np.ndarray, x: np.ndarray, y: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+        open_ = component[x][:, None] != component[y][None, :]
+        i, j = np.nonzero(np.triu(open_, 1) if same else open_)
+        good = np.concatenate([(sketch[x[i[at : at + BLOCK]]] == sketch[y[j[at : at + BLOCK]]]).sum(1) >= AGREEING for at in range(0, len(i), BLOCK)]) if len(i) else np.zeros(0, bool)
+        i, j = i[good], j[good]
+        if len(i):
+            good, sure = seem_alike([least[k] for k in x], [least[k] for k in y], i, j, threshold)
+            good, sure = np.flatnonzero(good & ~sure), np.flatnonzero(sure)
+            take = np.concatenate([good, sure[spanning(component[x][i[sure]], component[y][j[sure]])]])
+            i, j = i[take], j[take]
+        return x[i], y[j]
+
+    def of_tile(rows: pa.RecordBatch) -> pa.RecordBatch:
+        component, side, key = (rows.column(k).to_numpy() for k in ("component", "side", "key"))
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+        least = [np.frombuffer(v, np.uint64) for v in rows.column("least").to_pylist()]
+        first, second = ([np.flatnonzero(side == s)[at : at + BLOCK] for at in range(0, int((side == s).sum()), BLOCK)] for s in (0, 1))
+        found = [meet(sketch, least, component, x, y, False) for x in first for y in second]
+        if rows.column("inner")[0].as_py():
+            found += [meet(sketch, least, component, x, y, i == 0) for k, x in enumerate(second) for i, y in enumerate(second[k:])]
+        a, b = (key[np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)])] for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     @tidy
     def pick(batches):
+        rest: list[pa.RecordBatch] = []
         for batch in batches:
-            (a_ends, a_keys, a_comp, a_sketch, a_least), (b_ends, b_keys, b_comp, b_sketch, b_least) = side(batch.column(1)), side(batch.column(2))
-            firsts, seconds = [], []
-            for k, same in enumerate(batch.column(0).to_pylist()):
-                x, y = slice(a_ends[k], a_ends[k + 1]), slice(b_ends[k], b_ends[k + 1])
-                open_ = a_comp[x][:, None] != b_comp[y][None, :]
-                i, j = np.nonzero(np.triu(open_, 1) if same else open_)
-                good = (a_sketch[x][i] == b_sketch[y][j]).sum((1, 2)) >= AGREEING
-                i, j = i[good], j[good]
-                if len(i):
-                    good, sure = seem_alike(a_least[x], b_least[y], i, j, threshold)
-                    sure = np.flatnonzero(sure)
-                    take = np.concatenate([np.flatnonzero(good)[~np.isin(np.flatnonzero(good), sure)], sure[spanning(a_comp[x][i[sure]], b_comp[y][j[sure]])]])
-                    firsts.append(i[take] + a_ends[k])
-                    seconds.append(j[take] + b_ends[k])
-            if firsts:
-                a, b = (keys.take(pa.array(np.concatenate(at))) for keys, at in ((a_keys, firsts), (b_keys, seconds)))
-                yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
-
-    found = faced.mapInArrow(pick, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            if not batch.num_rows:
+                continue
+            place = np.stack([batch.column(k).to_numpy() for k in (0, 1)])
+            cuts = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for at, end in zip(cuts, cuts[1:], strict=False):
+                if rest and (rest[0].column(0)[0], rest[0].column(1)[0]) != (batch.column(0)[at], batch.column(1)[at]):
+                    yield of_tile(pa.concat_batches(rest))
+                    rest = []
+                rest.append(batch.slice(at, end - at))
+        if rest:
+            yield of_tile(pa.concat_batches(rest))
+
+    dealt = tiles(members).join(sketches, "key").select("bucket", "tile", "side", "inner", "key", "component", "sketch", "least")
+    found = dealt.repartition("bucket", "tile").sortWithinPartitions("bucket", "tile", "key").mapInArrow(pick, "a long, b long")
     setting, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", members.sparkSession.conf
     before = conf.get(setting)
-    conf.set(setting, min(BLOCK_ROWS, int(before)) if int(before) > 0 else BLOCK_ROWS)  # these rows are large
+    conf.set(setting, min(TILE, int(before)) if int(before) > 0 else TILE)  # these rows are large
     try:
         return materialise(found, "pairs")
     finally:

@@ -357,6 +357,31 @@ def test_pairs_are_told_apart_by_sketches(spark):
     assert sorted(tuple(r) for r in near_dup.likely_pairs(members, sketches, 0.8).collect()) == [(1, 2), (1, 4)]  # (2, 4) joins no more
 
 
+def test_members_meet_once_in_tiles(spark, monkeypatch):
+    """Each pair but those of the main component alone meets in one tile, no tile holds more than two groups, and no bucket is joined with itself."""
+    monkeypatch.setattr(near_dup, "TILE", 4)
+    sizes = {1: (9, 14), 2: (1, 3), 3: (20, 1), 4: (2, 30)}  # members of the main component, others
+    rows = [(b, 100 * b + k, 0 if k < m else k, m + o, m, k < m) for b, (m, o) in sizes.items() for k in range(m + o)]
+    members = spark.createDataFrame(rows, "bucket long, key long, component long, n long, mains long, main boolean")
+    held, inner, met = defaultdict(list), set(), Counter()
+    for r in near_dup.tiles(members).collect():
+        held[r.bucket, r.tile].append((r.side, r.key))
+        inner |= {(r.bucket, r.tile)} if r.inner else set()
+    for at, own in held.items():
+        first, second = ([k for side, k in own if side == s] for s in (0, 1))
+        met.update(frozenset((a, b)) for a in first for b in second)
+        met.update(frozenset((a, b)) for a in second for b in second if a < b and at in inner)
+    main = {r[1] for r in rows if r[5]}
+    assert met == {frozenset((a[1], b[1])): 1 for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and not {a[1], b[1]} <= main}
+    same = bytes(near_dup.BANDS * near_dup.ROWS)
+    sketches = spark.createDataFrame([(r[1], same, np.arange(r[1], r[1] + 50, dtype=np.uint64).tobytes()) for r in rows], "key long, sketch binary, least binary")
+    monkeypatch.setattr(near_dup, "BLOCK", 3)
+    monkeypatch.setattr(near_dup, "spanning", lambda a, b: np.arange(len(a)))
+    found = near_dup.likely_pairs(members, sketches, 0.8).collect()
+    # Of 50 units, 45 must be shared: numbers up to 5 apart.
+    assert sorted(tuple(r) for r in found) == sorted((a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and 0 < b[1] - a[1] <= 5 and a[2] != b[2])
+
+
 def test_hot_buckets_lose_no_pair_that_shares_no_other(spark):
     """Members of one bucket alone meet wherever their sizes allow a similarity of 0.8; far sizes don't."""
     sizes = {k: 10 + 3 * k for k in range(60)}
