@@ -214,6 +214,25 @@ def test_lm_scores_equal_brute_force(spark, monkeypatch, chunk):
     assert np.allclose([g[6] for g in got], [e[6] for e in expected], rtol=1e-6)
 
 
+@pytest.mark.parametrize("bucket", [10, 1500])
+def test_lm_scores_do_not_depend_on_buckets(spark, monkeypatch, bucket):
+    """Frequent words are divided into classes or not, in few buckets or many: the same states and scores."""
+    random.seed(6)
+    names = [f"w{k}" for k in range(30)] + ["the", "of"]
+    rows = [(k, " ".join(random.choices(names, weights=[1] * 30 + [40, 20], k=random.randint(20, 120)))) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(lm, "CHUNK", 700)
+    expected, ones, twos = brute_scores(rows, 4, 1)
+    assert ones and twos
+    monkeypatch.setattr(lm, "HOT_SHARE", 1e9)
+    whole = sorted(map(tuple, lm.lm_scores(docs).collect()))
+    monkeypatch.setattr(lm, "BUCKET", bucket)
+    monkeypatch.setattr(lm, "HOT_SHARE", 0.05)
+    parted = sorted(map(tuple, lm.lm_scores(docs).collect()))
+    assert parted == whole
+    assert np.allclose([r[6] for r in parted], [e[6] for e in sorted(expected)], rtol=1e-6)
+
+
 def test_lm_scores_of_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = lm.lm_scores(docs).collect()
