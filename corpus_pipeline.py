@@ -13,14 +13,15 @@ from muralis.llm.near_dup import near_duplicate_classes
 from muralis.llm.packing import pack_documents
 from muralis.llm.quality import classify_quality
 from muralis.llm.suffix_dedup import remove_repeats
-from muralis.storage import materialise, table
+from muralis.storage import materialise, passing, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier accepts; null, blank, low-quality and toxic texts go."""
-    return classify_quality(docs, table(spark, sf_dir, "labels"), *COLUMNS).filter("keep").select(*COLUMNS)
+    with passing(spark):  # the features, which carry the texts, make room for the texts that are kept
+        return materialise(classify_quality(docs, table(spark, sf_dir, "labels"), *COLUMNS).filter("keep").select(*COLUMNS), "kept", lasts=True)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

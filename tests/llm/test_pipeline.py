@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 import corpus_pipeline
+from muralis import storage
+from muralis.llm.near_dup import near_duplicate_classes
 from muralis.llm.quality import fit_quality, score_quality
 from tests.llm.test_llm import removed, shingle_counts
 
@@ -45,3 +47,20 @@ def test_awkward_documents(spark):
     for _, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, docs, DATA).count() > 0
         assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_steps_make_room(spark, tmp_path, monkeypatch):
+    """Of what the first two stages write, only what their results read is left; blocks may be nested."""
+    monkeypatch.setattr(storage, "shared_dir", lambda _: f"file://{tmp_path}")
+    left = lambda: sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir())
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    kept = corpus_pipeline.keep_quality(spark, docs, DATA)
+    assert left() == ["kept"] and kept.count() > 0
+    found = near_duplicate_classes(kept)
+    assert left() == ["classes", "kept"] and found.count() == kept.count()
+    with storage.passing(spark):
+        with storage.passing(spark):
+            storage.materialise(docs.limit(1), "inner")
+            result = storage.materialise(docs.limit(1), "outer", lasts=True)
+        assert left() == ["classes", "kept", "outer"] and result.count() == 1
+    assert left() == ["classes", "kept"]
