@@ -73,15 +73,22 @@ def merged_polygons(shapes: DataFrame, iou: float = DEFAULT.merge_iou, settle: C
     return union_by(of, "crack_id").select("crack_id", "polygon", "area", "n_parts").join(rest, "crack_id")
 
 
+def centre_gap(ax: Column, aw: Column, ay: Column, ah: Column, bx: Column, bw: Column, by: Column, bh: Column) -> Column:
+    """Distance between the centres of two boxes. SQL takes b's corner and half its size off one after the other, and a distance of exactly the
+    limit stands or falls by that."""
+    wide, high = ax + aw / 2 - bx - bw / 2, ay + ah / 2 - by - bh / 2
+    return F.sqrt(wide * wide + high * high)
+
+
 def duplicates_across_images(boxes: DataFrame, cfg: Config = DEFAULT, settle: Callable[[Column], Column] | None = None) -> DataFrame:
     """a, b of different images that overlap enough, or at all with near centres."""
     pairs = scored_pairs(boxes, settle=settle).filter("a_image_id <> b_image_id")
     c = F.col
     if "polygon" in boxes.columns:
         (ax, ay), (bx, by) = polygons.area_centroid(c("a_polygon")), polygons.area_centroid(c("b_polygon"))
+        centre = F.sqrt(F.pow(ax - bx, 2.0) + F.pow(ay - by, 2.0))
     else:
-        ax, ay, bx, by = (c(f"{k}_{x}0") + c(f"{k}_{w}") / 2 for k in "ab" for x, w in ("xw", "yh"))
-    centre = F.sqrt(F.pow(ax - bx, 2.0) + F.pow(ay - by, 2.0))
+        centre = centre_gap(*(c(f"{k}_{x}") for k in "ab" for x in ("x0", "w", "y0", "h")))
     return pairs.filter((c("iou") >= cfg.cross_image_iou) | (centre <= cfg.cross_image_centre_px)).select(c("a_id").alias("a"), c("b_id").alias("b"), "iou")
 
 

@@ -38,6 +38,17 @@ def test_boxes_apart_whose_gaps_multiply_to_their_areas(spark):
     assert cracks.duplicates_across_images(boxes).collect() == []
 
 
+def test_centres_exactly_at_the_limit(spark):
+    """By SQL's order of subtraction these centres, 40 apart, lie a last bit beyond the limit; or, turned round, on it."""
+    schema = "id long, image_id long, x0 double, y0 double, w double, h double, conf double"
+    a, b = (556.0, 545.7, 36.1, 28.0, 0.5), (588.0, 571.7, 36.1, 24.0, 0.6)
+    for first, second in ((a, b), (b, a)):
+        centre = math.hypot(*(first[k] + first[k + 2] / 2 - second[k] - second[k + 2] / 2 for k in (0, 1)))
+        boxes = spark.createDataFrame([(1, 1, *first), (2, 2, *second)], schema)
+        assert len(cracks.duplicates_across_images(boxes).collect()) == (centre <= 40)
+    assert centre > 40 or math.hypot(a[0] + a[2] / 2 - b[0] - b[2] / 2, a[1] + a[3] / 2 - b[1] - b[3] / 2) > 40
+
+
 def test_archives_added_where_others_are_already(spark, tmp_path):
     """An archive added a million further on does not replace the stored one that has its number."""
     from muralis.plans import catalog
