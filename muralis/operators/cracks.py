@@ -80,13 +80,15 @@ def centre_gap(ax: Column, aw: Column, ay: Column, ah: Column, bx: Column, bw: C
     return F.sqrt(wide * wide + high * high)
 
 
-def duplicates_across_images(boxes: DataFrame, cfg: Config = DEFAULT, settle: Callable[[Column], Column] | None = None) -> DataFrame:
-    """a, b of different images that overlap enough, or at all with near centres."""
+def duplicates_across_images(boxes: DataFrame, cfg: Config = DEFAULT, settle: Callable[[Column], Column] | None = None, settle_centre: Callable[[Column], Column] | None = None) -> DataFrame:
+    """a, b of different images that overlap enough, or at all with near centres. ``settle_centre`` may replace the distance of polygons' centres
+    where it is too near the limit to tell."""
     pairs = scored_pairs(boxes, settle=settle).filter("a_image_id <> b_image_id")
     c = F.col
     if "polygon" in boxes.columns:
         (ax, ay), (bx, by) = polygons.area_centroid(c("a_polygon")), polygons.area_centroid(c("b_polygon"))
         centre = F.sqrt(F.pow(ax - bx, 2.0) + F.pow(ay - by, 2.0))
+        centre = settle_centre(centre) if settle_centre else centre
     else:
         centre = centre_gap(*(c(f"{k}_{x}") for k in "ab" for x in ("x0", "w", "y0", "h")))
     return pairs.filter((c("iou") >= cfg.cross_image_iou) | (centre <= cfg.cross_image_centre_px)).select(c("a_id").alias("a"), c("b_id").alias("b"), "iou")

@@ -108,6 +108,19 @@ def test_polygons_at_a_limit_go_by_the_boxes(spark):
     assert by_sql(p, lambda x: cracks.duplicates_across_images(x, settle=cs.by_boxes)) == by_sql(b, cracks.duplicates_across_images) == [(1, 2), (3, 4)]
 
 
+def test_centres_of_polygons_at_the_limit_go_by_the_boxes(spark):
+    """Centres exactly 40 apart: SQL's subtractions leave the first pair beyond the limit and the second within it."""
+    from muralis.operators import cracks
+    from muralis.plans import catalog_shapes as cs
+
+    near, far = (556.0, 545.7, 36.1, 28.0), (588.0, 571.7, 36.1, 24.0)
+    rows = [(1, 1, 0.9, *near), (2, 2, 0.8, *far), (4, 1, 0.9, near[0], near[1] + 300, *near[2:]), (3, 2, 0.8, far[0], far[1] + 300, *far[2:])]
+    b = spark.createDataFrame(rows, "id long, image_id long, conf double, x0 double, y0 double, w double, h double")
+    p = cracks.with_bounds(b.withColumn("polygon", cs._box()).withColumn("box", F.struct("x0", "y0", "w", "h")))
+    found = sorted((r.a, r.b) for r in cracks.duplicates_across_images(p, settle=cs.by_boxes, settle_centre=cs.centres_by_boxes).collect())
+    assert found == [(r.a, r.b) for r in cracks.duplicates_across_images(b).collect()] == [(3, 4)]
+
+
 def test_greedy_matches_over_batches(spark):
     """Left rows in order, each its best free right row; groups apart, and more rows than a batch holds."""
     from muralis.operators import cracks
