@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,14 +14,15 @@ from muralis.config import DEFAULT, Config
 from muralis.graph import connected_components
 from muralis.functions import polygons
 from muralis.functions.rings import union_by
+from muralis.operators.overlaps import Side, polygon_pairs
 from muralis.operators.spatial import box_pairs
 from muralis.storage import materialise
 
 #: Cell of the box grid: about the size of a large box, so that most boxes touch few cells and few boxes that are apart share one.
 CELL = 32.0
 
-#: An overlap of polygons below this share is what rounding makes of touching.
-SLIVER = 1e-6
+#: Decides overlaps of polygons that are too near a limit to tell, from the other columns of both rows.
+Settle = Callable[[np.ndarray, Side, Side], np.ndarray]
 
 # Grades and the note of an ungraded crack.
 SEVERE, MINOR = "정밀점검대상", "경미"
@@ -35,25 +37,22 @@ def with_bounds(shapes: DataFrame) -> DataFrame:
     return lo.withColumn("w", F.col("bounds")[2] - F.col("x0")).withColumn("h", F.col("bounds")[3] - F.col("y0")).drop("bounds")
 
 
-def scored_pairs(rows: DataFrame, within: list[str] | None = None, settle: Callable[[Column], Column] | None = None) -> DataFrame:
-    """``box_pairs`` of rows with their intersection over union as ``iou``: of their polygons where they have any (``with_bounds``), which
-    must overlap too, else of their boxes. ``settle`` may replace that of polygons where it is too near a limit to tell, by a_<name> and
-    b_<name> of both rows; slivers are left to it."""
-    pairs = box_pairs(rows, cell=CELL, within=within)
+def scored_pairs(rows: DataFrame, within: list[str] | None = None, settle: Settle | None = None, least: float = 0.0, **wanted) -> DataFrame:
+    """Pairs of rows that overlap, with their intersection over union as ``iou``: of their polygons where they have any (``with_bounds``; see
+    ``polygon_pairs``), else of their boxes (``box_pairs``). Polygons that overlap by less than ``least`` may be left out."""
     if "polygon" not in rows.columns:
         # Spark may divide before it sees that two boxes are apart; the product of two gaps can make ``both`` 0 then.
-        return pairs.withColumn("iou", F.try_divide("inter", "both"))
-    scored = pairs.withColumn("iou", polygons.poly_iou(F.col("a_polygon"), F.col("b_polygon")))
-    return scored.withColumn("iou", settle(F.col("iou"))).filter("iou > 0") if settle else scored.filter(F.col("iou") > SLIVER)
+        return box_pairs(rows, cell=CELL, within=within).withColumn("iou", F.try_divide("inter", "both"))
+    return polygon_pairs(rows, cell=CELL, within=within, settle=settle, least=least, **wanted)
 
 
 def _sided(rows: DataFrame, *columns: str | Column) -> DataFrame:
     return rows.select(*columns, "x0", "y0", "w", "h", *(["polygon"] if "polygon" in rows.columns else []))
 
 
-def overlapping(boxes: DataFrame, iou: float, within: list[str] | None = None, settle: Callable[[Column], Column] | None = None) -> DataFrame:
+def overlapping(boxes: DataFrame, iou: float, within: list[str] | None = None, settle: Settle | None = None) -> DataFrame:
     """a, b, iou for boxes, or polygons, that overlap by at least ``iou``."""
-    return scored_pairs(boxes, within, settle).filter(F.col("iou") >= iou).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "iou")
+    return scored_pairs(boxes, within, settle, iou, emits=["id"]).filter(F.col("iou") >= iou).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "iou")
 
 
 def merged(boxes: DataFrame, iou: float = DEFAULT.merge_iou) -> DataFrame:
@@ -63,11 +62,11 @@ def merged(boxes: DataFrame, iou: float = DEFAULT.merge_iou) -> DataFrame:
     return of.groupBy("crack_id").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max(F.col("x0") + F.col("w")).alias("x1"), F.max(F.col("y0") + F.col("h")).alias("y1"), F.max("conf").alias("conf"), F.count("*").alias("n"))
 
 
-def merged_polygons(shapes: DataFrame, iou: float = DEFAULT.merge_iou, settle: Callable[[Column], Column] | None = None) -> DataFrame:
+def merged_polygons(shapes: DataFrame, iou: float = DEFAULT.merge_iou, settle: Settle | None = None) -> DataFrame:
     """Connected groups of overlapping polygons (id, polygon, conf, tile): crack_id (the smallest id), polygon and area of their union's
     largest part, greatest confidence, tiles (sorted, each once), number."""
     placed = materialise(with_bounds(shapes), "placed")
-    groups = connected_components(overlapping(placed, iou, settle=settle).select("a", "b"))
+    groups = connected_components(overlapping(placed.drop("conf", "tile"), iou, settle=settle).select("a", "b"))
     of = placed.join(groups, "id", "left").withColumn("crack_id", F.coalesce("component", "id"))
     rest = of.groupBy("crack_id").agg(F.max("conf").alias("conf"), F.array_sort(F.collect_set("tile")).alias("tiles"), F.count("*").alias("n"))
     return union_by(of, "crack_id").select("crack_id", "polygon", "area", "n_parts").join(rest, "crack_id")
@@ -80,18 +79,24 @@ def centre_gap(ax: Column, aw: Column, ay: Column, ah: Column, bx: Column, bw: C
     return F.sqrt(wide * wide + high * high)
 
 
-def duplicates_across_images(boxes: DataFrame, cfg: Config = DEFAULT, settle: Callable[[Column], Column] | None = None, settle_centre: Callable[[Column], Column] | None = None) -> DataFrame:
+def duplicates_across_images(boxes: DataFrame, cfg: Config = DEFAULT, settle: Settle | None = None, settle_centre: Callable[[np.ndarray, Side, Side, float], np.ndarray] | None = None) -> DataFrame:
     """a, b of different images that overlap enough, or at all with near centres. ``settle_centre`` may replace the distance of polygons' centres
     where it is too near the limit to tell."""
-    pairs = scored_pairs(boxes, settle=settle).filter("a_image_id <> b_image_id")
     c = F.col
+    out = c("a_id").alias("a"), c("b_id").alias("b"), "iou"
     if "polygon" in boxes.columns:
-        (ax, ay), (bx, by) = polygons.area_centroid(c("a_polygon")), polygons.area_centroid(c("b_polygon"))
-        centre = F.sqrt(F.pow(ax - bx, 2.0) + F.pow(ay - by, 2.0))
-        centre = settle_centre(centre) if settle_centre else centre
-    else:
-        centre = centre_gap(*(c(f"{k}_{x}") for k in "ab" for x in ("x0", "w", "y0", "h")))
-    return pairs.filter((c("iou") >= cfg.cross_image_iou) | (centre <= cfg.cross_image_centre_px)).select(c("a_id").alias("a"), c("b_id").alias("b"), "iou")
+        x, y = polygons.area_centroid(c("polygon"))
+
+        def near(iou: np.ndarray, a: Side, b: Side) -> np.ndarray:
+            gap = np.hypot(a("centre.x") - b("centre.x"), a("centre.y") - b("centre.y"))
+            gap = settle_centre(gap, a, b, cfg.cross_image_centre_px) if settle_centre else gap
+            return (iou >= cfg.cross_image_iou) | (gap <= cfg.cross_image_centre_px)
+
+        placed = boxes.withColumn("centre", F.struct(x.alias("x"), y.alias("y")))
+        return scored_pairs(placed, settle=settle, keep=near, emits=["id", "image_id"]).filter("a_image_id <> b_image_id").select(*out)
+    centre = centre_gap(*(c(f"{k}_{x}") for k in "ab" for x in ("x0", "w", "y0", "h")))
+    pairs = scored_pairs(boxes).filter("a_image_id <> b_image_id")
+    return pairs.filter((c("iou") >= cfg.cross_image_iou) | (centre <= cfg.cross_image_centre_px)).select(*out)
 
 
 def inflated_groups(boxes: DataFrame, margin: float) -> DataFrame:
@@ -102,10 +107,10 @@ def inflated_groups(boxes: DataFrame, margin: float) -> DataFrame:
     return of.groupBy("group_id").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max(F.col("x0") + F.col("w")).alias("x1"), F.max(F.col("y0") + F.col("h")).alias("y1"), F.count("*").alias("n"))
 
 
-def near_misses(candidates: DataFrame, confident: DataFrame, iou: float = DEFAULT.merge_iou, settle: Callable[[Column], Column] | None = None) -> DataFrame:
+def near_misses(candidates: DataFrame, confident: DataFrame, iou: float = DEFAULT.merge_iou, settle: Settle | None = None) -> DataFrame:
     """Candidates that no confident box overlaps by ``iou`` or more."""
     both = candidates.withColumn("side", F.lit(0)).unionByName(confident.withColumn("side", F.lit(1)))
-    hits = scored_pairs(both, settle=settle).filter((F.col("a_side") != F.col("b_side")) & (F.col("iou") >= iou))
+    hits = scored_pairs(both, settle=settle, least=iou, emits=["id", "side"]).filter((F.col("a_side") != F.col("b_side")) & (F.col("iou") >= iou))
     hit_ids = hits.select(F.when(F.col("a_side") == 0, F.col("a_id")).otherwise(F.col("b_id")).alias("id")).distinct()
     return candidates.join(hit_ids, "id", "left_anti")
 
@@ -165,7 +170,7 @@ def stable_ids(new: DataFrame, old: DataFrame, iou: float = DEFAULT.match_iou) -
     number of the facade."""
     left = _sided(new, "facade", F.col("ord").alias("id"), F.lit(0).alias("side"))
     right = _sided(old, "facade", (-1 - F.col("ord")).alias("id"), F.lit(1).alias("side"))
-    pairs = scored_pairs(left.unionByName(right), ["facade"]).filter("a_side = 1 and b_side = 0")
+    pairs = scored_pairs(left.unionByName(right), ["facade"], least=iou).filter("a_side = 1 and b_side = 0")
     pairs = pairs.select(F.col("a_facade").alias("facade"), F.col("b_id").alias("left_ord"), (-1 - F.col("a_id")).alias("right_ord"), F.col("iou").alias("score"))
     matches = greedy_matches(pairs, "facade", iou).select("facade", F.col("left_ord").alias("ord"), F.col("right_ord").alias("old_ord"))
     known = matches.join(old.select("facade", F.col("ord").alias("old_ord"), "crack_no"), ["facade", "old_ord"]).select("facade", "ord", "crack_no")
@@ -188,7 +193,7 @@ def evaluated(truth: DataFrame, found: DataFrame, background: DataFrame, cfg: Co
     def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
         """left_ord in a, right_ord in b."""
         both = _sided(a, "image", F.col("ord").alias("id"), F.lit(0).alias("side")).unionByName(_sided(b, "image", (-1 - F.col("ord")).alias("id"), F.lit(1).alias("side")))
-        hits = scored_pairs(both, ["image"]).filter("a_side = 1 and b_side = 0")
+        hits = scored_pairs(both, ["image"], least=cfg.truth_iou).filter("a_side = 1 and b_side = 0")
         return hits.select(F.col("a_image").alias("image"), F.col("b_id").alias("left_ord"), (-1 - F.col("a_id")).alias("right_ord"), F.col("iou").alias("score"))
 
     matches = greedy_matches(pairs(truth, found), "image", cfg.truth_iou)

@@ -117,10 +117,50 @@ def test_centres_of_polygons_at_the_limit_go_by_the_boxes(spark):
     rows = [(1, 1, 0.9, *near), (2, 2, 0.8, *far), (4, 1, 0.9, near[0], near[1] + 300, *near[2:]), (3, 2, 0.8, far[0], far[1] + 300, *far[2:])]
     b = spark.createDataFrame(rows, "id long, image_id long, conf double, x0 double, y0 double, w double, h double")
     p = cracks.with_bounds(b.withColumn("polygon", cs._box()).withColumn("box", F.struct("x0", "y0", "w", "h")))
-    found = sorted((r.a, r.b) for r in cracks.duplicates_across_images(p, settle=cs.by_boxes, settle_centre=cs.centres_by_boxes).collect())
+    found = sorted((r.a, r.b) for r in cracks.duplicates_across_images(p, settle=cs.by_boxes, settle_centre=cs.centre_gap_by_boxes).collect())
     assert found == [(r.a, r.b) for r in cracks.duplicates_across_images(b).collect()] == [(3, 4)]
 
 
+def test_common_areas_by_parts_of_edges():
+    """Pairs apart are told from pairs that touch, and edges along each other count once."""
+    from muralis.functions import polygons
+
+    rng = np.random.default_rng(3)
+    angle = lambda n: np.sort(rng.uniform(0, 2 * np.pi, (2000, n)), axis=1)
+    p, q = ((np.stack([np.cos(a), np.sin(a)], -1) * rng.uniform(2, 9, (2000, 1, 1)) + rng.uniform(-9, 9, (2000, 1, 2))) for a in (angle(4), angle(6)))
+    fine = (rings.turns(p) > 0) & (rings.turns(q) > 0)
+    p, q = p[fine], q[fine]
+    got, expected = polygons.common_areas(p.transpose(2, 1, 0), q.transpose(2, 1, 0)), polygons.convex_overlaps(p, q)
+    assert len(got) > 1000 and 0.2 < np.isnan(got).mean() < 0.8
+    assert np.abs(np.nan_to_num(got) - expected).max() < 1e-9
+    squares = np.array([box(0, 0, 2, 2), box(0, 0, 2, 2), box(0, 0, 2, 2), box(0, 0, 2, 2)]).transpose(2, 1, 0)
+    others = np.array([box(0, 0, 2, 2), box(0, 1, 2, 2), box(2, 0, 2, 2), box(2.1, 0, 2, 2)]).transpose(2, 1, 0)
+    np.testing.assert_allclose(polygons.common_areas(squares, others), [4, 2, 0, np.nan])
+
+
+def test_polygons_of_a_full_cell_meet_in_tiles(spark, monkeypatch):
+    """All pairs of a cell that holds more polygons than meet at once, found once each; bent shapes, shapes over several cells, and groups apart."""
+    from muralis.functions import polygons
+    from muralis.operators import cracks, overlaps
+
+    monkeypatch.setattr(overlaps, "TILE", 16)
+    rng, shapes = np.random.default_rng(4), []
+    for k in range(150):
+        n = rng.integers(3, 7)
+        a = 2 * np.pi * (np.arange(n) + rng.uniform(0, 0.7, n)) / n
+        r = rng.uniform(0.3, 1, n) if k % 5 == 0 else 1.0  # some are not convex
+        shapes.append(np.c_[np.cos(a) * r, np.sin(a) * r] * rng.uniform(2, 9) + rng.uniform(0, 40, 2))
+    rows = [(k, k % 2, rings.plain(p)) for k, p in enumerate(shapes)]
+    placed = cracks.with_bounds(spark.createDataFrame(rows, f"id long, face long, polygon {polygons.POLYGON}"))
+    found = {(r.a_id, r.b_id): r.iou for r in overlaps.polygon_pairs(placed, cell=32.0).collect()}
+    iou = {(a, b): polygons.iou(shapes[a], shapes[b]) for a in range(150) for b in range(a + 1, 150)}
+    expected = {k: v for k, v in iou.items() if v > overlaps.SLIVER}
+    assert set(found) == set(expected) and max(abs(found[k] - expected[k]) for k in found) < 1e-9
+    rest = overlaps.polygon_pairs(placed, cell=32.0, within=["face"], least=0.2, emits=["id"])
+    got = [tuple(r[:2]) for r in rest.collect()]
+    assert rest.columns == ["a_id", "b_id", "iou"] and sorted(got) == sorted(k for k, v in expected.items() if v >= 0.2 and k[0] % 2 == k[1] % 2)
+
+
 def test_greedy_matches_over_batches(spark):
     """Left rows in order, each its best free right row; groups apart, and more rows than a batch holds."""
     from muralis.operators import cracks
